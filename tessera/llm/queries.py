@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontamination import overlaps
 from .jaccard_join import jaccard_join
 from .mixing import mix
 from .token_output import token_output
@@ -38,3 +39,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_mixing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
+
+
+@query("op10_decontamination")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -12,11 +12,12 @@ writes, so a lost executor leaves no half-written file and any store that Spark
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir, small_batches
 
-BLOCK = 16384
+BLOCK = 4096
 MAGIC = b"TS8B"
 END_ID = 2
 SEGMENT_IDS = 1 << 20
@@ -35,49 +36,60 @@ PACKS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (
 
 
 def _selectors(values: np.ndarray) -> np.ndarray:
-    """For each position the selector that packs most values from it, ESCAPE where none does."""
-    n = len(values)
-    at = np.arange(n, dtype=np.int32)
-    best = np.full(n, ESCAPE, np.uint8)
-    top = int(values.max()) if n else 0
+    """For each position of blocks (rows of equal length) the selector that packs most values from it, ESCAPE where none does."""
+    length = values.shape[1]
+    at = np.arange(length, dtype=np.int32)
+    best = np.full(values.shape, ESCAPE, np.uint8)
+    top = int(values.max()) if values.size else 0
     for selector in range(len(PACKS) - 1, -1, -1):
         count, bits = PACKS[selector]
+        if length < count:
+            continue
         if top >> bits == 0:
-            fits = n - at >= count
-        else:
-            wide = np.where(values >> np.uint64(bits) != 0, at, np.int32(n + 60))
-            fits = (np.minimum.accumulate(wide[::-1])[::-1] - at >= count) & (n - at >= count)
-        best[fits] = selector
+            best[:, : length - count + 1] = selector
+            continue
+        wide = values >= values.dtype.type(1 << bits)
+        if wide.size - np.count_nonzero(wide) < count:
+            continue
+        next_wide = np.minimum.accumulate(np.where(wide, at, np.int32(length))[:, ::-1], axis=1)[:, ::-1]
+        best[next_wide - at >= count] = selector
     return best
 
 
-def pack(values: np.ndarray) -> np.ndarray:
-    """One block of non-negative integers below 2**64 as Simple-8b words."""
-    values = np.ascontiguousarray(values, np.uint64)
-    best = _selectors(values)
-    step = [count for count, _ in PACKS] + [1, 1]
-    jump = np.array(step, np.int64)[best].tolist()
-    starts, i, n = [], 0, len(values)
-    while i < n:
-        starts.append(i)
-        i += jump[i]
-    starts = np.array(starts, np.int64)
-    chosen = best[starts]
+def pack_rows(values: np.ndarray) -> list[np.ndarray]:
+    """Blocks of equal length as Simple-8b words; all blocks take their next step together."""
+    rows, length = values.shape
+    best = np.concatenate([_selectors(values), np.full((rows, 1), len(PACKS) + 2, np.uint8)], axis=1)
+    counts = np.array([count for count, _ in PACKS] + [1, 1, 0], np.int64)
+    flat = best.ravel()
+    base = np.arange(rows, dtype=np.int64) * (length + 1)
+    place, ends, taken = base.copy(), base + length, []
+    while (place < ends).any():
+        taken.append(place)
+        place = place + counts[flat[place]]
+    steps = np.array(taken, np.int64).reshape(len(taken), rows).T
+    live = steps < ends[:, None]
+    starts = steps[live]
+    chosen = flat[starts]
+    starts = starts - starts // (length + 1)
+    source = values.ravel().astype(np.uint64)
     widths = 1 + (chosen == ESCAPE)
-    at = np.concatenate([[0], np.cumsum(widths)[:-1]]).astype(np.int64) if n else np.zeros(0, np.int64)
+    at = np.cumsum(widths) - widths
     out = np.zeros(int(widths.sum()), np.uint64)
     for selector in np.unique(chosen):
         mine = chosen == selector
         if selector == ESCAPE:
             out[at[mine]] = np.uint64(ESCAPE << 60)
-            out[at[mine] + 1] = values[starts[mine]]
+            out[at[mine] + 1] = source[starts[mine]]
             continue
         count, bits = PACKS[selector]
         word = np.full(int(mine.sum()), int(selector) << 60, np.uint64)
         for k in range(count):
-            word |= values[starts[mine] + k] << np.uint64(k * bits)
+            word |= source[starts[mine] + k] << np.uint64(k * bits)
         out[at[mine]] = word
-    return out
+    owner = np.repeat(np.arange(rows), live.sum(1))
+    sizes = np.bincount(owner, weights=widths, minlength=rows).astype(np.int64)
+    return np.split(out, np.cumsum(sizes)[:-1])
 
 
 def unpack(words: np.ndarray) -> np.ndarray:
@@ -110,11 +122,14 @@ def unpack(words: np.ndarray) -> np.ndarray:
 
 
 def encode(values: np.ndarray, block: int = BLOCK) -> bytes:
-    """A payload of any number of ids."""
-    values = np.asarray(values, np.uint64)
-    packed = [pack(values[i : i + block]) for i in range(0, len(values), block)]
+    """A payload of any number of non-negative integers below 2**64."""
+    values = np.asarray(values)
+    values = values.astype(np.uint32 if not values.size or int(values.max()) < 1 << 31 else np.uint64)
+    full = len(values) // block * block
+    packed = pack_rows(values[:full].reshape(-1, block)) if full else []
+    packed += pack_rows(values[full:].reshape(1, -1)) if len(values) > full else []
     sizes = np.array([len(x) for x in packed], np.uint64)
-    offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype("<u8") if packed else np.zeros(0, "<u8")
+    offsets = (np.cumsum(sizes) - sizes).astype("<u8")
     body = np.concatenate(packed).astype("<u8") if packed else np.zeros(0, "<u8")
     head = MAGIC + struct.pack("<IQQQ", 1, len(values), len(packed), len(body))
     return head + offsets.tobytes() + body.tobytes()
@@ -137,19 +152,18 @@ def decode(payload: bytes, first: int = 0, last: int | None = None) -> np.ndarra
 
 
 _CACHES: dict[str, _Encoder] = {}
-_PIECES = re.compile(r"\s\s|<\|")
 
 
 class _Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    The byte-level pre-tokenizer never joins what a single space parts, so a text is cut before each
-    space and pieces that the worker has met come from two generations of a bounded dictionary. New
-    pieces go to the library together. Texts with white space in a row or a special token's string go
-    to it whole.
+    The byte-level pre-tokenizer never joins what a single space parts, nor letters and the full stop
+    or comma after them, so texts are cut there, and pieces that the worker has met come from two
+    generations of a bounded dictionary. New pieces of a batch go to the library together. Texts with
+    more white space around a cut, or with a special token's string, go to it whole.
     """
 
-    generation = 300_000
+    generation = 400_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -161,38 +175,61 @@ class _Encoder:
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # one character of the alphabet stands for one byte
             self.lengths[i] = len(token)
-
-    def learn(self, pieces: list[str]) -> None:
-        """Encode new pieces, each of which starts with its only space, as one text, and cut the ids by byte lengths."""
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.cumsum([len(p.encode()) for p in pieces])
-        cuts = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
-        raw, start = ids.tobytes(), 0
-        for piece, cut in zip(pieces, cuts.tolist(), strict=True):
-            self.now[piece[1:]] = raw[4 * start : 4 * cut]
-            start = cut
+        self.tails = {tail: self.whole(tail) for tail in ".,"}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _PIECES.search(text) or text[0].isspace() or text[-1].isspace():
-            return self.whole(text)
-        first, *rest = text.split(" ")
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode pieces, each after a space, as one text, and cut the ids by byte lengths."""
+        pieces = [p for p in pieces if p not in self.now]
+        if not pieces:
+            return
+        raws = [p.encode() for p in pieces]
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) + 1)
+        cuts = (4 * (np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1)).tolist()
+        flat = ids.tobytes()
+        self.now.update(zip(pieces, map(flat.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
+
+    def learn(self, pieces: set[str]) -> None:
+        """Make pieces known, save those that only encode within their text."""
+        now, old, stems, ended = self.now, self.old, [], []
+        for piece in pieces:
+            if (known := old.get(piece)) is not None:
+                now[piece] = known
+            elif not piece or piece[0].isspace() or piece[-1].isspace():
+                continue
+            elif piece[-1] in ".," and piece[:-1].isalpha():
+                ended.append(piece)
+                stems.append(piece[:-1])
+            else:
+                stems.append(piece)
+        self._learn(list(dict.fromkeys(stems)))
+        for piece in ended:
+            now[piece] = now[piece[:-1]] + self.tails[piece[-1]]
+
+    def batch(self, texts: list[str]) -> list[bytes]:
         if len(self.now) > self.generation:
             self.now, self.old = {}, self.now
-        now, old = self.now, self.old
-        new = set()
-        for piece in {*rest}.difference(now):
-            if piece in old:
-                now[piece] = old[piece]
+        cut = [[] if "<|" in text else text.split(" ") for text in texts]
+        found = [list(map(self.now.get, pieces[1:])) for pieces in cut]
+        gaps = [list(compress(range(len(ids)), map(is_, ids, repeat(None)))) for ids in found]
+        unknown: set[str] = set()
+        for pieces, places in zip(cut, gaps, strict=True):
+            unknown.update([pieces[k + 1] for k in places])
+        self.learn(unknown)
+        out = []
+        for text, pieces, ids, places in zip(texts, cut, found, gaps, strict=True):
+            for k in places:
+                ids[k] = self.now.get(pieces[k + 1])
+            if not text:
+                out.append(b"")
+            elif not pieces or not pieces[0] or pieces[0][-1].isspace() or (places and None in ids):
+                out.append(self.whole(text))
             else:
-                new.add(piece)
-        if new:
-            self.learn([" " + p for p in new])
-        return self.whole(first) + b"".join(map(now.__getitem__, rest))
+                out.append(self.whole(pieces[0]) + b"".join(ids))
+        return out
 
 
 def encoder(path: str) -> _Encoder:
@@ -233,8 +270,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str) -> None:
 
         total = 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = encoded(text) + end
+            for doc, raw in zip(batch.column(0).to_pylist(), encoded.batch(batch.column(1).to_pylist()), strict=True):
+                raw += end
                 ids.append(raw)
                 held.append(doc)
                 lengths.append(len(raw) // 4)
