@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .decontamination import overlaps
 from .jaccard_join import jaccard_join
+from .language_id import fold, identify, learn
 from .mixing import mix
 from .token_output import token_output
 
@@ -44,3 +46,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_decontamination")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    remainder = F.coalesce(fold(F.col("doc_id"), 5), F.lit(0))
+    known = learn(docs.where(remainder != 0).select("text", "lang"))
+    return identify(docs.select("doc_id", (remainder == 0).alias("held_out"), "text"), known).drop("text")
