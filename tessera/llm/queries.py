@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 from .decontamination import overlaps
 from .jaccard_join import jaccard_join
 from .language_id import fold, identify, learn
 from .mixing import mix
+from .quality_rules import scored, statistics, train
 from .token_output import token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +55,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     remainder = F.coalesce(fold(F.col("doc_id"), 5), F.lit(0))
     known = learn(docs.where(remainder != 0).select("text", "lang"))
     return identify(docs.select("doc_id", (remainder == 0).alias("held_out"), "text"), known).drop("text")
+
+
+@query("op6_quality_rules")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    measured = written(docs.select("doc_id", *[c.alias(k) for k, c in statistics(F.col("text")).items()]), "statistics")
+    held_out = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False))
+    known = measured.where(~held_out).join(labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("label")), "doc_id")
+    rules, intercept = train(known, "label")
+    return scored(measured.withColumn("held_out", held_out), rules, intercept).select("doc_id", "held_out", "score", "predicted")
