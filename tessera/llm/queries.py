@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 from .decontamination import overlaps
+from .embedding_dedup import near_vectors
 from .jaccard_join import jaccard_join
 from .language_id import fold, identify, learn
 from .mixing import mix
@@ -65,3 +66,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = measured.where(~held_out).join(labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("label")), "doc_id")
     rules, intercept = train(known, "label")
     return scored(measured.withColumn("held_out", held_out), rules, intercept).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op8_embedding_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
