@@ -11,6 +11,7 @@ from .chat_format import digests, format_chats
 from .common import table, written
 from .decontamination import overlaps
 from .embedding_dedup import near_vectors
+from .html_extract import extract
 from .jaccard_join import jaccard_join
 from .language_id import fold, identify, learn
 from .mixing import mix
@@ -82,3 +83,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a row is one whole message, told from repeated turns by what it says
     events = rows.select("conv_id", F.col("turn").alias("seq"), F.concat_ws("\x1f", F.col("turn").cast("string"), F.monotonically_increasing_id().cast("string")).alias("message"), F.lit("message").alias("kind"), "role", "text")
     return digests(format_chats(events))
+
+
+@query("op2_html_extract")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
