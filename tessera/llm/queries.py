@@ -14,6 +14,7 @@ from .embedding_dedup import near_vectors
 from .html_extract import extract
 from .jaccard_join import jaccard_join
 from .language_id import fold, identify, learn
+from .lm_score import lm_score
 from .mixing import mix
 from .quality_rules import scored, statistics, train
 from .token_output import token_output
@@ -88,3 +89,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_html_extract")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
+
+
+@query("op4_lm_score")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(table(spark, sf_dir, "documents"))
