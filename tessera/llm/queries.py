@@ -94,3 +94,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_lm_score")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(table(spark, sf_dir, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
