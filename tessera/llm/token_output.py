@@ -16,15 +16,13 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import compress, repeat
-from operator import is_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches
+from .common import mixed, shared_dir, small_batches
 
 BLOCK = 4096
 MAGIC = b"TS8B"
@@ -152,85 +150,175 @@ def decode(payload: bytes, first: int = 0, last: int | None = None) -> np.ndarra
 
 
 _CACHES: dict[str, _Encoder] = {}
+_BASE = 0x9E3779B97F4A7C15 | 1
+_SPACE = 32
+_WHITE, _LETTER, _STOP = 1, 2, 3
+_KIND = np.zeros(256, np.uint8)  # of ASCII bytes: white space, letters, and marks that end a run of letters
+for _b in range(128):
+    _c = chr(_b)
+    _KIND[_b] = _WHITE if _c in " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f" else _LETTER if _c.isalpha() else 0 if _c.isdigit() or _c == "'" else _STOP
+_KIND[10] = _WHITE
+
+
+def _powers(n: int, base: int) -> np.ndarray:
+    """base ** k modulo 2**64 for k below n."""
+    out = np.ones(max(n, 1), np.uint64)
+    size, step = 1, base
+    with np.errstate(over="ignore"):
+        while size < n:
+            more = min(size, n - size)
+            out[size : size + more] = out[:more] * np.uint64(step)
+            size, step = size + more, step * step % (1 << 64)
+    return out
+
+
+class _Table:
+    """Ids of pieces by a 64-bit hash: open addressing in arrays, looked up for many pieces at once."""
+
+    def __init__(self, bits: int = 22):
+        self.bits = bits
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.starts = np.zeros(1 << bits, np.int64)
+        self.sizes = np.zeros(1 << bits, np.int32)
+        self.values = np.zeros(1 << 16, np.uint16)
+        self.used = self.filled = 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, or of the free place where it would go."""
+        mask = np.int64((1 << self.bits) - 1)
+        slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        there = self.keys[slot]
+        open_ = np.flatnonzero((there != keys) & (there != 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & mask
+            there = self.keys[slot[open_]]
+            open_ = open_[(there != keys[open_]) & (there != 0)]
+        return slot
+
+    def add(self, keys: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> None:
+        """New distinct keys with their ids in a row."""
+        if self.used + len(keys) > len(self.keys) // 2:
+            self.keys[:] = 0
+            self.used = self.filled = 0
+        if self.filled + len(values) > len(self.values):
+            self.values = np.concatenate([self.values[: self.filled], np.zeros(max(len(self.values), len(values)), np.uint16)])
+        self.values[self.filled : self.filled + len(values)] = values
+        starts = self.filled + np.cumsum(sizes) - sizes
+        left = np.arange(len(keys))
+        while len(left):  # keys that want one place take turns
+            slot = self.find(keys[left])
+            _, first = np.unique(slot, return_index=True)
+            now = left[first]
+            self.keys[slot[first]] = keys[now]
+            self.starts[slot[first]], self.sizes[slot[first]] = starts[now], sizes[now]
+            keep = np.ones(len(left), bool)
+            keep[first] = False
+            left = left[keep]
+        self.used += len(keys)
+        self.filled += len(values)
 
 
 class _Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    The byte-level pre-tokenizer never joins what a single space parts, nor letters and the full stop
-    or comma after them, so texts are cut there, and pieces that the worker has met come from two
-    generations of a bounded dictionary. New pieces of a batch go to the library together. Texts with
-    more white space around a cut, or with a special token's string, go to it whole.
+    The byte-level pre-tokenizer never joins what a single space parts, letters and a mark after them, or
+    a single line feed and what follows, so texts are cut there. Pieces that a worker has met come from a table by their hash, all of a batch at once; new
+    ones go to the library together. Texts with other white space at a cut, or with a special token's
+    string, go to it whole.
     """
 
-    generation = 400_000
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.now: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
+        self.narrow = max(vocabulary.values()) < 1 << 16
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # one character of the alphabet stands for one byte
             self.lengths[i] = len(token)
-        self.tails = {tail: self.whole(tail) for tail in ".,"}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces, each after a space, as one text, and cut the ids by byte lengths."""
-        pieces = [p for p in pieces if p not in self.now]
-        if not pieces:
-            return
-        raws = [p.encode() for p in pieces]
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) + 1)
-        cuts = (4 * (np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1)).tolist()
-        flat = ids.tobytes()
-        self.now.update(zip(pieces, map(flat.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
-
-    def learn(self, pieces: set[str]) -> None:
-        """Make pieces known, save those that only encode within their text."""
-        now, old, stems, ended = self.now, self.old, [], []
-        for piece in pieces:
-            if (known := old.get(piece)) is not None:
-                now[piece] = known
-            elif not piece or piece[0].isspace() or piece[-1].isspace():
-                continue
-            elif piece[-1] in ".," and piece[:-1].isalpha():
-                ended.append(piece)
-                stems.append(piece[:-1])
-            else:
-                stems.append(piece)
-        self._learn(list(dict.fromkeys(stems)))
-        for piece in ended:
-            now[piece] = now[piece[:-1]] + self.tails[piece[-1]]
+        self.table = _Table()
+        self.power, self.inverse = _powers(1, _BASE), _powers(1, 1)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16 if self.narrow else np.uint32)
+
+    def _hashes(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Polynomial hashes of pieces, their length mixed in; never zero."""
+        n = len(flat) + 1
+        if len(self.power) < n:
+            self.power, self.inverse = _powers(2 * n, _BASE), _powers(2 * n, pow(_BASE, -1, 1 << 64))
+        with np.errstate(over="ignore"):
+            total = np.zeros(n, np.uint64)
+            np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * self.power[: n - 1], out=total[1:])
+            return mixed((total[ends] - total[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.now) > self.generation:
-            self.now, self.old = {}, self.now
-        cut = [[] if "<|" in text else text.split(" ") for text in texts]
-        found = [list(map(self.now.get, pieces[1:])) for pieces in cut]
-        gaps = [list(compress(range(len(ids)), map(is_, ids, repeat(None)))) for ids in found]
-        unknown: set[str] = set()
-        for pieces, places in zip(cut, gaps, strict=True):
-            unknown.update([pieces[k + 1] for k in places])
-        self.learn(unknown)
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        raws = [("" if "<|" in t else t).encode() for t in texts]
+        flat = np.frombuffer(b" " + b" ".join(raws) + b" ", np.uint8)  # a space around each text, which is none of it
+        text_ends = np.cumsum(np.array([len(r) for r in raws], np.int64) + 1)
+        text_starts = text_ends - np.array([len(r) for r in raws], np.int64)
+        kind = _KIND[flat]
+        edge = np.zeros(len(flat), bool)
+        edge[0] = edge[text_ends] = True
+        blank = kind == _WHITE
+        letter = kind == _LETTER
+        letter[1:] |= (flat[:-1] == 0xC3) & (flat[1:] != 0x97) & (flat[1:] != 0xB7)  # Latin letters of two bytes
+        cut = (flat == _SPACE) & ~edge
+        odd_at = np.flatnonzero(cut[1:-1] & ((blank[:-2] & ~edge[:-2]) | (blank[2:] & ~edge[2:]))) + 1
+        cut[1:] |= ((kind[1:] == _STOP) | (flat[1:] == 10)) & letter[:-1]
+        cut[2:] |= (flat[1:-1] == 10) & ~blank[:-2] & ~blank[2:]
+        cut[text_starts] = True
+        cut[text_ends] = False
+        starts = np.flatnonzero(cut)
+        owner = np.searchsorted(text_ends, starts, "right")
+        ends = np.minimum(np.append(starts[1:], len(flat)), text_ends[owner])
+        keys = self._hashes(flat, starts, ends)
+        odd = np.zeros(len(texts), bool)
+        odd[np.searchsorted(text_ends, odd_at, "right")] = True
+        slot = self.table.find(keys)
+        missing = np.flatnonzero((self.table.keys[slot] != keys) & ~odd[owner])
+        if len(missing):
+            _, first = np.unique(keys[missing], return_index=True)
+            self._learn(flat, starts[missing[first]], ends[missing[first]], keys[missing[first]])
+            slot = self.table.find(keys)
+        odd[owner[self.table.keys[slot] != keys]] = True  # a piece that stays unknown sends its text whole
+        counts = self.table.sizes[slot].astype(np.int64)
+        counts[odd[owner]] = 0
+        out_ends = np.cumsum(counts)
+        ids = self.table.values[np.repeat(self.table.starts[slot] - (out_ends - counts), counts) + np.arange(out_ends[-1] if len(out_ends) else 0)].astype("<u4")
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(owner, counts, len(texts)).astype(np.int64))])
+        raw = ids.tobytes()
         out = []
-        for text, pieces, ids, places in zip(texts, cut, found, gaps, strict=True):
-            for k in places:
-                ids[k] = self.now.get(pieces[k + 1])
-            if not text:
-                out.append(b"")
-            elif not pieces or not pieces[0] or pieces[0][-1].isspace() or (places and None in ids):
-                out.append(self.whole(text))
-            else:
-                out.append(self.whole(pieces[0]) + b"".join(ids))
+        for k, text in enumerate(texts):
+            plain = not odd[k] and (raws[k] or not text)
+            out.append(raw[4 * bounds[k] : 4 * bounds[k + 1]] if plain else self.whole(text).astype("<u4").tobytes())
         return out
 
+    def _learn(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> None:
+        """Make pieces known, save those with white space beyond ASCII at an end."""
+        raw = flat.tobytes()
+        spaced, names, bare, parts = [], [], [], []
+        for k, (s, e) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+            piece = raw[s:e].decode()
+            if piece and not piece[0].isascii() and piece[0].isspace() or not piece[-1:].isascii() and piece[-1:].isspace() or not piece[1:2].isascii() and piece[1:2].isspace():
+                continue
+            if piece[:1] == " " and len(piece) > 1 and not piece[-1].isspace():
+                spaced.append(k)
+                names.append(piece)
+            else:
+                bare.append(k)
+                parts.append(piece)
+        kind = np.uint16 if self.narrow else np.uint32
+        if names:
+            at = np.array(spaced)
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(names)], add_special_tokens=False)[0].ids, kind)
+            cuts = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(ends[at] - starts[at])) + 1
+            self.table.add(keys[at], np.diff(cuts, prepend=0).astype(np.int32), ids)
+        if parts:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+            self.table.add(keys[bare], np.array([len(v) for v in found], np.int32), np.array([i for v in found for i in v], kind))
+
 
 def encoder(path: str) -> _Encoder:
     if path not in _CACHES:
