@@ -12,6 +12,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WS = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 BEFORE, AFTER = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
@@ -19,7 +20,7 @@ UNSAFE = r"[\p{Cc}\p{Cf}&&[^\t\n]]"
 
 
 def _normal(form: str):
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def normalised(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize(form, t))
 

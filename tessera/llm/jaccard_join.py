@@ -263,5 +263,5 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: fl
     known = known.select("key", F.col("rep").alias("class_id"), F.col("copies").alias("n_copies"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     # only classes that say more than their single document does are joined back
     known = known.where("n_links > 0")
-    out = flat.select("doc_id", "key").join(known, "key", "left")
+    out = flat.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(known, "key", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
