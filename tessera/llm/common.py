@@ -173,4 +173,4 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def passes_for(recall: float, chance: float) -> int:
     """Independent tries, each with the given chance, that reach a recall."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - chance))) if chance < 1 else 1
+    return max(1, math.ceil(math.log1p(-recall) / math.log1p(-chance))) if chance < 1 else 1
