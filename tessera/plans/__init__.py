@@ -1,6 +1,6 @@
 """Queries of the library over the tables at hand."""
 
-from . import analytics
+from . import analytics, documents
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "analytics"]
+__all__ = ["ORACLES", "QUERIES", "analytics", "documents"]
