@@ -110,7 +110,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, list[bytes]], margin: floa
                 out.append((names[best], weight, bool(second - n[best] <= margin * n[best])))
             yield pd.DataFrame(out, columns=["lang_pred", "score", "rejected"])
 
-    return docs.withColumn("lang_id", predict(F.col("text").cast("string"))).select(*docs.columns, "lang_id.*")
+    # a filter on what it says would else run it a second time
+    return docs.withColumn("lang_id", predict.asNondeterministic()(F.col("text").cast("string"))).select(*docs.columns, "lang_id.*")
 
 
 def fold(doc_id: Column, parts: int) -> Column:
