@@ -56,7 +56,7 @@ def words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes by word; a worker keeps those it met, up to a bound."""
 
-    bound = 400_000
+    bound = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.bound:

@@ -175,7 +175,7 @@ def _powers(n: int, base: int) -> np.ndarray:
 class _Table:
     """Ids of pieces by a 64-bit hash: open addressing in arrays, looked up for many pieces at once."""
 
-    def __init__(self, bits: int = 22):
+    def __init__(self, bits: int = 20):
         self.bits = bits
         self.keys = np.zeros(1 << bits, np.uint64)
         self.starts = np.zeros(1 << bits, np.int64)
@@ -252,8 +252,18 @@ class _Encoder:
             np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * self.power[: n - 1], out=total[1:])
             return mixed((total[ends] - total[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+    def batch(self, texts: list[str], size: int = 1 << 20) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers, about `size` characters at a time."""
+        out, held, n = [], [], 0
+        for text in texts:
+            held.append(text)
+            n += len(text)
+            if n >= size:
+                out += self._batch(held)
+                held, n = [], 0
+        return out + self._batch(held) if held else out
+
+    def _batch(self, texts: list[str]) -> list[bytes]:
         raws = [("" if "<|" in t else t).encode() for t in texts]
         flat = np.frombuffer(b" " + b" ".join(raws) + b" ", np.uint8)  # a space around each text, which is none of it
         text_ends = np.cumsum(np.array([len(r) for r in raws], np.int64) + 1)
