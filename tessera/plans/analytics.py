@@ -247,6 +247,18 @@ def j14_offset_to_page(spark, sf_dir):
     return docs.select("doc_id", F.floor(F.length("text") / 2).alias("off"), starts.alias("starts")).select("doc_id", "off", R.page_at(F.col("starts"), F.col("off")).alias("page"))
 
 
+@query(
+    "j14_offset_to_page_whole",
+    """with t as (select doc_id, length(text) // 2 as off, text from documents where text is not null)
+select doc_id, off, cast(1 + off - length(replace(left(text, off), chr(10), '')) as integer) as page from t""",
+)
+def j14_offset_to_page_whole(spark, sf_dir):
+    """Texts of any length: the lines up to an offset are counted in one linear pass."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").withColumn("off", F.floor(F.length("text") / 2))
+    before = F.substring(F.col("text"), F.lit(1), F.col("off").cast("int"))
+    return docs.select("doc_id", "off", F.size(F.split(before, "\n")).alias("page"))
+
+
 @query(
     "j17_newest_unconflicted",
     """with r as (select *, max(date_trunc('day', ts)) over (partition by user_id, event_type) as m from events)
@@ -280,6 +292,12 @@ def k5_nulls_last(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", due.alias("due")).orderBy(F.col("due").asc_nulls_last(), "o_orderkey").limit(12000)
 
 
+@query("k5_nulls_last_whole", "select o_orderkey, case when o_orderkey % 3 = 0 then null else o_orderdate end as due from orders order by due asc nulls last, o_orderkey")
+def k5_nulls_last_whole(spark, sf_dir):
+    due = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderdate"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", due.alias("due")).orderBy(F.col("due").asc_nulls_last(), "o_orderkey")
+
+
 @query("x1_exact_dedupe", "select source, sha256(text) as content_hash, min(doc_id) as first, count(*) as copies from documents group by 1, 2")
 def x1_exact_dedupe(spark, sf_dir):
     return R.exact_duplicates(table(spark, sf_dir, "documents"), "source", "text", "doc_id")
