@@ -1,7 +1,7 @@
 """LM scoring by masked pseudo-likelihood.
 
 Words are counted over all documents; the commonest are tokens of their own and the rest fall into
-classes by ending. A window network predicts each token from the tokens on both sides of it: a table
+classes by ending, within which a word has the share of its count. A window network predicts each token from the tokens on both sides of it: a table
 a position sums into a hidden layer, and the answer is a class of tokens, then a token of the class.
 Each task trains a copy on windows that tile its whole documents, so every token is read once a
 round, and the copies are averaged by the windows they saw. A document's score is the sum of its
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, words
+from .common import small_batches, words, written
 
 CLASSES, EACH, OTHERS = 32, 32, 64
 SIZE = CLASSES * EACH
@@ -47,12 +47,23 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(work, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame) -> list[bytes]:
+def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> list[bytes]:
     """The commonest words, most common first, ties by bytes: as many as the network has tokens for."""
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(SIZE - OTHERS).collect()
+    top = (word_counts(docs) if counts is None else counts).orderBy(F.desc("n"), "word").limit(SIZE - OTHERS).collect()
     return [bytes(r["word"]) for r in top]
 
 
+def class_counts(counts: DataFrame, known: list[bytes]) -> np.ndarray:
+    """How often words of each class stand in the documents."""
+    kind = F.pmod(F.crc32(F.expr("substring(word, -2, 2)")), F.lit(OTHERS)).cast("int")
+    names = counts.sparkSession.createDataFrame([(bytearray(w),) for w in known], "word binary")
+    rare = counts.join(F.broadcast(names), "word", "left_anti")
+    out = np.ones(OTHERS)
+    for r in rare.groupBy(kind.alias("kind")).agg(F.sum("n").alias("n")).collect():
+        out[r["kind"]] = r["n"]
+    return out
+
+
 class Tokens(dict):
     """Numbers of words: known ones by rank, the rest by a hash of the ending; a worker keeps those it met, up to a bound."""
 
@@ -70,7 +81,9 @@ class Tokens(dict):
         return value
 
     def ids(self, text: str | None) -> np.ndarray:
-        found = words(text)
+        return self.numbers(words(text))
+
+    def numbers(self, found: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, found), np.int32, len(found))
 
 
@@ -246,35 +259,56 @@ def train(docs: DataFrame, known: list[bytes], rounds: int = 1) -> Network:
     return network
 
 
-def score(docs: DataFrame, known: list[bytes], network: Network) -> DataFrame:
+def score(docs: DataFrame, known: list[bytes], network: Network, counts: DataFrame | None = None) -> DataFrame:
     """(doc_id, n_tokens, log_prob, mean_log_prob) of each row of docs.
 
+    The network tells the class of a word that is no token of its own; within the class a word has its
+    share of counts, those of docs where none are given. A word that counts lack counts as met once.
     A null or wordless text has no tokens, the sum 0 and no mean. Repeated rows and null ids are kept;
     other columns are ignored.
     """
     spark = docs.sparkSession
+    if counts is None:
+        counts = written(word_counts(docs), "words")
     small_batches(spark, 400)
-    shared = spark.sparkContext.broadcast((known, network.flat()))
+    shared = spark.sparkContext.broadcast((known, network.flat(), np.log(class_counts(counts, known))))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, flat_ = shared.value
+        from pyspark import TaskContext
+
+        known, flat_, within = shared.value
         tokens, model = Tokens(known), Network().load(flat_)
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            ids = [tokens.ids(t) for t in batch.column(1).to_pylist()]
+            found = [words(t) for t in batch.column(1).to_pylist()]
+            ids = [tokens.numbers(x) for x in found]
+            rare = [Counter([x[k] for k in np.flatnonzero(n >= SIZE - OTHERS).tolist()]) for x, n in zip(found, ids, strict=True)]
             lengths = np.array([len(x) for x in ids], np.int64)
             flat, at = padded(ids)
-            values = np.append(model.log_probs(flat, at), 0.0)
+            values = model.log_probs(flat, at)
+            classed = flat[at] >= SIZE - OTHERS
+            values[classed] -= within[flat[at][classed] - (SIZE - OTHERS)]
+            values = np.append(values, 0.0)
             ends = np.cumsum(lengths)
             starts = ends - lengths
             sums = np.where(lengths > 0, np.add.reduceat(values, np.minimum(starts, len(values) - 1)), 0.0) if len(ids) else np.zeros(0)
-            means = [s / n if n else None for s, n in zip(sums.tolist(), lengths.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths), pa.array(sums), pa.array(means, pa.float64())], ["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
+            lists = [pa.array([list(x) for x in rare], pa.list_(pa.binary())), pa.array([list(x.values()) for x in rare], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(ids))), batch.column(0), pa.array(lengths), pa.array(sums), *lists], ["row", "doc_id", "n_tokens", "log_prob", "rare", "times"])
+            row += len(ids)
 
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return kept.mapInArrow(work, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+    # written, as row numbers must be the same for both readers
+    base = written(kept.mapInArrow(work, "row long, doc_id long, n_tokens long, log_prob double, rare array<binary>, times array<long>"), "classes")
+    met = base.select("row", F.inline(F.arrays_zip(F.col("rare").alias("word"), "times")).alias("word", "times"))
+    logs = counts.where("n > 1").select("word", F.log("n").alias("log_n"))
+    gains = met.join(logs, "word").groupBy("row").agg(F.sum(F.col("times") * F.col("log_n")).alias("gain"))
+    whole = base.select("row", "doc_id", "n_tokens", "log_prob").join(gains, "row", "left")
+    whole = whole.select("doc_id", "n_tokens", (F.col("log_prob") + F.coalesce("gain", F.lit(0.0))).alias("log_prob"))
+    return whole.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
 
 
 def lm_score(docs: DataFrame, rounds: int = 1) -> DataFrame:
     """Count words, train and score on the same documents."""
-    known = vocabulary(docs)
-    return score(docs, known, train(docs, known, rounds))
+    counts = written(word_counts(docs), "words")
+    known = vocabulary(docs, counts)
+    return score(docs, known, train(docs, known, rounds), counts)

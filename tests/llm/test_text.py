@@ -176,6 +176,38 @@ def test_lm_score_is_the_plain_sum(spark):
     assert M.lm_score(df.where("false")).count() == 0
 
 
+def test_lm_score_tells_rare_words_apart(spark):
+    """The chances of the words of a class sum to that of the class, in proportion to their counts."""
+    common = " ".join(f"w{k}" for k in range(M.SIZE - M.OTHERS))
+    rows = [(k, common) for k in range(9)] + [(20 + k, "oneing " * 3 + "twoing threeing threeing") for k in range(2)] + [(30, "oneing"), (31, "twoing"), (31, "twoing"), (32, "unmet w1"), (33, "q"), (34, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = M.word_counts(df)
+    known = M.vocabulary(df, counts)
+    network = M.Network()
+    seen = {}
+    for _, t in rows:
+        for w in (t or "").encode().split():
+            seen[w] = seen.get(w, 0) + 1
+    tokens, of_class = M.Tokens(known), {}
+    assert not {b"oneing", b"twoing", b"threeing", b"unmet", b"q"} & set(known)
+    for w, n in seen.items():
+        if w not in known:
+            kind = int(tokens[w])
+            of_class[kind] = of_class.get(kind, 0) + n
+    out = M.score(df, known, network).collect()
+    assert len(out) == len(rows) and sum(r.doc_id == 31 for r in out) == 2
+    by = {r.doc_id: r for r in out}
+    for d, t in rows:
+        ids = [tokens.ids(t)]
+        flat, at = M.padded(ids)
+        want = network.log_probs(flat, at).sum() if len(at) else 0.0
+        for w in (t or "").encode().split():
+            if w not in known:
+                want += np.log(seen[w] / of_class[int(tokens[w])])
+        assert by[d].log_prob == pytest.approx(want, rel=1e-6) and by[d].n_tokens == len(at)
+    assert by[30].log_prob > by[31].log_prob and by[34].mean_log_prob is None
+
+
 def test_simple8b_round_trip():
     for n in (0, 1, 59, 60, 61, 4096, 5000, 40000):
         for top in (1, 2, 300, 50000, 2**40, 2**64 - 1):
