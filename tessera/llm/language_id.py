@@ -2,7 +2,8 @@
 
 Dictionaries are raw content: whole normalised texts of labelled rows, a bounded number of bytes a
 language. Compressed sizes are whole bytes, which is coarse for short texts: these are compressed with
-several dictionaries a language, and the mean size counts.
+several dictionaries a language, and the mean size counts. Long texts are compressed in pieces, each
+with the dictionaries afresh, so that all of a text has a say.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from .common import small_batches, words
 DICTIONARY_BYTES = 48 << 10
 DICTIONARIES = 3
 SHORT = 2000  # bytes up to which a text meets all dictionaries
+PIECE = 64 << 10  # bytes of a text that are compressed at once, so that the dictionaries stay within the window
 UNDETERMINED = "und"
 
 
@@ -75,7 +77,9 @@ def sizes_by(dictionaries: dict[str, list[bytes]]):
         made.append(own)
 
     def sizes(text: bytes) -> np.ndarray:
-        return np.array([sum(len(f(text)) for f in own) / len(own) for own in (made if len(text) <= SHORT else [x[:1] for x in made])])
+        n = max(1, -(-len(text) // PIECE))
+        pieces = [text[len(text) * k // n : len(text) * (k + 1) // n] for k in range(n)]
+        return np.array([sum(len(f(piece)) for f in own for piece in pieces) / len(own) for own in (made if len(text) <= SHORT else [x[:1] for x in made])])
 
     return sizes
 

@@ -133,6 +133,18 @@ def test_language_id(spark):
     assert L.identify(spark.createDataFrame(rows[:2], "doc_id long, text string"), {}).first().lang_pred == "und"
 
 
+def test_language_of_very_long_texts():
+    """All of a text counts, not its first MiB, and the lead keeps pace with the length."""
+    r = random.Random(8)
+    letters = {"xx": "abcdeilmnorst", "yy": "ghijkuvwzaeon"}
+    lexicon = {k: ["".join(r.choice(c) for _ in range(r.randint(3, 9))) for _ in range(20_000)] for k, c in letters.items()}
+    say = lambda lang, n: " ".join(r.choices(lexicon[lang], k=n)).encode()
+    sizes = L.sizes_by({k: [say(k, 7000) for _ in range(3)] for k in lexicon})
+    assert sizes(say("xx", 250_000) + b" " + say("yy", 400_000)).argmin() == 1
+    lead = [(n[1] - n[0]) / n[0] for n in (sizes(say("xx", k)) for k in (9_000, 500_000))]
+    assert lead[1] > 0.8 * lead[0] > 0.002
+
+
 def test_quality_rules(spark):
     r = random.Random(4)
     good = [" ".join(r.choice(["alpha", "beta", "gamma", "delta", "omega"]) + str(r.randint(0, 99)) for _ in range(40)) for _ in range(150)]
