@@ -3,8 +3,8 @@
 Words are counted over all documents; the commonest are tokens of their own and the rest fall into
 classes by ending, within which a word has the share of its count. A window network predicts each token from the tokens on both sides of it: a table
 a position sums into a hidden layer, and the answer is a class of tokens, then a token of the class.
-Each task trains a copy on windows that tile its whole documents, so every token is read once a
-round, and the copies are averaged by the windows they saw. A document's score is the sum of its
+Each task trains a copy on the windows of all tokens of its documents, so every token is the target
+once a round, and the copies are averaged by the windows they saw. A document's score is the sum of its
 tokens' conditional log-probabilities.
 """
 
@@ -214,13 +214,10 @@ def train(docs: DataFrame, known: list[bytes], rounds: int = 1) -> Network:
             tokens, copy = Tokens(known), Network().load(flat_)
             trainer, seen = Trainer(copy), 0
             held: list[np.ndarray] = []
-            width = 2 * SIDE + 1
 
             def learn() -> int:
                 flat, at = padded(held)
-                # windows that tile: every token is the target or a neighbour of one window
-                at = at[(np.arange(len(at)) + turn * SIDE) % width == SIDE]
-                np.random.default_rng(seen).shuffle(at)
+                np.random.default_rng([seen, turn]).shuffle(at)
                 for s in range(0, len(at), BATCH):
                     trainer.batch(flat, at[s : s + BATCH])
                 return len(at)

@@ -220,6 +220,15 @@ def test_lm_score_tells_rare_words_apart(spark):
     assert by[30].log_prob > by[31].log_prob and by[34].mean_log_prob is None
 
 
+def test_lm_training_predicts_every_token(spark):
+    """Documents of five words each, so that a stride of five would always meet the same word."""
+    df = spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit("one two three four five").alias("text"))
+    known = M.vocabulary(df)
+    network = M.train(df, known)
+    flat, at = M.padded([M.Tokens(known).ids("one two three four five")])
+    assert (network.log_probs(flat, at) > -1).all()
+
+
 def test_simple8b_round_trip():
     for n in (0, 1, 59, 60, 61, 4096, 5000, 40000):
         for top in (1, 2, 300, 50000, 2**40, 2**64 - 1):
