@@ -92,7 +92,7 @@ def format_chats(events: DataFrame, trained: str = "assistant") -> DataFrame:
     the result and is folded by one task, which holds its turns and no other's.
     """
     spark = events.sparkSession
-    small_batches(spark, 2000)
+    small_batches(spark)
     order = ["conv_id", "seq", "kind", "role", "text", "message"]
     size = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kept = events.select(F.col("conv_id").cast("long"), F.col("seq").cast("long"), F.col("message").cast("string"), F.coalesce(F.col("kind"), F.lit("message")).alias("kind"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -150,5 +150,5 @@ def digests(formatted: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    small_batches(formatted.sparkSession, 1000)
+    small_batches(formatted.sparkSession)
     return formatted.select("conv_id", "formatted", "loss_spans").mapInArrow(work, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

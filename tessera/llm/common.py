@@ -22,9 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 400) -> None:
-    """Texts may be long, so that Arrow batches carry few of them."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Texts may be long, so that Arrow batches are bounded by bytes; one setting for all operators, as plans run later than they are made."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -174,3 +175,23 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def passes_for(recall: float, chance: float) -> int:
     """Independent tries, each with the given chance, that reach a recall."""
     return max(1, math.ceil(math.log1p(-recall) / math.log1p(-chance))) if chance < 1 else 1
+
+
+def heavy(counts: DataFrame, weight: str, total: int, share: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """counts parted in rows of weight over total / share, of which there are fewer than share, and the rest."""
+    bound = total / share
+    return counts.where(F.col(weight) > bound), counts.where(F.col(weight) <= bound)
+
+
+def join_by_weight(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: int, columns: list[str]) -> DataFrame:
+    """rows left join facts by key, where a fact's weight is the number of its rows and total that of all.
+
+    Keys of more than a thousandth of the rows would each gather in one task; there are fewer than a
+    thousand of them, so they are broadcast, and their rows stay where they are.
+    """
+    many, few = heavy(facts.select(key, weight, *columns), weight, total)
+    many = F.broadcast(many.drop(weight).withColumnRenamed(key, "heavy_key").withColumn("is_heavy", F.lit(True)))
+    met = rows.join(many, rows[key].eqNullSafe(F.col("heavy_key")), "left")
+    first = met.where("is_heavy").drop("heavy_key", "is_heavy")
+    rest = met.where("is_heavy is null").drop("heavy_key", "is_heavy", *columns)
+    return first.unionByName(rest.join(few.drop(weight), key, "left"))

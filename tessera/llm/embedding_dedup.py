@@ -76,7 +76,7 @@ def tiled(vectors: DataFrame, passes: int, tile: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n))], ["pass", "label", "vec_id", "part", "place"])
             at += n
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    small_batches(spark)
     kind = "pass int, label string, vec_id long, part int, place long"
     ranked = written(flat.repartitionByRange(size, *order).sortWithinPartitions(*order).select("pass", "label", "vec_id").mapInArrow(numbered, kind), "ranked")
     counts = ranked.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()
@@ -191,7 +191,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, recall: float = 0.999
     vec_id gives no links, a null component_id and kept. An empty table gives an empty table.
     """
     spark = rows.sparkSession
-    small_batches(spark, 2000)
+    small_batches(spark)
     good = usable(rows)
     size = int(spark.conf.get("spark.sql.shuffle.partitions"))
     most = good.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0

@@ -487,7 +487,7 @@ def extract(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
     rows; null ids and urls are kept; other columns are ignored.
     """
     spark = pages.sparkSession
-    small_batches(spark, 200)
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model or trained())
     kept = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
 

@@ -43,7 +43,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
-    small_batches(docs.sparkSession, 400)
+    small_batches(docs.sparkSession)
     return docs.select(F.col("text").cast("string")).mapInArrow(work, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -247,7 +247,7 @@ def train(docs: DataFrame, known: list[bytes], rounds: int = 1) -> Network:
             for block, (total, weight) in sums.items():
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([(total / weight).astype("<f4").tobytes()], pa.binary())], ["block", "part"])
 
-        small_batches(spark, 400)
+        small_batches(spark)
         copies = docs.select(F.col("text").cast("string")).mapInArrow(work, "block int, weight double, part binary")
         size = int(spark.conf.get("spark.sql.shuffle.partitions"))
         rows = copies.repartition(size, "block").mapInArrow(average, "block int, part binary").orderBy("block").collect()
@@ -267,7 +267,7 @@ def score(docs: DataFrame, known: list[bytes], network: Network, counts: DataFra
     spark = docs.sparkSession
     if counts is None:
         counts = written(word_counts(docs), "words")
-    small_batches(spark, 400)
+    small_batches(spark)
     shared = spark.sparkContext.broadcast((known, network.flat(), np.log(class_counts(counts, known))))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
