@@ -1,9 +1,9 @@
 """Language ID by compression: a text belongs to the language whose zstandard dictionary makes it smallest.
 
-Dictionaries are raw content: whole normalised texts of labelled rows, a bounded number of bytes a
-language. Compressed sizes are whole bytes, which is coarse for short texts: these are compressed with
-several dictionaries a language, and the mean size counts. Long texts are compressed in pieces, each
-with the dictionaries afresh, so that all of a text has a say.
+Dictionaries are raw content: normalised texts of labelled rows, a bounded number of bytes a language.
+Compressed sizes are whole bytes, which is coarse for short texts, so a text is compressed with two
+dictionaries a language, and the mean size counts. Texts are compressed in pieces, each with the
+dictionaries afresh, so that all of a text has a say.
 """
 
 from __future__ import annotations
@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, words
 
-DICTIONARY_BYTES = 48 << 10
-DICTIONARIES = 3
-SHORT = 2000  # bytes up to which a text meets all dictionaries
+DICTIONARY_BYTES = 64 << 10
+DICTIONARIES = 2
+BUCKETS = 256  # labelled texts a language that the driver sees at most, each of up to DICTIONARY_BYTES characters
 PIECE = 64 << 10  # bytes of a text that are compressed at once, so that the dictionaries stay within the window
 UNDETERMINED = "und"
 
@@ -38,16 +38,20 @@ def normalised(text: str | None) -> bytes:
 
 
 def learn(labelled: DataFrame, dictionary_bytes: int = DICTIONARY_BYTES, dictionaries: int = DICTIONARIES) -> dict[str, list[bytes]]:
-    """Dictionaries by language from labelled(text, lang).
+    """Dictionaries by language from labelled(text, lang); the sample is bounded by dictionary_bytes, dictionaries and BUCKETS.
 
-    The sample is bounded: for each language and each of 256 hash buckets the text of least hash, which
-    partial aggregation finds without a shuffle of the texts; texts fill the dictionaries in hash order.
+    For each language and each hash bucket the text of least hash counts, which partial aggregation finds
+    without a shuffle of the texts; of a text longer than a dictionary a window at a hashed place. Texts
+    fill the dictionaries in hash order. Rows without text or lang teach nothing, repeated ones once; no
+    rows give no dictionaries; other columns are ignored.
     """
     rows = labelled.where("text is not null and lang is not null and length(text) > 0")
-    rows = rows.select("lang", "text", F.xxhash64("text").alias("h"))
+    rows = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    size = F.length("text")
+    window = F.when(size > dictionary_bytes, F.substr("text", F.pmod("h", size - dictionary_bytes).cast("int") + 1, F.lit(dictionary_bytes))).otherwise(F.col("text"))
     # short enough that a bucket's winner fits a dictionary many times over, where a language has such texts
-    least = F.min(F.struct(F.when(F.length("text").between(200, 4000), 0).otherwise(1).alias("odd"), "h", "text"))
-    picked = rows.groupBy("lang", F.pmod("h", F.lit(256)).alias("bucket")).agg(least.alias("least")).select("lang", "least.*").collect()
+    least = F.min(F.struct(F.when(size.between(200, 4000), 0).otherwise(1).alias("odd"), "h", window.alias("text")))
+    picked = rows.groupBy("lang", F.pmod("h", F.lit(BUCKETS)).alias("bucket")).agg(least.alias("least")).select("lang", "least.*").collect()
     out: dict[str, list[bytes]] = {}
     for lang in sorted({r["lang"] for r in picked}):
         texts = [normalised(r["text"]) for r in sorted((r for r in picked if r["lang"] == lang), key=lambda r: (r["odd"], r["h"]))]
@@ -66,7 +70,7 @@ def sizes_by(dictionaries: dict[str, list[bytes]]):
     import zstandard
 
     # lazy matching of three bytes or more: short matches are what tells languages apart
-    params = zstandard.ZstdCompressionParameters(window_log=20, chain_log=17, hash_log=17, search_log=4, min_match=3, target_length=16, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0)
+    params = zstandard.ZstdCompressionParameters(window_log=20, chain_log=17, hash_log=17, search_log=3, min_match=3, target_length=16, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0)
     made = []
     for lang in sorted(dictionaries):
         own = []
@@ -79,20 +83,21 @@ def sizes_by(dictionaries: dict[str, list[bytes]]):
     def sizes(text: bytes) -> np.ndarray:
         n = max(1, -(-len(text) // PIECE))
         pieces = [text[len(text) * k // n : len(text) * (k + 1) // n] for k in range(n)]
-        return np.array([sum(len(f(piece)) for f in own for piece in pieces) / len(own) for own in (made if len(text) <= SHORT else [x[:1] for x in made])])
+        return np.array([sum(len(f(piece)) for f in own for piece in pieces) / len(own) for own in made])
 
     return sizes
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, list[bytes]], margin: float = 0.002) -> DataFrame:
-    """docs with lang_pred, score and rejected.
+    """docs with lang_pred, score and rejected; a column of docs by one of these names gives way.
 
     lang_pred is the language of the least size, the first by name on a tie, and `und` for a null text or
     one without letters. score is the best language's weight when each loses two to the power of the
     bits by which it is larger, a byte of difference counting as one bit. rejected says that the text is
-    `und` or that the second language lies within margin of the best size. With no dictionaries every text is `und`.
+    `und` or that the second language lies within margin of the best size. With no dictionaries every text
+    is `und`. Repeated rows are kept, and an empty table gives an empty table.
     """
-    small_batches(docs.sparkSession, 400)
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
     names = sorted(dictionaries)
     kind = "struct<lang_pred: string, score: double, rejected: boolean>"
@@ -115,7 +120,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, list[bytes]], margin: floa
             yield pd.DataFrame(out, columns=["lang_pred", "score", "rejected"])
 
     # a filter on what it says would else run it a second time
-    return docs.withColumn("lang_id", predict.asNondeterministic()(F.col("text").cast("string"))).select(*docs.columns, "lang_id.*")
+    told = docs.select(F.struct("*").alias("document"), predict.asNondeterministic()(F.col("text").cast("string")).alias("told"))
+    return told.select(*[F.col("document")[c].alias(c) for c in docs.columns if c not in ("lang_pred", "score", "rejected")], "told.*")
 
 
 def fold(doc_id: Column, parts: int) -> Column:
