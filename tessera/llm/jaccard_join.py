@@ -2,8 +2,8 @@
 
 1. Each text becomes a class key (its word sequence) and the band hashes of its five-word shingles.
 2. Texts of one key form a class; from here on a class stands once, by its least doc_id.
-3. Classes that share a band hash meet in a bucket. A bucket over `BLOCK` classes is split into
-   blocks, and each pair of blocks is a group of its own, so a hot bucket spreads over tasks.
+3. Classes that share a band hash meet in a bucket. A bucket over `BLOCK` classes or `WORDS` words is
+   split into blocks, and each pair of blocks is a group of its own, so a hot bucket spreads over tasks.
 4. A pair counts in the first band that its two classes share, so no group repeats another's work;
    a first round on band hashes alone tells which classes need their texts in which groups.
 5. Groups verify their pairs on the full shingle sets and return counts of links by class and a
@@ -19,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mixed, passes_for, runs, shingle_hashes, small_batches, text_key, words, written
+from .common import components, join_by_weight, mixed, passes_for, runs, shingle_hashes, small_batches, text_key, words, written
 
 BLOCK = 1024
+WORDS = 2_000_000
 
 
 def banding(threshold: float, recall: float, hashes: int = 128) -> tuple[int, int]:
@@ -52,29 +53,30 @@ def band_hashes(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
-    """(doc_id, key, bands): null keys where a text is null or has no word."""
+    """(doc_id, h, key, size, bands): a hash of the text, its class key, words and band hashes; null keys where a text is null or has no word."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
             keys: list[bytes | None] = []
             sets, where = [], {}
-            place = []
-            for text in texts:
+            place, sizes = [], []
+            for text in batch.column(2).to_pylist():
                 found = words(text)
                 key = text_key(found)
                 keys.append(key)
+                sizes.append(len(found))
                 if key is not None and key not in where:  # copies within a batch are sketched once
                     where[key] = len(sets)
                     sets.append(shingle_hashes(found, n))
                 place.append(where.get(key, -1))
             hashes = band_hashes(sets, bands, rows).view(np.int64) if sets else np.zeros((1, bands), np.int64)
             lists = [hashes[p] if p >= 0 else None for p in place]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "h", "key", "size", "bands"])
 
-    small_batches(docs.sparkSession, 400)
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return kept.mapInArrow(work, "doc_id long, key binary, bands array<long>")
+    small_batches(docs.sparkSession)
+    text = F.col("text").cast("string")
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    return kept.mapInArrow(work, "doc_id long, h long, key binary, size long, bands array<long>")
 
 
 def fresh_pairs(bands: np.ndarray, others: np.ndarray, bucket: int) -> np.ndarray:
@@ -177,21 +179,11 @@ def verifier(threshold: float, n: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for group in runs(batches, ["bucket", "i", "j"]):
-            # rows of one doc_id that hold another text are not this class
-            found = [words(t) for t in group.column("text").to_pylist()]
-            keys = group.column("key").to_pylist()
-            good, seen = [], set()
-            for k, (key, w) in enumerate(zip(keys, found, strict=True)):
-                if key not in seen and text_key(w) == key:
-                    seen.add(key)
-                    good.append(k)
-            if len(good) < 2:
+            if len(group) < 2:
                 continue
-            group = group.take(good)
-            keys = [keys[k] for k in good]
-            sizes = group.column("copies").to_pylist()
-            sets = [np.unique(shingle_hashes(found[k], n)) for k in good]
-            del found
+            keys, sizes = group.column("key").to_pylist(), group.column("copies").to_pylist()
+            # one text's words at a time, as texts may be long
+            sets = [np.unique(shingle_hashes(words(t.as_py()), n)) for t in group.column("text")]
             bands = _matrix(group.column("bands"))
             left, right, same = _sides(group)
             if not len(left) or not len(right):
@@ -199,7 +191,7 @@ def verifier(threshold: float, n: int):
             fresh = fresh_pairs(bands[left], bands[right], group.column("bucket")[0].as_py())
             if same:
                 fresh = np.triu(fresh, 1)
-            if len(good) <= 8:
+            if len(keys) <= 8:
                 linked = np.zeros_like(fresh)
                 for x, y in np.argwhere(fresh).tolist():
                     linked[x, y] = pair(sets[left[x]], sets[right[y]])
@@ -208,10 +200,10 @@ def verifier(threshold: float, n: int):
                 la, lb = np.array([len(sets[k]) for k in left]), np.array([len(sets[k]) for k in right])
                 linked = fresh & (shared >= threshold * (la[:, None] + lb[None, :] - shared))
             weight = np.array(sizes, np.int64)
-            links = np.zeros(len(good), np.int64)
+            links = np.zeros(len(keys), np.int64)
             np.add.at(links, left, linked @ weight[right])
             np.add.at(links, right, linked.T @ weight[left])
-            root = least_linked(linked, left, right, len(good)).tolist()
+            root = least_linked(linked, left, right, len(keys)).tolist()
             out += [(keys[k], int(links[k]), keys[root[k]]) for k in np.flatnonzero(links).tolist()]
             if len(out) >= 2000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
@@ -222,46 +214,61 @@ def verifier(threshold: float, n: int):
     return work
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9995, block: int = BLOCK) -> DataFrame:
+def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9995, block: int = BLOCK, by_text: bool = False) -> DataFrame:
     """Texts whose sets of n-word shingles have a Jaccard similarity of at least the threshold.
 
     Returns a row for each row of docs: doc_id, class_id (least doc_id with the same words), n_copies
     (documents of the class), n_links (other documents linked, copies included), component_id (least
-    doc_id reachable by links), kept (doc_id = component_id). Texts with fewer than n words count as
-    one shingle. Texts without words, null ones too, and rows without a doc_id link with nothing: they
-    have themselves as class and component, and are kept. Repeated rows count once as a document.
+    doc_id reachable by links), kept (the row's class is the component's first, and doc_id its least).
+    Texts with fewer than n words count as one shingle. Texts without words, null ones too, and rows
+    without a doc_id link with nothing: they have themselves as class and component, and are kept.
+    Repeated rows count once as a document; rows of one doc_id with different words are classes of their
+    own, which link only by what they say. Other columns are ignored, and an empty table gives an empty
+    table. by_text adds text_hash (xxhash64 of the text) and stays, which is kept for one text only
+    where a kept document has several that say the same words.
     """
     bands, rows = banding(threshold, recall)
     flat = written(sketches(docs, bands, rows, n), "sketches")
-    classes = flat.where("key is not null and doc_id is not null").groupBy("key", "doc_id").agg(F.first("bands").alias("bands")).groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    classes = written(classes, "classes")
-    entries = classes.select("key", F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
+    by_doc = flat.where("key is not null and doc_id is not null").groupBy("key", "doc_id").agg(F.min("h").alias("h"), F.max("h").alias("last"), F.count("*").alias("rows"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    classes = by_doc.groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("least"), F.count("*").alias("copies"), F.sum("rows").alias("rows"), F.bool_or(F.col("h") != F.col("last")).alias("spelled"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    classes = written(classes.select("key", F.col("least.doc_id").alias("rep"), F.col("least.h").alias("h"), "copies", "rows", "spelled", "size", "bands"), "classes")
+    entries = classes.select("key", "size", F.explode("bands").alias("bucket"))
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("size").alias("words")).where("m > 1")
     met = entries.join(shared, "bucket")
-    parts = F.ceil(F.col("m") / F.lit(block)).cast("int")
+    parts = F.greatest(F.ceil(F.col("m") / F.lit(block)), F.ceil(F.col("words") / F.lit(WORDS))).cast("int")
     met = met.withColumn("p", parts).withColumn("own", F.pmod(F.xxhash64("key"), F.col("p")).cast("int"))
     met = met.withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
     met = met.select("bucket", F.least("own", "peer").cast("int").alias("i"), F.greatest("own", "peer").cast("int").alias("j"), "own", "key")
-    grouped = met.join(classes.select("key", "rep", "copies", "bands"), "key")
+    grouped = met.join(classes.select("key", "rep", "h", "copies", "bands"), "key")
     size = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def gathered(df: DataFrame) -> DataFrame:
         return df.repartition(size, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
-    columns = ["bucket", "i", "j", "own", "key", "rep", "copies", "bands"]
-    kinds = "bucket long, i int, j int, own int, key binary, rep long, copies long, bands array<long>"
+    columns = ["bucket", "i", "j", "own", "key", "rep", "h", "copies", "bands"]
+    kinds = "bucket long, i int, j int, own int, key binary, rep long, h long, copies long, bands array<long>"
     items = written(gathered(grouped.select(columns)).mapInArrow(needed, kinds), "items")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    small_batches(docs.sparkSession, 400)
-    links = gathered(items.join(texts, "rep").select(*columns, "text")).mapInArrow(verifier(threshold, n), "key binary, links long, other binary")
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64(text).alias("h"), text.alias("text"))
+    # a class's text once, however often its row is repeated
+    texts = texts.join(items.select("rep", "h").distinct(), ["rep", "h"], "left_semi").groupBy("rep", "h").agg(F.first("text").alias("text"))
+    small_batches(docs.sparkSession)
+    links = gathered(items.join(texts, ["rep", "h"]).select(*columns, "text")).mapInArrow(verifier(threshold, n), "key binary, links long, other binary")
     links = written(links, "links")
-    reps = classes.select("key", "rep", "copies")
+    reps = classes.select("key", "rep", "h", "copies", "rows", "spelled")
     counts = links.groupBy("key").agg(F.sum("links").alias("links"))
-    edges = links.join(reps.select("key", F.col("rep").alias("a")), "key").join(reps.select(F.col("key").alias("other"), F.col("rep").alias("b")), "other")
-    found = components(edges.select("a", "b"))
-    known = reps.join(counts, "key", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select("key", F.col("rep").alias("class_id"), F.col("copies").alias("n_copies"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    node = F.struct(F.col("rep").alias("d"), F.col("key").alias("k"))
+    ends = reps.select("key", node.alias("node"))
+    edges = links.where("key <> other").select("key", "other").join(ends.withColumnRenamed("node", "a"), "key").join(ends.select(F.col("key").alias("other"), F.col("node").alias("b")), "other")
+    found = components(edges.select("a", "b")).select(F.col("node.k").alias("key"), "component")
+    known = reps.join(counts, "key", "left").join(found, "key", "left").withColumn("component", F.coalesce("component", node))
+    first = F.col("component.k") == F.col("key")
+    known = known.select("key", "rows", F.col("rep").alias("class_id"), F.col("copies").alias("n_copies"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("component.d").alias("component_id"), first.alias("first"), F.when(F.col("spelled"), F.col("h")).alias("spelling"))
     # only classes that say more than their single document does are joined back
-    known = known.where("n_links > 0")
-    out = flat.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(known, "key", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    known = written(known.where("n_links > 0 or spelling is not null"), "known")
+    said = flat.select("doc_id", F.col("h").alias("text_hash"), F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key"))
+    out = join_by_weight(said, known, "key", "rows", flat.count(), ["class_id", "n_copies", "n_links", "component_id", "first", "spelling"])
+    kept = F.coalesce(F.col("first") & (F.col("doc_id") == F.col("component_id")), F.lit(True))
+    stays = kept & F.coalesce(F.col("text_hash") == F.col("spelling"), F.lit(True))
+    columns = [F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"), kept.alias("kept")]
+    return out.select("doc_id", *columns, *([F.col("text_hash"), stays.alias("stays")] if by_text else []))
