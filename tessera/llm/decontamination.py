@@ -39,46 +39,107 @@ def _free(marked: np.ndarray, n: int) -> np.ndarray:
     return total[n:] == total[:-n]
 
 
+def _ahead(marked: np.ndarray) -> np.ndarray:
+    """How many unmarked words stand from each place on."""
+    stops = np.flatnonzero(np.append(marked, True))
+    at = np.arange(len(marked))
+    return stops[np.searchsorted(stops, at)] - at
+
+
+def _matches(item: np.ndarray, text: np.ndarray, used_i: np.ndarray, used_t: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts in item and text and lengths of all common unmarked runs of at least a length that reach no further to the left.
+
+    Starts meet by hash, and only where the words before them differ, so that a repeated phrase gives a
+    match for each of its runs and not for each pair of its words; runs are extended by doubling.
+    """
+    none = np.zeros(0, np.int64)
+    hi, ht = rolling(item, length), rolling(text, length)
+    at_i, at_t = np.flatnonzero(_free(used_i, length)), np.flatnonzero(_free(used_t, length))
+    both = np.intersect1d(hi[at_i], ht[at_t])
+    at_i, at_t = at_i[np.isin(hi[at_i], both)], at_t[np.isin(ht[at_t], both)]
+    if not len(at_i):
+        return none, none, none
+    # the word before a start; where none is free two numbers that no words have and that differ
+    before_i = np.where((at_i == 0) | used_i[at_i - 1], -1, item[at_i - 1].astype(np.int64))
+    before_t = np.where((at_t == 0) | used_t[at_t - 1], -2, text[at_t - 1].astype(np.int64))
+    words_ = np.unique(before_t)
+    group_t = np.searchsorted(both, ht[at_t]) * (len(words_) + 1) + np.searchsorted(words_, before_t)
+    order = np.argsort(group_t, kind="stable")
+    at_t, group_t = at_t[order], group_t[order]
+    place = np.minimum(np.searchsorted(words_, before_i), len(words_) - 1)
+    own = np.searchsorted(both, hi[at_i]) * (len(words_) + 1)
+    first, last = np.searchsorted(group_t, own), np.searchsorted(group_t, own + len(words_), "right")
+    same = words_[place] == before_i
+    skip, resume = np.searchsorted(group_t, own + place), np.searchsorted(group_t, own + place, "right")
+    skip, resume = np.where(same, skip, last), np.where(same, resume, last)
+    starts, counts = np.concatenate([first, resume]), np.concatenate([skip - first, last - resume])
+    total = np.cumsum(counts)
+    p = np.repeat(np.concatenate([at_i, at_i]), counts)
+    q = at_t[np.repeat(starts - (total - counts), counts) + np.arange(total[-1])] if len(p) else none
+    most = np.minimum(_ahead(used_i)[p], _ahead(used_t)[q])
+    n = np.zeros(len(p), np.int64)
+    size = 1 << max(int(most.max()).bit_length() - 1, 0) if len(p) else 0
+    while size:
+        fits = np.flatnonzero(n + size <= most)
+        if len(fits):
+            a, b = rolling(item, size), rolling(text, size)
+            n[fits[a[p[fits] + n[fits]] == b[q[fits] + n[fits]]]] += size
+        size //= 2
+    good = n >= length
+    return p[good], q[good], n[good]
+
+
+def _behind(marked: np.ndarray) -> np.ndarray:
+    """How many marked words stand from each place on."""
+    return _ahead(~marked)
+
+
+def _pieces(p: np.ndarray, q: np.ndarray, n: np.ndarray, used_i: np.ndarray, used_t: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What tiles have left of matches: their unmarked runs of at least a length."""
+    free_i, free_t, taken_i, taken_t = _ahead(used_i), _ahead(used_t), _behind(used_i), _behind(used_t)
+    ends, out = p + n, []
+    while len(p):
+        run = np.minimum(np.minimum(free_i[p], free_t[q]), ends - p)
+        good = run >= length
+        out.append((p[good], q[good], run[good]))
+        p, q = p + run, q + run
+        on = p + length <= ends
+        p, q, ends = p[on], q[on], ends[on]
+        skip = np.maximum(taken_i[p], taken_t[q])
+        p, q = p + skip, q + skip
+        on = p + length <= ends
+        p, q, ends = p[on], q[on], ends[on]
+    return tuple(np.concatenate([x[k] for x in out]) if out else n[:0] for k in range(3))
+
+
 def tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (start in item, start in text, length), longest first, ties by place in item, then in text.
 
-    The search length falls from the item's length by halves while no match of it exists, and a longer
-    match restarts it; matches of hashes are verified word by word.
+    The search length falls from the item's length by halves. At each, matches are taken from the
+    longest on; what a tile has cut off a match stays in the race with its own length. Matches of hashes
+    are verified word by word.
     """
     found: list[tuple[int, int, int]] = []
     used_i, used_t = np.zeros(len(item), bool), np.zeros(len(text), bool)
     length = min(len(item), len(text))
     while length >= least:
-        hi, ht = rolling(item, length), rolling(text, length)
-        hi_ok, ht_ok = np.flatnonzero(_free(used_i, length)), np.flatnonzero(_free(used_t, length))
-        common = np.intersect1d(hi[hi_ok], ht[ht_ok])
-        if not len(common):
-            length = max(length // 2, least) if length > least else 0
-            continue
-        hi_ok, ht_ok = hi_ok[np.isin(hi[hi_ok], common)], ht_ok[np.isin(ht[ht_ok], common)]
-        order = np.argsort(ht[ht_ok], kind="stable")
-        sorted_t = ht[ht_ok][order]
-        matches = []
-        for p in hi_ok.tolist():
-            s, e = np.searchsorted(sorted_t, hi[p], "left"), np.searchsorted(sorted_t, hi[p], "right")
-            for q in ht_ok[order[s:e]].tolist():
-                n = 0
-                while p + n < len(item) and q + n < len(text) and not used_i[p + n] and not used_t[q + n] and item[p + n] == text[q + n]:
-                    n += 1
-                if n >= length:
-                    matches.append((-n, p, q))
-        if not matches:
-            length = max(length // 2, least) if length > least else 0
-            continue
-        longest = -min(matches)[0]
-        if longest > 2 * length:  # longer ones first, as running Karp-Rabin has it
-            length = longest
-            continue
-        for n, p, q in sorted(matches):
-            if not used_i[p : p - n].any() and not used_t[q : q - n].any():
-                used_i[p : p - n] = used_t[q : q - n] = True
-                found.append((p, q, -n))
-        # what is left of cut matches may still be long: look again at this length before a shorter one
+        p, q, n = _matches(item, text, used_i, used_t, length)
+        while len(n):
+            top = int(n.max())
+            now = np.flatnonzero(n == top)
+            now = now[np.lexsort((q[now], p[now]))]
+            false = np.zeros(len(n), bool)
+            while len(now):
+                x, y = int(p[now[0]]), int(q[now[0]])
+                if (item[x : x + top] == text[y : y + top]).all():
+                    used_i[x : x + top] = used_t[y : y + top] = True
+                    found.append((x, y, top))
+                    now = now[((p[now] >= x + top) | (p[now] + top <= x)) & ((q[now] >= y + top) | (q[now] + top <= y))]
+                else:  # equal hashes of unequal words
+                    false[now[0]] = True
+                    now = now[1:]
+            p, q, n = _pieces(p[~false], q[~false], n[~false], used_i, used_t, length)
+        length = max(length // 2, least) if length > least else 0
     return found
 
 
@@ -143,7 +204,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 4, seed: int =
     blocks of block_bytes, with a pass over the documents for each.
     """
     spark = docs.sparkSession
-    small_batches(spark, 400)
+    small_batches(spark)
     kind = "doc_id long, item_id long, covered long, item_words long, coverage double"
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = []
@@ -188,7 +249,10 @@ def _tiler(shared, least: int, seed: int, threshold: float):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of docs that hold no benchmark item (see overlaps); rows without an id are judged by their text too."""
-    keyed = docs.withColumn("decon_key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    hits = written(overlaps(keyed.select(F.col("decon_key").alias("doc_id"), "text"), benchmark, **how).select("doc_id").distinct(), "leaks")
-    return keyed.join(hits.withColumnRenamed("doc_id", "decon_key"), "decon_key", "left_anti").select(docs.columns)
+    """The rows of docs that hold no benchmark item (see overlaps), in the columns of docs, whatever their names.
+
+    Rows without an id are judged by their text too; null and empty texts and repeated rows are kept.
+    """
+    keyed = docs.select(F.struct("*").alias("document"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("leak"), "text")
+    hits = written(overlaps(keyed.select(F.col("leak").alias("doc_id"), "text"), benchmark, **how).select(F.col("doc_id").alias("leak")).distinct(), "leaks")
+    return keyed.join(hits, "leak", "left_anti").select("document.*")

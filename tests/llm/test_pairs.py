@@ -64,6 +64,17 @@ def test_jaccard_join(spark, block):
     assert jaccard_join(df.where("false")).count() == 0
 
 
+def test_jaccard_join_of_rows_that_share_an_id(spark):
+    """Row (9, Y) stays, as nothing is like it; of (9, X), a copy of 5, nothing stays, and of one document's two spellings one."""
+    x, y = " ".join(f"x{k}" for k in range(30)), " ".join(f"y{k}" for k in range(30))
+    rows = [(5, x), (9, x), (9, y), (9, y.upper()), (11, "one"), (None, x)] + [(5, x)] * 400
+    out = jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"h": F.lit(1), "first": F.lit(2)}), by_text=True).collect()
+    assert len(out) == len(rows)
+    kept = {(r.doc_id, r.text_hash) for r in out if r.stays}
+    assert sorted((d is None, d or 0) for d, _ in kept) == [(False, 5), (False, 9), (False, 11), (True, 0)]
+    assert {(r.doc_id, r.component_id, r.n_links) for r in out} == {(5, 5, 1), (9, 5, 1), (9, 9, 0), (11, 11, 0), (None, None, 0)}
+
+
 def test_banding_reaches_its_recall():
     for t, recall in ((0.8, 0.9995), (0.5, 0.99), (0.95, 0.999)):
         b, r = banding(t, recall)
@@ -77,6 +88,20 @@ def test_overlaps_of_sets():
     assert overlaps(a, b).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
 
 
+def test_tiles_of_repeated_phrases_are_quick():
+    """Periodic texts: one tile each, without a match for every pair of words."""
+    import time
+
+    began = time.perf_counter()
+    period = np.tile(np.array([3, 4], np.uint64), 10_000)
+    assert D.tiles(period[:101], period, 4)[0] == (0, 0, 101)
+    assert D.tiles(np.full(400, 7, np.uint64), np.full(20_000, 7, np.uint64), 4) == [(0, 0, 400)]
+    parted = np.full(20_000, 7, np.uint64)
+    parted[::11] = 0
+    assert sum(n for _, _, n in D.tiles(np.full(400, 7, np.uint64), parted, 4)) == 400
+    assert time.perf_counter() - began < 3
+
+
 def slow_tiles(item, text, least):
     """Greedy string tiling as defined: all maximal matches anew for every tile."""
     ui, ut, out = set(), set(), 0
@@ -98,23 +123,24 @@ def slow_tiles(item, text, least):
 
 def test_tiles_match_the_definition():
     r = np.random.default_rng(4)
-    for _ in range(150):
-        item, text = r.integers(1, 4, r.integers(1, 14)).astype(np.uint64), r.integers(0, 4, r.integers(1, 30)).astype(np.uint64)
-        assert sum(n for _, _, n in D.tiles(item, text, 2)) == slow_tiles(item.tolist(), text.tolist(), 2)
+    for k in range(600):
+        top = 2 + k % 4
+        item, text = r.integers(1, top, r.integers(1, 14)).astype(np.uint64), r.integers(0, top, r.integers(1, 30)).astype(np.uint64)
+        assert sum(n for _, _, n in D.tiles(item, text, 1 + k % 3)) == slow_tiles(item.tolist(), text.tolist(), 1 + k % 3)
 
 
 def test_decontamination(spark):
     w = [f"w{k}" for k in range(40)]
     bench = spark.createDataFrame([(1, " ".join(w)), (2, "just three words"), (3, None), (4, ""), (5, "other thing that nobody ever said in any text here")], "item_id long, text string")
     swapped = " ".join([*w[20:], "between", *w[:20]])
-    rows = [(1, "x " + " ".join(w) + " y"), (2, swapped), (3, " ".join(w[:10])), (4, "so Just three, words it is"), (5, None), (6, ""), (7, "z " * 20000 + " ".join(w)), (None, " ".join(w)), (1, "x " + " ".join(w) + " y")]
+    rows = [(1, "x " + " ".join(w) + " y"), (2, swapped), (3, " ".join(w[:10])), (4, "so Just three, words it is"), (5, None), (6, ""), (7, "z " * 20000 + " ".join(w)), (8, "w1 w2 " * 20000), (None, " ".join(w)), (1, "x " + " ".join(w) + " y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit(9))
     want = sorted([(1, 1), (1, 1), (2, 1), (4, 2), (7, 1), (-1, 1)])
     for size in (32 << 20, 50):
         got = sorted((-1 if r.doc_id is None else r.doc_id, r.item_id) for r in D.overlaps(docs, bench, block_bytes=size).collect())
         assert got == want
     kept = D.decontaminate(docs, bench)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 5, 6]
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 5, 6, 8]
     assert D.overlaps(docs, bench.where("false")).count() == 0 == D.overlaps(docs.where("false"), bench).count()
 
 
