@@ -6,8 +6,8 @@ selector 15 escapes: the next word is one raw value.
 
     magic "TS8B" | u32 version | u64 ids | u64 blocks | u64 words | u64 offset * blocks | u64 word * words
 
-Payloads are the rows of a Parquet table (segment, part, docs, payload), which Spark's committer
-writes, so a lost executor leaves no half-written file and any store that Spark reads will do.
+Payloads are the rows of a Parquet table (part, segment, before, doc_ids, lengths, n_ids, payload), where
+before counts the ids of the part's earlier segments. Spark's committer writes it, so a lost executor leaves no half-written file and any store that Spark reads will do.
 """
 
 from __future__ import annotations
@@ -152,6 +152,8 @@ def decode(payload: bytes, first: int = 0, last: int | None = None) -> np.ndarra
 _CACHES: dict[str, _Encoder] = {}
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = 32
+PIECE_BYTES = 32  # longest piece that the table holds
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _WHITE, _LETTER, _STOP = 1, 2, 3
 _KIND = np.zeros(256, np.uint8)  # of ASCII bytes: white space, letters, and marks that end a run of letters
 for _b in range(128):
@@ -173,13 +175,19 @@ def _powers(n: int, base: int) -> np.ndarray:
 
 
 class _Table:
-    """Ids of pieces by a 64-bit hash: open addressing in arrays, looked up for many pieces at once."""
+    """Ids of pieces by a 64-bit hash: open addressing in arrays, looked up for many pieces at once.
+
+    A slot holds the piece's bytes and length too, so that a hash that two pieces share is found out.
+    """
 
     def __init__(self, bits: int = 20):
         self.bits = bits
         self.keys = np.zeros(1 << bits, np.uint64)
         self.starts = np.zeros(1 << bits, np.int64)
         self.sizes = np.zeros(1 << bits, np.int32)
+        self.heads = np.zeros(1 << bits, np.uint64)
+        self.spans = np.zeros(1 << bits, np.uint8)
+        self.tails = np.zeros((1 << bits, PIECE_BYTES // 8 - 1), np.uint64)
         self.values = np.zeros(1 << 16, np.uint16)
         self.used = self.filled = 0
 
@@ -195,8 +203,15 @@ class _Table:
             open_ = open_[(there != keys[open_]) & (there != 0)]
         return slot
 
-    def add(self, keys: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> None:
-        """New distinct keys with their ids in a row."""
+    def differs(self, slot: np.ndarray, pieces: tuple[np.ndarray, ...]) -> np.ndarray:
+        """Which of the slots hold other pieces than these."""
+        spans, heads, longer, tails = pieces
+        out = (self.heads[slot] != heads) | (self.spans[slot] != spans)
+        out[longer] |= (self.tails[slot[longer]] != tails).any(1)
+        return out
+
+    def add(self, keys: np.ndarray, pieces: tuple[np.ndarray, ...], sizes: np.ndarray, values: np.ndarray) -> None:
+        """New distinct keys with their pieces and their ids in a row."""
         if self.used + len(keys) > len(self.keys) // 2:
             self.keys[:] = 0
             self.used = self.filled = 0
@@ -204,12 +219,15 @@ class _Table:
             self.values = np.concatenate([self.values[: self.filled], np.zeros(max(len(self.values), len(values)), np.uint16)])
         self.values[self.filled : self.filled + len(values)] = values
         starts = self.filled + np.cumsum(sizes) - sizes
+        tails = np.zeros((len(keys), self.tails.shape[1]), np.uint64)
+        tails[pieces[2]] = pieces[3]
         left = np.arange(len(keys))
         while len(left):  # keys that want one place take turns
             slot = self.find(keys[left])
             _, first = np.unique(slot, return_index=True)
             now = left[first]
-            self.keys[slot[first]] = keys[now]
+            self.keys[slot[first]], self.heads[slot[first]], self.spans[slot[first]] = keys[now], pieces[1][now], pieces[0][now]
+            self.tails[slot[first]] = tails[now]
             self.starts[slot[first]], self.sizes[slot[first]] = starts[now], sizes[now]
             keep = np.ones(len(left), bool)
             keep[first] = False
@@ -222,9 +240,9 @@ class _Encoder:
     """Ids of whole texts by the tokenizers library.
 
     The byte-level pre-tokenizer never joins what a single space parts, letters and a mark after them, or
-    a single line feed and what follows, so texts are cut there. Pieces that a worker has met come from a table by their hash, all of a batch at once; new
-    ones go to the library together. Texts with other white space at a cut, or with a special token's
-    string, go to it whole.
+    a single line feed and what follows, so texts are cut there. Pieces that a worker has met come from a
+    table by their hash and bytes, all of a batch at once; new ones go to the library together. Texts with
+    other white space at a cut, a piece over PIECE_BYTES or a special token's string go to it whole.
     """
 
     def __init__(self, path: str):
@@ -252,6 +270,18 @@ class _Encoder:
             np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * self.power[: n - 1], out=total[1:])
             return mixed((total[ends] - total[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
+    @staticmethod
+    def _pieces(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Lengths and first eight bytes of pieces, and for those that are longer (the third array) the rest, eight bytes to a number."""
+        room = np.concatenate([flat, np.zeros(PIECE_BYTES + 8, np.uint8)])
+        eights = np.ndarray((len(room) - 7,), "<u8", room.data, 0, (1,))
+        size = np.minimum(ends - starts, 255)
+        longer = np.flatnonzero(size > 8)
+        tails = np.empty((len(longer), PIECE_BYTES // 8 - 1), np.uint64)
+        for k in range(1, PIECE_BYTES // 8):
+            tails[:, k - 1] = eights[starts[longer] + 8 * k] & _LOW[np.clip(size[longer] - 8 * k, 0, 8)]
+        return size.astype(np.uint8), eights[starts] & _LOW[np.minimum(size, 8)], longer, tails
+
     def batch(self, texts: list[str], size: int = 1 << 20) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers, about `size` characters at a time."""
         out, held, n = [], [], 0
@@ -283,16 +313,19 @@ class _Encoder:
         starts = np.flatnonzero(cut)
         owner = np.searchsorted(text_ends, starts, "right")
         ends = np.minimum(np.append(starts[1:], len(flat)), text_ends[owner])
-        keys = self._hashes(flat, starts, ends)
+        keys, pieces = self._hashes(flat, starts, ends), self._pieces(flat, starts, ends)
         odd = np.zeros(len(texts), bool)
+        odd[owner[ends - starts > PIECE_BYTES]] = True
         odd[np.searchsorted(text_ends, odd_at, "right")] = True
         slot = self.table.find(keys)
         missing = np.flatnonzero((self.table.keys[slot] != keys) & ~odd[owner])
         if len(missing):
             _, first = np.unique(keys[missing], return_index=True)
-            self._learn(flat, starts[missing[first]], ends[missing[first]], keys[missing[first]])
+            new = missing[first]
+            self._learn(flat, starts[new], ends[new], keys[new])
             slot = self.table.find(keys)
-        odd[owner[self.table.keys[slot] != keys]] = True  # a piece that stays unknown sends its text whole
+        # a piece that stays unknown, or whose hash another has, sends its text whole
+        odd[owner[(self.table.keys[slot] != keys) | self.table.differs(slot, pieces)]] = True
         counts = self.table.sizes[slot].astype(np.int64)
         counts[odd[owner]] = 0
         out_ends = np.cumsum(counts)
@@ -324,10 +357,10 @@ class _Encoder:
             at = np.array(spaced)
             ids = np.array(self.tokenizer.encode_batch_fast(["".join(names)], add_special_tokens=False)[0].ids, kind)
             cuts = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(ends[at] - starts[at])) + 1
-            self.table.add(keys[at], np.diff(cuts, prepend=0).astype(np.int32), ids)
+            self.table.add(keys[at], self._pieces(flat, starts[at], ends[at]), np.diff(cuts, prepend=0).astype(np.int32), ids)
         if parts:
             found = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-            self.table.add(keys[bare], np.array([len(v) for v in found], np.int32), np.array([i for v in found for i in v], kind))
+            self.table.add(keys[bare], self._pieces(flat, starts[bare], ends[bare]), np.array([len(v) for v in found], np.int32), np.array([i for v in found for i in v], kind))
 
 
 def encoder(path: str) -> _Encoder:
@@ -344,17 +377,17 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str) -> None:
     A partition writes segments of about a million ids; a longer document makes one long segment.
     """
     spark = docs.sparkSession
-    small_batches(spark, 200)
+    small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     kept = kept.withColumn("h", F.xxhash64("text"))
     dealt = kept.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h")
-    schema = "part int, segment int, doc_ids array<long>, lengths array<int>, n_ids long, payload binary"
+    schema = "part int, segment int, before long, doc_ids array<long>, lengths array<int>, n_ids long, payload binary"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, segment = TaskContext.get().partitionId(), 0
+        part, segment, before = TaskContext.get().partitionId(), 0, 0
         encoded = encoder(tokenizer_path)
         end = np.array([END_ID], "<u4").tobytes()
         ids, held, lengths = [], [], []
@@ -362,8 +395,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str) -> None:
         def flush() -> pa.RecordBatch:
             values = np.frombuffer(b"".join(ids), "<u4")
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([held], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([len(values)], pa.int64()), pa.array([encode(values)], pa.binary())],
-                ["part", "segment", "doc_ids", "lengths", "n_ids", "payload"],
+                [pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([before], pa.int64()), pa.array([held], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([len(values)], pa.int64()), pa.array([encode(values)], pa.binary())],
+                ["part", "segment", "before", "doc_ids", "lengths", "n_ids", "payload"],
             )
 
         total = 0
@@ -376,6 +409,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str) -> None:
                 total += lengths[-1]
                 if total >= SEGMENT_IDS:
                     yield flush()
+                    before += total
                     ids, held, lengths, total, segment = [], [], [], 0, segment + 1
         if held:
             yield flush()
@@ -386,7 +420,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str) -> None:
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """Documents of a table of write_tokens: doc_id, start, n_tokens, ids_crc32, decoded from the payloads.
 
-    The driver holds one count a partition; the segments' own starts are added up within a partition.
+    The driver holds one count a part, and only these are joined: a segment knows its place in its part.
     """
     rows = spark.read.parquet(path)
     totals = rows.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()
@@ -394,13 +428,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     for r in totals:
         starts.append((r["part"], at))
         at += r["n"]
-    from pyspark.sql import Window
-
-    before = F.sum("n_ids").over(Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1))
-    firsts = rows.select("part", "segment", "n_ids").withColumn("before", F.coalesce(before, F.lit(0)))
-    firsts = firsts.join(spark.createDataFrame(starts, "part int, base long"), "part")
-    firsts = firsts.select("part", "segment", (F.col("base") + F.col("before")).alias("first"))
-    joined = rows.join(F.broadcast(firsts) if len(starts) <= 20_000 else firsts, ["part", "segment"])
+    joined = rows.join(spark.createDataFrame(starts, "part int, base long"), "part").withColumn("first", F.col("base") + F.col("before"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -413,7 +441,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     [pa.array(docs, pa.int64()), pa.array(ends - sizes + first), pa.array(sizes), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"]
                 )
 
-    small_batches(spark, 4)
+    small_batches(spark)
     return joined.select("first", "doc_ids", "lengths", "payload").mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

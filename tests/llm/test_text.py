@@ -258,3 +258,15 @@ def test_token_output(spark):
         at += len(ids)
     assert [tuple(x) for x in got] == want
     assert T.token_output(df.where("false")).count() == 0
+
+
+def test_pieces_of_one_hash_are_told_apart(monkeypatch):
+    """With a hash that is the same for all pieces the ids are still the library's."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    monkeypatch.setattr(T._Encoder, "_hashes", lambda self, flat, starts, ends: np.full(len(starts), 77, np.uint64))
+    encoded = T._Encoder(path)
+    texts = ["the same words", "other words, longeroneswithoutaspaceinthemwhatever", "a b", "the same"]
+    for _ in range(2):
+        assert encoded.batch(texts) == [encoded.whole(t).astype("<u4").tobytes() for t in texts]
