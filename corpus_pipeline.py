@@ -22,14 +22,16 @@ from tessera.llm.token_output import token_output
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language compression can tell; lang says what it found."""
     known = learn(docs.where(F.coalesce(fold(F.col("doc_id"), 5), F.lit(0)) != 0).select("text", "lang"))
-    found = identify(docs, known).where("not rejected")
-    return found.withColumn("lang", F.col("lang_pred")).select(docs.columns)
+    told = identify(docs.select(F.struct("*").alias("document"), "text"), known).where("not rejected")
+    return told.select(F.col("document").withField("lang", F.col("lang_pred")).alias("document")).select("document.*").select(docs.columns)
 
 
 def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of exact and near copies; of repeated rows of it, one."""
-    gone = jaccard_join(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    gone = jaccard_join(docs, by_text=True).where("not stays").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    left = docs.select(F.struct("*").alias("document"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(F.col("text").cast("string")).alias("own_hash"))
+    kept = left.join(gone, F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_hash") == F.col("gone_hash")), "left_anti")
+    return kept.select("document.*").dropDuplicates(["doc_id", "text"])
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
