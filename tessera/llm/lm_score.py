@@ -1,18 +1,21 @@
 """LM scoring by masked pseudo-likelihood.
 
-Words are counted over all documents; the commonest are tokens of their own and the rest fall into
-classes by ending, within which a word has the share of its count. A window network predicts each token from the tokens on both sides of it: a table
-a position sums into a hidden layer, and the answer is a class of tokens, then a token of the class.
-Each task trains a copy on the windows of all tokens of its documents, so every token is the target
-once a round, and the copies are averaged by the windows they saw. A document's score is the sum of its
-tokens' conditional log-probabilities.
+1. Words are counted over all documents. The commonest are tokens of their own; each of the rest
+   belongs to the token of its ending (the commonest endings of three bytes, then of two), within which
+   it has the share of its count, so that every word has a probability of its own.
+2. A window network predicts each token from the tokens on both sides of it: a table a position sums
+   into a hidden layer, and the answer is a group of tokens, then a token of the group. It starts from
+   the counts, as a unigram model does.
+3. Documents are dealt by a hash to shards of a fixed size, whatever files they come from. In each round
+   every shard trains a copy on all its tokens, and the copies are averaged by the windows they saw.
+4. A document's score is the sum of its words' conditional log-probabilities.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -21,16 +24,21 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, words, written
 
-CLASSES, EACH, OTHERS = 32, 32, 64
-SIZE = CLASSES * EACH
-HIDDEN, SIDE = 32, 2
+GROUPS, EACH = 64, 64
+SIZE = GROUPS * EACH
+ENDINGS = {3: 800, 2: 223}  # endings that have a token, by their bytes; one more token has all other words
+OTHERS = sum(ENDINGS.values()) + 1
+KNOWN = SIZE - OTHERS
+HIDDEN, SIDE = 24, 2
 PAD = SIZE
+SHARD = 4_000_000  # tokens a shard
+ROUNDS = 2
 _OFFSETS = [d for d in range(-SIDE, SIDE + 1) if d]
-BATCH = 4096
+BATCH = 16384
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all documents; tasks add up before the shuffle, within a bound."""
+    """(word, n) over all documents; tasks add up before the shuffle, within a bound. Null texts have no words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -47,29 +55,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(work, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> list[bytes]:
-    """The commonest words, most common first, ties by bytes: as many as the network has tokens for."""
-    top = (word_counts(docs) if counts is None else counts).orderBy(F.desc("n"), "word").limit(SIZE - OTHERS).collect()
-    return [bytes(r["word"]) for r in top]
-
-
-def class_counts(counts: DataFrame, known: list[bytes]) -> np.ndarray:
-    """How often words of each class stand in the documents."""
-    kind = F.pmod(F.crc32(F.expr("substring(word, -2, 2)")), F.lit(OTHERS)).cast("int")
-    names = counts.sparkSession.createDataFrame([(bytearray(w),) for w in known], "word binary")
-    rare = counts.join(F.broadcast(names), "word", "left_anti")
-    out = np.ones(OTHERS)
-    for r in rare.groupBy(kind.alias("kind")).agg(F.sum("n").alias("n")).collect():
-        out[r["kind"]] = r["n"]
-    return out
-
-
 class Tokens(dict):
-    """Numbers of words: known ones by rank, the rest by a hash of the ending; a worker keeps those it met, up to a bound."""
+    """Numbers of words: known ones by rank, the rest by their ending; a worker keeps those it met, up to a bound.
+
+    `times` holds how often each token stands in the documents, at least one.
+    """
 
-    def __init__(self, known: list[bytes]):
+    def __init__(self, known: list[bytes], endings: dict[bytes, int], times: np.ndarray):
         super().__init__({w: k for k, w in enumerate(known)})
-        self.known = dict(self)
+        self.known, self.endings, self.times = dict(self), endings, times
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 300_000:
@@ -77,16 +71,47 @@ class Tokens(dict):
             self.update(self.known)
             if word in self:
                 return self[word]
-        value = self[word] = SIZE - OTHERS + zlib.crc32(word[-2:]) % OTHERS
+        value = SIZE - 1
+        for n in ENDINGS:
+            if word[-n:] in self.endings:
+                value = self.endings[word[-n:]]
+                break
+        self[word] = value
         return value
 
-    def ids(self, text: str | None) -> np.ndarray:
-        return self.numbers(words(text))
-
     def numbers(self, found: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, found), np.int32, len(found))
 
 
+def vocabulary(counts: DataFrame) -> Tokens:
+    """The commonest words and endings of counts(word, n), ties by bytes; SIZE of them, which bounds what the driver holds."""
+    spark = counts.sparkSession
+    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()
+    known = [bytes(r["word"]) for r in top]
+    times = np.ones(SIZE)
+    times[: len(top)] = [r["n"] for r in top]
+    names = spark.createDataFrame([(bytearray(w),) for w in known], "word binary")
+    rare = counts.join(F.broadcast(names), "word", "left_anti")
+    endings: dict[bytes, int] = {}
+    for n, most in ENDINGS.items():
+        ending = F.expr(f"substring(word, -{n}, {n})")
+        found = rare.where(F.octet_length("word") >= n).groupBy(ending.alias("ending")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "ending").limit(most).collect()
+        for k, r in enumerate(found):
+            endings[bytes(r["ending"])] = KNOWN + sum(m for size, m in ENDINGS.items() if size > n) + k
+    tokens = Tokens(known, endings, times)
+    shared = spark.sparkContext.broadcast(tokens)
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told, sums = shared.value, np.zeros(OTHERS, np.int64)
+        for batch in batches:
+            np.add.at(sums, told.numbers(batch.column(0).to_pylist()) - KNOWN, batch.column(1).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(OTHERS)), pa.array(sums)], ["k", "n"])
+
+    for r in rare.select("word", "n").mapInArrow(totals, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where("n > 0").collect():
+        times[KNOWN + r["k"]] = r["n"]
+    return tokens
+
+
 def padded(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Documents in one array with SIDE pads before, between and after, and the places of their tokens."""
     gap = np.full(SIDE, PAD, np.int32)
@@ -98,13 +123,14 @@ def padded(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Network:
-    """Parameters by name, all float32."""
+    """Parameters by name, all float32. With how often tokens occur it starts as a unigram model."""
 
-    def __init__(self, seed: int = 5):
+    def __init__(self, times: np.ndarray | None = None, seed: int = 5):
         r = np.random.default_rng(seed)
         draw = lambda *shape: (r.standard_normal(shape) * 0.1).astype(np.float32)
-        zeros = lambda *shape: np.zeros(shape, np.float32)
-        self.p = {"tables": draw(len(_OFFSETS), SIZE + 1, HIDDEN), "bias": zeros(HIDDEN), "wc": draw(HIDDEN, CLASSES), "bc": zeros(CLASSES), "wt": draw(CLASSES, HIDDEN, EACH), "bt": zeros(CLASSES, EACH)}
+        share = (np.ones(SIZE) if times is None else np.asarray(times, float)).reshape(GROUPS, EACH)
+        start = lambda x: np.log(x).astype(np.float32)
+        self.p = {"tables": draw(len(_OFFSETS), SIZE + 1, HIDDEN), "bias": np.zeros(HIDDEN, np.float32), "wc": draw(HIDDEN, GROUPS) * 0, "bc": start(share.sum(1) / share.sum()), "wt": draw(GROUPS, HIDDEN, EACH) * 0, "bt": start(share / share.sum(1)[:, None])}
 
     def flat(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.p.values()])
@@ -128,14 +154,14 @@ class Network:
         for s in range(0, len(at), 65536):
             here = at[s : s + 65536]
             target = flat[here]
-            order = np.argsort(target // EACH, kind="stable")
+            order = np.argsort((target // EACH).astype(np.uint8), kind="stable")
             h, target = self.hidden(flat, here[order]), target[order]
-            kind, token = target // EACH, target % EACH
+            group, token = target // EACH, target % EACH
             logits = h @ self.p["wc"] + self.p["bc"]
             rows = np.arange(len(here))
-            value = logits[rows, kind] - _log_sum(logits)
-            edges = np.searchsorted(kind, np.arange(CLASSES + 1))
-            for c in range(CLASSES):
+            value = logits[rows, group] - _log_sum(logits)
+            edges = np.searchsorted(group, np.arange(GROUPS + 1))
+            for c in range(GROUPS):
                 a, b = edges[c], edges[c + 1]
                 if a < b:
                     inner = h[a:b] @ self.p["wt"][c] + self.p["bt"][c]
@@ -145,16 +171,15 @@ class Network:
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
-    top = x.max(1)
-    return np.log(np.exp(x - top[:, None]).sum(1)) + top
+    return np.log(np.exp(np.minimum(x, 80)).sum(1))
 
 
 class Trainer:
     """Adagrad on a network, a batch of windows at a time."""
 
-    def __init__(self, network: Network, rate: float = 0.5):
+    def __init__(self, network: Network, rate: float = 0.2):
         self.n, self.rate = network, rate
-        self.square = {k: np.full(v.shape, 1e-2, np.float32) for k, v in network.p.items()}
+        self.square = {k: np.full(v.shape, 1e-4, np.float32) for k, v in network.p.items()}
 
     def _step(self, name: str, gradient: np.ndarray, where=slice(None)) -> None:
         square = self.square[name]
@@ -163,79 +188,126 @@ class Trainer:
 
     def batch(self, flat: np.ndarray, at: np.ndarray) -> None:
         target = flat[at]
-        order = np.argsort(target // EACH, kind="stable")
+        order = np.argsort((target // EACH).astype(np.uint8), kind="stable")
         at, target = at[order], target[order]
-        kind, token, size = target // EACH, target % EACH, np.float32(len(at))
+        group, token, size = target // EACH, target % EACH, np.float32(len(at))
         p = self.n.p
         h = self.n.hidden(flat, at)
         g = _softmax(h @ p["wc"] + p["bc"])
-        g[np.arange(len(at)), kind] -= 1
+        g[np.arange(len(at)), group] -= 1
         g /= size
         dh = g @ p["wc"].T
         changes = [("wc", h.T @ g, slice(None)), ("bc", g.sum(0), slice(None))]
-        edges = np.searchsorted(kind, np.arange(CLASSES + 1))
-        for c in range(CLASSES):
+        wt, bt = np.zeros_like(p["wt"]), np.zeros_like(p["bt"])
+        edges = np.searchsorted(group, np.arange(GROUPS + 1))
+        for c in range(GROUPS):
             a, b = edges[c], edges[c + 1]
             if a < b:
                 g = _softmax(h[a:b] @ p["wt"][c] + p["bt"][c])
                 g[np.arange(b - a), token[a:b]] -= 1
                 g /= size
                 dh[a:b] += g @ p["wt"][c].T
-                changes += [("wt", h[a:b].T @ g, c), ("bt", g.sum(0), c)]
+                wt[c], bt[c] = h[a:b].T @ g, g.sum(0)
+        changes += [("wt", wt, slice(None)), ("bt", bt, slice(None))]
         dh *= 1 - h * h
         self._step("bias", dh.sum(0))
+        columns = np.ascontiguousarray(dh.T, np.float64)
         for k, d in enumerate(_OFFSETS):
             near = flat[at + d]
-            order = np.argsort(near, kind="stable")
-            near = near[order]
-            starts = np.flatnonzero(np.r_[True, near[1:] != near[:-1]])
-            self._step("tables", np.add.reduceat(dh[order], starts), (k, near[starts]))
+            self._step("tables", np.array([np.bincount(near, c, SIZE + 1) for c in columns]).T.astype(np.float32), k)
         for name, gradient, where in changes:
             self._step(name, gradient, where)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(1)[:, None])
-    return x / x.sum(1)[:, None]
+    np.exp(np.minimum(x, 80, out=x), out=x)  # hidden values lie within one, so that no logit is anywhere near
+    x /= x.sum(1)[:, None]
+    return x
+
+
+def _trained(start: np.ndarray, documents: Iterator[np.ndarray], seed: int, turn: int, batch: int) -> tuple[np.ndarray, int]:
+    """A copy trained on every token of documents, half a million at a time in a mixed order, and the tokens seen."""
+    copy = Network().load(start)
+    trainer, seen = Trainer(copy, 0.2 / (1 + turn)), 0
+    held: list[np.ndarray] = []
+    size = 0
+
+    def learn() -> int:
+        flat, at = padded(held)
+        np.random.default_rng([seed, seen, turn]).shuffle(at)
+        for s in range(0, len(at), batch):
+            trainer.batch(flat, at[s : s + batch])
+        return len(at)
+
+    for ids in documents:
+        held.append(ids)
+        size += len(ids)
+        if size > 500_000:
+            seen += learn()
+            held, size = [], 0
+    if size:
+        seen += learn()
+    return copy.flat(), seen
 
 
 BLOCK = 4096  # parameters a row of the averaging
 
 
-def train(docs: DataFrame, known: list[bytes], rounds: int = 1) -> Network:
-    """A network trained on all documents. The driver holds one set of parameters, tasks one each."""
-    spark = docs.sparkSession
-    network = Network()
+def encoded(docs: DataFrame, tokens: Tokens) -> DataFrame:
+    """(row, doc_id, h, n_tokens, ids, rare, times): token numbers of each row as 16-bit integers, and its words that are no tokens of their own, with how often they stand."""
+    shared = docs.sparkSession.sparkContext.broadcast(tokens)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        told = shared.value
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            lengths, ids, rare, times = [], [], [], []
+            for text in batch.column(2).to_pylist():
+                found = words(text)
+                numbers = told.numbers(found)
+                odd = Counter([found[k] for k in np.flatnonzero(numbers >= KNOWN).tolist()])
+                lengths.append(len(found))
+                ids.append(numbers.astype("<u2").tobytes())
+                rare.append(list(odd))
+                times.append(list(odd.values()))
+            n = len(lengths)
+            columns = [pa.array(np.arange(row, row + n)), batch.column(0), batch.column(1), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "h", "n_tokens", "ids", "rare", "times"])
+            row += n
+
+    small_batches(docs.sparkSession)
+    text = F.col("text").cast("string")
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("h"), text.alias("text"))
+    return kept.mapInArrow(work, "row long, doc_id long, h long, n_tokens long, ids binary, rare array<binary>, times array<long>")
+
+
+def train(base: DataFrame, tokens: Tokens, rounds: int = ROUNDS, shard: int = SHARD, batch: int = BATCH) -> Network:
+    """A network trained on all rows of encoded documents. The driver holds one set of parameters, tasks one copy and one sum.
+
+    Shards, and the order within them, follow from the documents alone, so that files and partitions
+    change nothing but the last digits of the averages.
+    """
+    spark = base.sparkSession
+    network = Network(tokens.times)
+    total = base.agg(F.sum("n_tokens")).first()[0] or 0
+    shards = max(1, -(-total // shard))
+    parts = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = base.where("n_tokens > 0").select(F.pmod("h", F.lit(shards)).alias("shard"), "h", "ids").repartition(parts, "shard").sortWithinPartitions("shard", "h")
+    size = len(network.flat())
     for turn in range(rounds):
-        shared = spark.sparkContext.broadcast((known, network.flat()))
+        shared = spark.sparkContext.broadcast(network.flat())
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
-            known, flat_ = shared.value
-            tokens, copy = Tokens(known), Network().load(flat_)
-            trainer, seen = Trainer(copy), 0
-            held: list[np.ndarray] = []
-
-            def learn() -> int:
-                flat, at = padded(held)
-                np.random.default_rng([seen, turn]).shuffle(at)
-                for s in range(0, len(at), BATCH):
-                    trainer.batch(flat, at[s : s + BATCH])
-                return len(at)
-
-            size = 0
-            for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    held.append(tokens.ids(text))
-                    size += len(held[-1])
-                    if size > 500_000:
-                        seen += learn()
-                        held, size = [], 0
-            if size:
-                seen += learn()
-            if seen:
-                flat_ = copy.flat()
-                for b in range(0, len(flat_), BLOCK):
-                    yield pa.RecordBatch.from_arrays([pa.array([b // BLOCK], pa.int32()), pa.array([float(seen)]), pa.array([flat_[b : b + BLOCK].astype("<f4").tobytes()], pa.binary())], ["block", "weight", "part"])
+            sums, weight = np.zeros(size), 0
+            for number, documents in _by_shard(batches):
+                copy, seen = _trained(shared.value, documents, number, turn, batch)
+                sums += copy * float(seen)
+                weight += seen
+            if weight:
+                for b in range(0, size, BLOCK):
+                    yield pa.RecordBatch.from_arrays([pa.array([b // BLOCK], pa.int32()), pa.array([float(weight)]), pa.array([(sums[b : b + BLOCK] / weight).astype("<f4").tobytes()], pa.binary())], ["block", "weight", "part"])
 
         def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, list] = {}
@@ -248,64 +320,57 @@ def train(docs: DataFrame, known: list[bytes], rounds: int = 1) -> Network:
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([(total / weight).astype("<f4").tobytes()], pa.binary())], ["block", "part"])
 
         small_batches(spark)
-        copies = docs.select(F.col("text").cast("string")).mapInArrow(work, "block int, weight double, part binary")
-        size = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = copies.repartition(size, "block").mapInArrow(average, "block int, part binary").orderBy("block").collect()
+        copies = dealt.mapInArrow(work, "block int, weight double, part binary")
+        rows = copies.repartition("block").mapInArrow(average, "block int, part binary").orderBy("block").collect()
         if rows:
             network = Network().load(np.concatenate([np.frombuffer(r["part"], "<f4") for r in rows]))
     return network
 
 
-def score(docs: DataFrame, known: list[bytes], network: Network, counts: DataFrame | None = None) -> DataFrame:
-    """(doc_id, n_tokens, log_prob, mean_log_prob) of each row of docs.
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[np.ndarray]]]:
+    """The documents of each shard, one after another, from batches sorted by shard."""
+    rows = ((int(s), np.frombuffer(x, "<u2").astype(np.int32)) for b in batches for s, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True))
+    for number, group in groupby(rows, key=lambda r: r[0]):
+        yield number, (ids for _, ids in group)
+
+
+def score(base: DataFrame, tokens: Tokens, network: Network, counts: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, log_prob, mean_log_prob) of each row of encoded documents.
 
-    The network tells the class of a word that is no token of its own; within the class a word has its
-    share of counts, those of docs where none are given. A word that counts lack counts as met once.
-    A null or wordless text has no tokens, the sum 0 and no mean. Repeated rows and null ids are kept;
-    other columns are ignored.
+    The network tells the ending of a word that is no token of its own; among the words of its ending a
+    word has its share of counts, and one that counts lack counts as met once. A null or wordless text
+    has no tokens, the sum 0 and no mean. Repeated rows and null ids are kept.
     """
-    spark = docs.sparkSession
-    if counts is None:
-        counts = written(word_counts(docs), "words")
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast((known, network.flat(), np.log(class_counts(counts, known))))
+    shared = base.sparkSession.sparkContext.broadcast((network.flat(), np.log(tokens.times[KNOWN:])))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        known, flat_, within = shared.value
-        tokens, model = Tokens(known), Network().load(flat_)
-        row = TaskContext.get().partitionId() << 40
+        flat_, within = shared.value
+        model = Network().load(flat_)
         for batch in batches:
-            found = [words(t) for t in batch.column(1).to_pylist()]
-            ids = [tokens.numbers(x) for x in found]
-            rare = [Counter([x[k] for k in np.flatnonzero(n >= SIZE - OTHERS).tolist()]) for x, n in zip(found, ids, strict=True)]
-            lengths = np.array([len(x) for x in ids], np.int64)
+            ids = [np.frombuffer(x, "<u2").astype(np.int32) for x in batch.column(3).to_pylist()]
+            lengths = batch.column(2).to_numpy()
             flat, at = padded(ids)
             values = model.log_probs(flat, at)
-            classed = flat[at] >= SIZE - OTHERS
-            values[classed] -= within[flat[at][classed] - (SIZE - OTHERS)]
+            classed = flat[at] >= KNOWN
+            values[classed] -= within[flat[at][classed] - KNOWN]
             values = np.append(values, 0.0)
-            ends = np.cumsum(lengths)
-            starts = ends - lengths
+            starts = np.cumsum(lengths) - lengths
             sums = np.where(lengths > 0, np.add.reduceat(values, np.minimum(starts, len(values) - 1)), 0.0) if len(ids) else np.zeros(0)
-            lists = [pa.array([list(x) for x in rare], pa.list_(pa.binary())), pa.array([list(x.values()) for x in rare], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(ids))), batch.column(0), pa.array(lengths), pa.array(sums), *lists], ["row", "doc_id", "n_tokens", "log_prob", "rare", "times"])
-            row += len(ids)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sums)], ["row", "doc_id", "n_tokens", "log_prob"])
 
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # written, as row numbers must be the same for both readers
-    base = written(kept.mapInArrow(work, "row long, doc_id long, n_tokens long, log_prob double, rare array<binary>, times array<long>"), "classes")
+    small_batches(base.sparkSession)
+    scored = base.select("row", "doc_id", "n_tokens", "ids").mapInArrow(work, "row long, doc_id long, n_tokens long, log_prob double")
     met = base.select("row", F.inline(F.arrays_zip(F.col("rare").alias("word"), "times")).alias("word", "times"))
     logs = counts.where("n > 1").select("word", F.log("n").alias("log_n"))
     gains = met.join(logs, "word").groupBy("row").agg(F.sum(F.col("times") * F.col("log_n")).alias("gain"))
-    whole = base.select("row", "doc_id", "n_tokens", "log_prob").join(gains, "row", "left")
-    whole = whole.select("doc_id", "n_tokens", (F.col("log_prob") + F.coalesce("gain", F.lit(0.0))).alias("log_prob"))
+    whole = scored.join(gains, "row", "left").select("doc_id", "n_tokens", (F.col("log_prob") + F.coalesce("gain", F.lit(0.0))).alias("log_prob"))
     return whole.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
 
 
-def lm_score(docs: DataFrame, rounds: int = 1) -> DataFrame:
-    """Count words, train and score on the same documents."""
+def lm_score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """Count words, train and score on the same documents; an empty table gives an empty table, other columns are ignored."""
     counts = written(word_counts(docs), "words")
-    known = vocabulary(docs, counts)
-    return score(docs, known, train(docs, known, rounds), counts)
+    tokens = vocabulary(counts)
+    # written, as row numbers must be the same for all readers
+    base = written(encoded(docs, tokens), "encoded")
+    return score(base, tokens, train(base, tokens, rounds), counts)
