@@ -1,12 +1,15 @@
 """Embedding near-dedup by sorted projection passes.
 
-Each pass gives every vector a key of random hyperplane bits, sorts the vectors of a label by it and
-cuts the order into tiles; a tile compares with itself and the next. A vector carries its tile of
-every pass, so a pair counts in the first pass that brings it together and no pairs are written to
-tell repeats apart. The number of passes follows from the rows, for a target recall.
-
-Where links crowd, the windows are too narrow: vectors linked to most of their window have all pairs
-of their cluster compared exactly, in pairs of blocks, less those that a pass has met.
+1. Equal vectors of a label form a class; from here on a class stands once, by its least vec_id.
+2. A vector's concatenated random hyperplane bits order its label lexicographically. The leading bits,
+   as many as leave about `CELL` classes together, cut the order into cells, once a deal; how often
+   vectors are dealt follows from the chance that a linked pair agrees on these bits, for a target
+   recall. A cell over `CELL` classes is split into blocks, and each pair of blocks is a group.
+3. A group sorts its classes by further bits, pass after pass, and compares neighbouring windows. It
+   stops when the passes made would miss less than the target leaves, by the share of known links that
+   the last passes found again; classes linked to most of their window are compared with all of it.
+4. A pair counts in the first deal whose cells it shares, so no pairs are written to tell repeats
+   apart: groups return counts of links and a spanning forest.
 """
 
 from __future__ import annotations
@@ -16,96 +19,63 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, passes_for, runs, small_batches, written
-from .jaccard_join import least_linked
+from .common import components, join_by_weight, passes_for, runs, small_batches, written
 
 TILE = 256
-BITS = 32
-BLOCK = 1024
+CELL = 8192
+BITS = 62
 CROWDED = TILE // 8  # links within a window from which more may stand beyond it
+_KIND = "label string, vec_id long, h long, digest binary, cells array<long>, d int"
 
 
-def usable(rows: DataFrame) -> DataFrame:
-    """(label, vec_id, v): vectors in double precision, the least of several under one id and label.
-
-    Leaves out null labels, ids and vectors, zero vectors and those with null or non-finite components.
-    """
-    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    good = rows.where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(F.coalesce(fine, F.lit(False)))
-    good = good.select(F.col("label").cast("string").alias("label"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    return good.groupBy("label", "vec_id").agg(F.min("v").alias("v"))
-
-
-def _keys(batches: Iterator[pa.RecordBatch], passes: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        vectors = batch.column(2).to_pylist()
-        out = [None] * len(vectors)
-        for d in {len(v) for v in vectors}:
-            at = [k for k, v in enumerate(vectors) if len(v) == d]
-            m = np.array([vectors[k] for k in at])
-            planes = np.random.default_rng(20240517).standard_normal((passes * BITS, d))
-            bits = (m @ planes.T > 0).reshape(len(at), passes, BITS)
-            keys = bits @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
-            for k, row in zip(at, keys.tolist(), strict=True):
-                out[k] = row
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int64()))], ["label", "vec_id", "v", "keys"])
-
-
-def tiled(vectors: DataFrame, passes: int, tile: int) -> DataFrame:
-    """(label, vec_id, tiles): a vector's tile in the sorted order of each pass.
-
-    The order is a range partitioning, so a label of any size spreads over tasks; a row's place is its
-    place in its partition plus the counts of the partitions before it, one number a partition.
-    """
-    spark = vectors.sparkSession
-    size = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    flat = vectors.select("label", "vec_id", F.posexplode("keys").alias("pass", "key"))
-    # equal keys stand in another order in each pass
-    flat = flat.withColumn("tie", F.xxhash64("vec_id", "pass"))
-    order = ["pass", "label", "key", "tie", "vec_id"]
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, at = TaskContext.get().partitionId(), 0
-        for b in batches:
-            n = b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n))], ["pass", "label", "vec_id", "part", "place"])
-            at += n
+def _usable(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Rows that may link, and their vectors in double precision."""
+    at, out = [], []
+    for k, (label, vec_id, _, v) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+        if label is None or vec_id is None or not v or None in v:
+            continue
+        v = np.array(v, np.float64)
+        if np.isfinite(v).all() and v.any():
+            at.append(k)
+            out.append(v)
+    return np.array(at, np.int64), out
 
-    small_batches(spark)
-    kind = "pass int, label string, vec_id long, part int, place long"
-    ranked = written(flat.repartitionByRange(size, *order).sortWithinPartitions(*order).select("pass", "label", "vec_id").mapInArrow(numbered, kind), "ranked")
-    counts = ranked.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()
-    starts, at = [], 0
-    for r in counts:
-        starts.append((r["part"], at))
-        at += r["n"]
-    base = spark.createDataFrame(starts, "part int, base long")
-    placed = ranked.join(F.broadcast(base), "part").withColumn("tile", F.floor((F.col("place") + F.col("base")) / tile).cast("long"))
-    return placed.groupBy("label", "vec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", "tile"))), lambda x: x["tile"]).alias("tiles"))
-
-
-def _met(tiles: np.ndarray, others: np.ndarray, upto: int) -> np.ndarray:
-    """Which pairs one of the first passes has compared: of equal labels, in the same tile or the next."""
-    out = np.zeros((len(tiles), len(others)), bool)
-    for q in range(upto):
-        out |= np.abs(tiles[:, q][:, None] - others[:, q][None, :]) <= 1
-    return out
 
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length one, by way of their greatest component, so that squares neither vanish nor overflow."""
+    scaled = vectors / np.abs(vectors).max(1)[:, None]
+    return scaled / np.sqrt((scaled * scaled).sum(1))[:, None]
 
-def _rows(column: pa.ChunkedArray) -> np.ndarray:
-    whole = column.combine_chunks()
-    return whole.flatten().to_numpy(zero_copy_only=False).reshape(len(whole), -1)
 
+def _planes(seed: int, count: int, d: int) -> np.ndarray:
+    return np.random.default_rng([20240517, seed, d]).standard_normal((d, count))
 
-_LINKS = pa.schema([("vec_id", pa.int64()), ("links", pa.int64()), ("other", pa.int64()), ("crowded", pa.bool_())])
 
+def keyed(rows: DataFrame, deals: int, bits: int) -> DataFrame:
+    """(label, vec_id, h, digest, cells, d) of rows that may link: a digest of the vector and its cell in each deal."""
 
-def _linked(v: np.ndarray, w: np.ndarray, threshold: float) -> np.ndarray:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = 1 << np.arange(bits, dtype=np.int64)
+        for batch in batches:
+            at, vectors = _usable(batch)
+            cells: list = [None] * len(at)
+            for d in {len(v) for v in vectors}:
+                mine = [k for k, v in enumerate(vectors) if len(v) == d]
+                signs = np.array([vectors[k] for k in mine]) @ _planes(0, deals * bits, d) > 0
+                for k, row in zip(mine, (signs.reshape(len(mine), deals, bits) @ weights).tolist(), strict=True):
+                    cells[k] = row
+            digests = [xxhash.xxh3_128_digest((v + 0.0).tobytes()) for v in vectors]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), batch.column(2).take(pa.array(at)), pa.array(digests, pa.binary()), pa.array(cells, pa.list_(pa.int64())), pa.array([len(v) for v in vectors], pa.int32())], ["label", "vec_id", "h", "digest", "cells", "d"])
+
+    small_batches(rows.sparkSession)
+    return rows.select(F.col("label").cast("string").alias("label"), F.col("vec_id").cast("long").alias("vec_id"), F.xxhash64("embedding").alias("h"), "embedding").mapInArrow(work, _KIND)
+
+
+def _close(v: np.ndarray, w: np.ndarray, threshold: float) -> np.ndarray:
     """Pairs at the threshold by cosine in double precision; near it each is summed anew."""
     c = v @ w.T
     out = c >= threshold
@@ -114,114 +84,156 @@ def _linked(v: np.ndarray, w: np.ndarray, threshold: float) -> np.ndarray:
     return out
 
 
-def _outcome(ids: np.ndarray, links: np.ndarray, linked: np.ndarray, left: np.ndarray, right: np.ndarray, crowded: np.ndarray) -> pa.RecordBatch | None:
-    at = np.flatnonzero((links > 0) | crowded)
-    if not len(at):
-        return None
-    root = least_linked(linked, left, right, len(ids))
-    return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(links[at]), pa.array(ids[root[at]]), pa.array(crowded[at])], schema=_LINKS)
+def linked(v: np.ndarray, threshold: float, missed: float, tile: int) -> np.ndarray:
+    """Links among unit vectors, each way, by sorted passes that leave at most about the share `missed` unmet.
 
+    Windows are a tile and the next. A pass has the chance of evenly spread vectors, or less where it
+    meets fewer of the links known before it; where all pairs are no more work, they are compared.
+    """
+    n, d = v.shape
+    out = np.zeros((n, n), bool)
+    if n <= 2 * tile:
+        out = _close(v, v, threshold)
+        np.fill_diagonal(out, False)
+        return out | out.T
+    even = (1 - math.acos(threshold) / math.pi) ** (math.log2(n / tile) + 1)
+    whole = np.zeros(n, bool)  # rows compared with all others
+    a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)  # known links of the others
+    left, turn = 1.0, 0
+    weights = 1 << np.arange(BITS, dtype=np.int64)
+    while left > missed:
+        turn += 1
+        if turn * 2 * tile >= n:
+            whole[:] = False
+            _compare(np.arange(n), whole, out, v, threshold, tile)
+            break
+        order = np.argsort((v @ _planes(turn, BITS, d) > 0) @ weights, kind="stable")
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n) // tile
+        chance = even
+        if len(a):
+            chance = min(even, (np.count_nonzero(np.abs(place[a] - place[b]) <= 1) + 0.5) / (len(a) + 1))
+        left *= 1 - chance
+        found = np.zeros(n, np.int64)
+        more = []
+        for s in range(0, n, tile):
+            one, two = order[s : s + tile], order[s : s + 2 * tile]
+            x, y = np.nonzero(_close(v[one], v[two], threshold))
+            x, y = one[x], two[y]
+            x, y = x[x != y], y[x != y]
+            if len(x):
+                found += np.bincount(x, minlength=n)
+                new = ~out[x, y]
+                out[x, y] = out[y, x] = True
+                more.append((np.minimum(x, y)[new], np.maximum(x, y)[new]))
+        crowded = np.flatnonzero((found > CROWDED) & ~whole)
+        if len(crowded):
+            _compare(crowded, whole, out, v, threshold, tile)
+        x, y = np.concatenate([a, *(m[0] for m in more)]), np.concatenate([b, *(m[1] for m in more)])
+        open_ = ~whole[x] & ~whole[y]
+        a, b = x[open_], y[open_]
+    return out
 
-def _windows(passes: int, threshold: float):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(batches, ["pass", "tile", "label", "d"]):
-            if len(group) < 2:
-                continue
-            at = group.column("pass")[0].as_py()
-            tile = group.column("tile")[0].as_py()
-            ids = np.array(group.column("vec_id").to_pylist(), np.int64)
-            tiles, v = _rows(group.column("tiles")), _rows(group.column("unit"))
-            own = tiles[:, at] == tile
-            left = np.flatnonzero(own)
-            if not len(left):
-                continue
-            right = np.arange(len(ids))
-            close = _linked(v[left], v, threshold)
-            close &= (left[:, None] < right[None, :]) | ~own[None, :]  # pairs within the tile once
-            window = close.copy()
-            close &= ~_met(tiles[left], tiles, at)
-            links = np.zeros(len(ids), np.int64)
-            np.add.at(links, left, close.sum(1))
-            np.add.at(links, right, close.sum(0))
-            # linked to a good part of the window: more such vectors may stand beyond it
-            seen = np.zeros(len(ids), np.int64)
-            np.add.at(seen, left, window.sum(1))
-            np.add.at(seen, right, window.sum(0))
-            out = _outcome(ids, links, close, left, right, seen > CROWDED)
-            if out is not None:
-                yield out
 
-    return work
+def _compare(at: np.ndarray, whole: np.ndarray, out: np.ndarray, v: np.ndarray, threshold: float, tile: int) -> None:
+    """Rows with all others."""
+    for s in range(0, len(at), tile):
+        some = at[s : s + tile]
+        close = _close(v[some], v, threshold)
+        close[np.arange(len(some)), some] = False
+        out[some] |= close
+        out[:, some] |= close.T
+    whole[at] = True
+
 
+def _least(close: np.ndarray) -> np.ndarray:
+    """For each row of a square of links the least row that it reaches, some rows at a time."""
+    label = np.arange(len(close))
+    while True:
+        before = label.copy()
+        for s in range(0, len(close), 256):
+            label[s : s + 256] = np.minimum(label[s : s + 256], np.where(close[s : s + 256], label[None, :], len(close)).min(1))
+        label = np.minimum(label, label[label])
+        if (label == before).all():
+            return label
 
-def _crowds(threshold: float):
+
+_LINKS = pa.schema([("label", pa.string()), ("rep", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
+
+
+def _groups(threshold: float, missed: float, tile: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(batches, ["crowd", "i", "j", "d"]):
+        for group in runs(batches, ["label", "deal", "cell", "i", "j", "d"]):
             if len(group) < 2:
                 continue
-            i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-            own = np.array(group.column("own").to_pylist())
-            ids = np.array(group.column("vec_id").to_pylist(), np.int64)
-            tiles, v = _rows(group.column("tiles")), _rows(group.column("unit"))
-            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            if not len(left) or not len(right):
+            label, deal, i, j = (group.column(c)[0].as_py() for c in ("label", "deal", "i", "j"))
+            ids, copies, own = (np.array(group.column(c).to_pylist(), np.int64) for c in ("rep", "copies", "own"))
+            cells = np.array(group.column("cells").to_pylist(), np.int64)
+            vectors = group.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+            close = linked(_unit(vectors), threshold, missed, tile)
+            at = np.flatnonzero(close.any(1))
+            if not len(at):
                 continue
-            close = _linked(v[left], v[right], threshold)
-            if i == j:
-                close = np.triu(close, 1)
-            close &= ~_met(tiles[left], tiles[right], tiles.shape[1])
-            links = np.zeros(len(ids), np.int64)
-            np.add.at(links, left, close.sum(1))
-            np.add.at(links, right, close.sum(0))
-            out = _outcome(ids, links, close, left, right, links > 0)
-            if out is not None:
-                yield out
+            close, ids, copies, own, cells = close[np.ix_(at, at)], ids[at], copies[at], own[at], cells[at]
+            for q in range(deal):  # pairs that an earlier deal had in one cell
+                close &= cells[:, q][:, None] != cells[:, q][None, :]
+            if i != j:
+                close &= own[:, None] != own[None, :]
+            links = np.concatenate([close[s : s + 256] @ copies for s in range(0, len(close), 256)])
+            root = _least(close)
+            some = np.flatnonzero(links)
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array([label] * len(some)), pa.array(ids[some]), pa.array(links[some]), pa.array(ids[root[some]])], schema=_LINKS)
 
     return work
 
 
-def near_vectors(rows: DataFrame, threshold: float = 0.98, recall: float = 0.9999, tile: int = TILE) -> DataFrame:
+def near_vectors(rows: DataFrame, threshold: float = 0.98, recall: float = 0.9999, tile: int = TILE, cell: int = CELL) -> DataFrame:
     """For each row of rows(vec_id, label, embedding): n_links, component_id and kept.
 
     Vectors link when their labels are equal and their cosine in double precision is at least the
     threshold. n_links counts other vectors, component_id is the least vec_id reachable by links and
     kept says that it is the row's own. Vectors without a label, null or zero ones and ones with null or
     non-finite components link with nothing, as do vectors of different lengths. A repeated row counts
-    as one vector; the least of several vectors under one id and label stands for them. A null
-    vec_id gives no links, a null component_id and kept. An empty table gives an empty table.
+    as one vector; one of several vectors under one id and label (that of the least digest) stands for
+    them. A null vec_id gives no links, a null component_id and kept. An empty table gives an empty table.
     """
     spark = rows.sparkSession
-    small_batches(spark)
-    good = usable(rows)
     size = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    most = good.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    # the bits that part a label's rows into windows, and the chance that a linked pair agrees on them
-    bits = max(0.0, math.log2(max(most, 1) / tile)) + 1
-    passes = min(passes_for(recall, (1 - math.acos(threshold) / math.pi) ** bits), 200)
-    keyed = written(good.mapInArrow(lambda b: _keys(b, passes), "label string, vec_id long, v array<double>, keys array<long>"), "keys")
-    tiles = tiled(keyed, passes, tile)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    scaled = keyed.withColumn("big", F.array_max(F.transform("v", F.abs)))
-    scaled = scaled.withColumn("v", F.expr("transform(v, x -> x / big)"))
-    unit = scaled.withColumn("norm", norm).select("label", "vec_id", F.expr("transform(v, x -> x / norm)").alias("unit"), F.size("v").alias("d"))
-    base = written(unit.join(tiles, ["label", "vec_id"]), "vectors")
-    met = base.select("*", F.posexplode("tiles").alias("pass", "t"))
-    met = met.withColumn("tile", F.explode(F.array(F.col("t"), F.col("t") - 1)))
-    dealt = met.repartition(size, "pass", "tile", "label").sortWithinPartitions("pass", "tile", "label", "d", "vec_id")
-    kind = "vec_id long, links long, other long, crowded boolean"
-    first = written(dealt.select("pass", "tile", "label", "d", "vec_id", "tiles", "unit").mapInArrow(_windows(passes, threshold), kind), "links")
-    found = components(first.where("vec_id <> other").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
-    crowd = first.where("crowded").select("vec_id").distinct().join(found.withColumnRenamed("node", "vec_id"), "vec_id", "left").select("vec_id", F.coalesce("component", "vec_id").alias("crowd"))
-    crowd = written(crowd, "crowds")
-    sizes = crowd.groupBy("crowd").agg(F.count("*").alias("m"))
-    blocks = crowd.join(sizes, "crowd").withColumn("p", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("p")).cast("int"))
-    blocks = blocks.withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("p") - 1))).select("crowd", "vec_id", "own", F.least("own", "peer").alias("i"), F.greatest("own", "peer").alias("j"))
-    joined = blocks.join(base, "vec_id").repartition(size, "crowd", "i", "j").sortWithinPartitions("crowd", "i", "j", "d", "vec_id")
-    rest = joined.select("crowd", "i", "j", "d", "own", "vec_id", "tiles", "unit").mapInArrow(_crowds(threshold), kind)
-    every = written(first.union(rest), "links")
-    links = every.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
-    final = components(every.where("vec_id <> other").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
-    known = links.join(final.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    out = rows.select(F.col("vec_id").cast("long").alias("vec_id")).join(known, "vec_id", "left")
+    most = rows.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    # leading bits that cut the largest label into cells, and the chance that a linked pair agrees on them
+    bits = max(0, math.ceil(math.log2(max(most, 1) / cell)))
+    missed = (1 - recall) / 2
+    deals = passes_for(1 - missed, (1 - math.acos(threshold) / math.pi) ** bits) if bits else 1
+    told = keyed(rows, deals, bits)
+    # a repeated row once; of several vectors under one id and label the one of the least digest
+    ids = written(told.groupBy("label", "vec_id").agg(F.min(F.struct("digest", "h", "cells", "d")).alias("v")).select("label", "vec_id", "v.*"), "vectors")
+    classes = ids.groupBy("label", "digest").agg(F.min(F.struct("vec_id", "h")).alias("least"), F.count("*").alias("copies"), F.first("cells").alias("cells"), F.first("d").alias("d"))
+    classes = written(classes.select("label", "digest", F.col("least.vec_id").alias("rep"), F.col("least.h").alias("h"), "copies", "cells", "d"), "classes")
+    dealt = classes.select("label", "rep", "h", "copies", "cells", "d", F.posexplode("cells").alias("deal", "cell"))
+    crowds = dealt.groupBy("label", "deal", "cell").agg(F.count("*").alias("m")).where(F.col("m") > cell)
+    parts = F.coalesce(F.ceil(F.col("m") / (cell // 2)), F.lit(1)).cast("int")
+    dealt = dealt.join(crowds, ["label", "deal", "cell"], "left").withColumn("p", parts).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("p")).cast("int"))
+    dealt = dealt.withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
+    dealt = dealt.select("label", "rep", "h", "copies", "cells", "d", "deal", "cell", "own", F.least("own", "peer").alias("i"), F.greatest("own", "peer").alias("j"))
+    raw = rows.select(F.col("label").cast("string").alias("label"), F.col("vec_id").cast("long").alias("rep"), F.xxhash64("embedding").alias("h"), "embedding")
+    raw = raw.groupBy("label", "rep", "h").agg(F.first("embedding").alias("embedding"))
+    columns = ["label", "deal", "cell", "i", "j", "d", "own", "rep", "copies", "cells", "embedding"]
+    grouped = raw.join(dealt, ["label", "rep", "h"]).select(columns).repartition(size, "label", "deal", "cell", "i", "j").sortWithinPartitions("label", "deal", "cell", "i", "j", "d", "rep")
+    small_batches(spark)
+    links = written(grouped.mapInArrow(_groups(threshold, missed, tile), "label string, rep long, links long, other long"), "links")
+    # one vec_id may stand under several labels, and is one vector in what can be reached
+    twice = ids.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id")
+    several = ids.join(twice, "vec_id").join(classes.select("label", "digest", "rep"), ["label", "digest"]).groupBy("vec_id").agg(F.min("rep").alias("b"), F.collect_set("rep").alias("reps"))
+    edges = links.select(F.col("rep").alias("a"), F.col("other").alias("b")).union(several.select(F.explode("reps").alias("a"), "b"))
+    found = components(edges.where("a <> b"))
+    counts = links.groupBy("label", "rep").agg(F.sum("links").alias("links"))
+    known = classes.select("label", "digest", "rep", "copies").join(counts, ["label", "rep"], "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    known = known.select(F.struct("label", "digest").alias("class"), "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
+    # only classes that say more than their single vector does are joined back
+    known = written(known.where("links > 0"), "known")
+    told = join_by_weight(ids.select("vec_id", F.struct("label", "digest").alias("class")), known, "class", "copies", ids.count(), ["links", "component"])
+    told = told.groupBy("vec_id").agg(F.sum("links").alias("n_links"), F.min("component").alias("component"))
+    out = rows.select(F.col("vec_id").cast("long").alias("vec_id")).join(told, "vec_id", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

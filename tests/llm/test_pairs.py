@@ -150,13 +150,13 @@ def vectors(seed, n=400, d=16):
     return [(k, int(r.integers(0, 3)), (base[r.integers(0, len(base))] + r.standard_normal(d) * 0.05).tolist()) for k in range(n)]
 
 
-@pytest.mark.parametrize("tile", [256, 8])
-def test_vectors_match_brute_force(spark, tile):
+@pytest.mark.parametrize(("tile", "cell"), [(256, 8192), (8, 8192), (8, 40)])
+def test_vectors_match_brute_force(spark, tile, cell):
     rows = vectors(3)
     rows += [(1000 + k, 7, rows[0][2]) for k in range(30)]
     odd = [(2000, None, rows[0][2]), (2001, 7, None), (2002, 7, [0.0] * 16), (2003, 7, [float("nan")] + [1.0] * 15), (2004, 7, [float("inf")] + [1.0] * 15), (2005, 7, [None] + [1.0] * 15), (2006, 7, []), (2007, 7, [1.0, 2.0]), (None, 7, rows[0][2]), rows[5]]
     df = spark.createDataFrame([*rows, *odd], "vec_id long, label int, embedding array<double>").withColumns({"tiles": F.lit(1), "keys": F.lit("k")})
-    out = near_vectors(df, tile=tile).collect()
+    out = near_vectors(df, tile=tile, cell=cell).collect()
     assert len(out) == len(rows) + len(odd)
     v = {i: (label, np.array(x) / math.sqrt(math.fsum(c * c for c in x))) for i, label, x in rows}
     ids = list(v)
@@ -170,3 +170,18 @@ def test_vectors_match_brute_force(spark, tile):
     assert all(got[i].n_links == 0 and got[i].component_id == i for i in range(2000, 2008))
     assert got[None].component_id is None
     assert near_vectors(df.where("false")).count() == 0
+
+
+def test_links_of_many_vectors_are_found():
+    """Recall against all pairs, evenly spread and concentrated, with a crowd."""
+    from tessera.llm.embedding_dedup import _unit, linked
+
+    r = np.random.default_rng(8)
+    for base in (0.0, 0.9, 0.96):
+        v = _unit(np.sqrt(base) * _unit(r.standard_normal((1, 64))) + np.sqrt(1 - base) * _unit(r.standard_normal((6000, 64))))
+        v[5000:5500] = _unit(v[:500] + 0.19 * np.sqrt(1 - base) * _unit(r.standard_normal((500, 64))))
+        v[5500:5800] = _unit(v[7] + 0.02 * _unit(r.standard_normal((300, 64))))
+        want = v @ v.T >= 0.98
+        np.fill_diagonal(want, False)
+        got = linked(v, 0.98, 5e-5, 256)
+        assert not (got & ~want).any() and (got & want).sum() >= 0.9995 * want.sum() and (got == got.T).all()
