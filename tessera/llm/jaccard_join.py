@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import components, join_by_weight, mixed, passes_for, runs, shingle_hashes, small_batches, text_key, words, written
 
-BLOCK = 1024
+BLOCK = 512
 WORDS = 2_000_000
 
 
