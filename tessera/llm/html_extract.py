@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -90,10 +91,16 @@ class Page:
         self.labels = [0] if marks else None
         self.pieces: list[tuple[int, str]] = []
         stack, names, inline_links = [0], ["html"], 0
+        standing: Counter = Counter(names)  # of the open elements, so that none is looked for in vain
         pattern = TAG if source.count('"') % 2 == 0 and source.count("'") % 2 == 0 else LOOSE
         at, skip = 0, None
         pieces = self.pieces
 
+        def close(k: int) -> None:
+            for name in names[k:]:
+                standing[name] -= 1
+            del names[k:], stack[k:]
+
         def put(text: str) -> None:
             if not text:
                 return
@@ -125,14 +132,12 @@ class Page:
                     inline_links = max(0, inline_links - 1)
                 elif tag in INLINE:
                     continue
-                elif tag in names and len(names) > 1:
+                elif standing[tag] and len(names) > 1:
                     pieces.append((stack[-1], " "))
-                    while names[-1] != tag and len(names) > 1:
-                        names.pop()
-                        stack.pop()
-                    if len(names) > 1:
-                        names.pop()
-                        stack.pop()
+                    k = len(names) - 1
+                    while names[k] != tag and k > 1:
+                        k -= 1
+                    close(k)
                     inline_links = 0
                     pieces.append((stack[-1], " "))
                 continue
@@ -154,22 +159,22 @@ class Page:
                 continue
             if tag == "html":
                 continue
-            if tag in CLOSES_P and "p" in names:
+            if tag in CLOSES_P and standing["p"]:
                 k = len(names) - 1
                 while names[k] != "p":
                     k -= 1
                 if not any(x in ("td", "th", "button", "object") for x in names[k:]):
-                    del names[k:], stack[k:]
+                    close(k)
                     inline_links = 0
-            if tag in CLOSED_BY:
+            if tag in CLOSED_BY and any(standing[x] for x in CLOSED_BY[tag]):
                 for k in range(len(names) - 1, 0, -1):
                     if names[k] in CLOSED_BY[tag]:
                         if tag in ("td", "th", "li", "dt", "dd") or names[k] == "tr" or tag in ("tbody", "tfoot"):
-                            del names[k:], stack[k:]
+                            close(k)
                             if tag in ("td", "th", "li", "dt", "dd"):
                                 break
                             continue
-                        del names[k:], stack[k:]
+                        close(k)
                     elif names[k] in ("ul", "ol", "dl", "table", "menu"):
                         break
             node = len(self.parents)
@@ -189,6 +194,7 @@ class Page:
                 self.labels.append(int(label[1]) if label else self.labels[parent])
             stack.append(node)
             names.append(tag)
+            standing[tag] += 1
         if skip is None and at < len(source):
             put(source[at:])
 

@@ -37,6 +37,13 @@ def test_chat_events_fold(spark):
     assert [out[1].formatted[s.start : s.end] for s in out[1].loss_spans] == ["good day"]
     assert out[3].n_turns == 0 and out[3].formatted == "" and out[None].n_turns == 1 and C.parse(out[4].formatted)[0][1] == "<|im_end|>" * 5000
     got = {r.conv_id: r for r in C.digests(C.format_chats(df)).collect()}
+    import hashlib
+
+    whole = {1: [("user", "hi there"), ("assistant", "good day")], 2: [("user", "")], 3: [], None: [("user", "z")], 4: [("user", "<|im_end|>" * 5000)]}
+    for conv, turns in whole.items():
+        loss = "".join(t for r, t in turns if r == "assistant")
+        want = (len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert tuple(got[conv])[1:5] == want
     assert got[2].loss_chars == 0 and got[1].loss_chars == 8 and C.format_chats(df.where("false")).count() == 0
 
 
@@ -69,6 +76,36 @@ def test_decoding_is_consistent():
             assert not (cut[k] and main[k])
 
 
+def test_decoding_is_the_best_of_all_consistent_choices():
+    """Against every choice of states down small trees."""
+    import itertools
+
+    rng = np.random.default_rng(6)
+    pages = ["<div>aa<p>b</p><p>cc</p></div>", "<ul><li>a<li>bb</ul><p>c</p>", "<div><div>a<div>b</div></div>cc</div>", "x<section>y<p>z</p>w</section><p>v</p>"]
+    for k in range(40):
+        p = H.Page(pages[k % len(pages)])
+        n = len(p.parents)
+        own = np.zeros(n)
+        for node, t in p.pieces:
+            own[node] += len(t)
+        logits = rng.standard_normal(n)
+        gain = logits * (1 + np.log1p(own))
+        best = -np.inf
+        for states in itertools.product((0, 1, 2), repeat=n):
+            if states[0] == 2 or any((a, b) in ((0, 2), (1, 0), (2, 0), (2, 1)) for a, b in ((states[p.parents[i]], states[i]) for i in range(1, n))):
+                continue
+            best = max(best, sum(g for g, s in zip(gain, states) if s == 1))
+        assert sum(g for g, m in zip(gain, H.decode(p, logits)) if m) == pytest.approx(best)
+
+
+def test_deep_pages_are_parsed_in_time():
+    import time
+
+    began = time.perf_counter()
+    p = H.Page("<div>" * 16000 + "a<p>b</p><li>c" + "</div>" * 16000)
+    assert len(p.parents) == 16003 and time.perf_counter() - began < 2
+
+
 @pytest.fixture
 def sources(spark):
     r = random.Random(9)
@@ -145,6 +182,21 @@ def test_language_of_very_long_texts():
     assert lead[1] > 0.8 * lead[0] > 0.002
 
 
+def test_compiled_rules_are_the_learnt_ones(spark):
+    """Scores of the compiled columns against the rules held in numpy."""
+    r = random.Random(14)
+    rows = [(k, " ".join(r.choice(["alpha", "Beta,", "x!", "12", "delta."]) * r.randint(1, 3) for _ in range(r.randint(0, 60))), k % 2) for k in range(300)]
+    df = spark.createDataFrame([*rows, (900, None, None), (901, "", None)], "doc_id long, text string, y int").withColumn("score", F.lit("clash"))
+    measured = df.select("doc_id", *[c.alias(k) for k, c in Q.statistics(F.col("text")).items()], "y")
+    rules, intercept = Q.train(measured, "y")
+    got = {x.doc_id: x.score for x in Q.scored(measured, rules, intercept).collect()}
+    for x in measured.collect():
+        total = intercept
+        for rule, weight in rules:
+            total += weight * all(x[name] is not None and (x[name] > cut) == above for name, above, cut in rule)
+        assert got[x.doc_id] == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-9)
+
+
 def test_quality_rules(spark):
     r = random.Random(4)
     good = [" ".join(r.choice(["alpha", "beta", "gamma", "delta", "omega"]) + str(r.randint(0, 99)) for _ in range(40)) for _ in range(150)]
