@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
@@ -24,14 +25,16 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, words, written
 
-GROUPS, EACH = 64, 64
+GROUPS, EACH = 32, 64
 SIZE = GROUPS * EACH
-ENDINGS = {3: 800, 2: 223}  # endings that have a token, by their bytes; one more token has all other words
+ENDINGS = {3: 600, 2: 199}  # endings that have a token, by their bytes; one more token has all other words
 OTHERS = sum(ENDINGS.values()) + 1
 KNOWN = SIZE - OTHERS
+COUNTED = 200_000  # commonest words whose counts go to the tasks; those of others are joined
 HIDDEN, SIDE = 24, 2
 PAD = SIZE
 SHARD = 4_000_000  # tokens a shard
+PARTS = 50_000  # tasks that train at most; beyond it a task trains several shards, one after another
 ROUNDS = 2
 _OFFSETS = [d for d in range(-SIDE, SIDE + 1) if d]
 BATCH = 16384
@@ -58,12 +61,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
 class Tokens(dict):
     """Numbers of words: known ones by rank, the rest by their ending; a worker keeps those it met, up to a bound.
 
-    `times` holds how often each token stands in the documents, at least one.
+    `times` holds how often each token stands in the documents, at least one; `logs` has the logarithms of
+    the counts of the commonest words that are no tokens of their own.
     """
 
-    def __init__(self, known: list[bytes], endings: dict[bytes, int], times: np.ndarray):
+    def __init__(self, known: list[bytes], endings: dict[bytes, int], times: np.ndarray, logs: dict[bytes, float] | None = None):
         super().__init__({w: k for k, w in enumerate(known)})
-        self.known, self.endings, self.times = dict(self), endings, times
+        self.known, self.endings, self.times, self.logs = dict(self), endings, times, logs or {}
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 300_000:
@@ -84,9 +88,11 @@ class Tokens(dict):
 
 
 def vocabulary(counts: DataFrame) -> Tokens:
-    """The commonest words and endings of counts(word, n), ties by bytes; SIZE of them, which bounds what the driver holds."""
+    """The commonest words and endings of counts(word, n), ties by bytes; COUNTED and SIZE of them, which bounds what the driver holds."""
     spark = counts.sparkSession
-    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()
+    top = counts.orderBy(F.desc("n"), "word").limit(COUNTED).collect()
+    logs = {bytes(r["word"]): float(np.log(r["n"])) for r in top[KNOWN:]}
+    top = top[:KNOWN]
     known = [bytes(r["word"]) for r in top]
     times = np.ones(SIZE)
     times[: len(top)] = [r["n"] for r in top]
@@ -98,7 +104,7 @@ def vocabulary(counts: DataFrame) -> Tokens:
         found = rare.where(F.octet_length("word") >= n).groupBy(ending.alias("ending")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "ending").limit(most).collect()
         for k, r in enumerate(found):
             endings[bytes(r["ending"])] = KNOWN + sum(m for size, m in ENDINGS.items() if size > n) + k
-    tokens = Tokens(known, endings, times)
+    tokens = Tokens(known, endings, times, logs)
     shared = spark.sparkContext.broadcast(tokens)
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +260,10 @@ BLOCK = 4096  # parameters a row of the averaging
 
 
 def encoded(docs: DataFrame, tokens: Tokens) -> DataFrame:
-    """(row, doc_id, h, n_tokens, ids, rare, times): token numbers of each row as 16-bit integers, and its words that are no tokens of their own, with how often they stand."""
+    """(row, doc_id, h, n_tokens, ids, gain, rare, times) of each row: token numbers as 16-bit integers, and of its words that are no tokens of their own the sum of the logarithms of their counts.
+
+    Words whose counts the tasks lack are in rare, with how often they stand.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(tokens)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,24 +272,26 @@ def encoded(docs: DataFrame, tokens: Tokens) -> DataFrame:
         told = shared.value
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            lengths, ids, rare, times = [], [], [], []
+            lengths, ids, gains, rare, times = [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 found = words(text)
                 numbers = told.numbers(found)
-                odd = Counter([found[k] for k in np.flatnonzero(numbers >= KNOWN).tolist()])
+                logs = [told.logs.get(found[k]) for k in np.flatnonzero(numbers >= KNOWN).tolist()]
+                gains.append(math.fsum(x for x in logs if x is not None))
+                odd = Counter([found[k] for k, x in zip(np.flatnonzero(numbers >= KNOWN).tolist(), logs, strict=True) if x is None])
                 lengths.append(len(found))
                 ids.append(numbers.astype("<u2").tobytes())
                 rare.append(list(odd))
                 times.append(list(odd.values()))
             n = len(lengths)
-            columns = [pa.array(np.arange(row, row + n)), batch.column(0), batch.column(1), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "h", "n_tokens", "ids", "rare", "times"])
+            columns = [pa.array(np.arange(row, row + n)), batch.column(0), batch.column(1), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary()), pa.array(gains, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "h", "n_tokens", "ids", "gain", "rare", "times"])
             row += n
 
     small_batches(docs.sparkSession)
     text = F.col("text").cast("string")
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("h"), text.alias("text"))
-    return kept.mapInArrow(work, "row long, doc_id long, h long, n_tokens long, ids binary, rare array<binary>, times array<long>")
+    return kept.mapInArrow(work, "row long, doc_id long, h long, n_tokens long, ids binary, gain double, rare array<binary>, times array<long>")
 
 
 def train(base: DataFrame, tokens: Tokens, rounds: int = ROUNDS, shard: int = SHARD, batch: int = BATCH) -> Network:
@@ -293,8 +304,9 @@ def train(base: DataFrame, tokens: Tokens, rounds: int = ROUNDS, shard: int = SH
     network = Network(tokens.times)
     total = base.agg(F.sum("n_tokens")).first()[0] or 0
     shards = max(1, -(-total // shard))
-    parts = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = base.where("n_tokens > 0").select(F.pmod("h", F.lit(shards)).alias("shard"), "h", "ids").repartition(parts, "shard").sortWithinPartitions("shard", "h")
+    parts = min(shards, PARTS)
+    dealt = base.where("n_tokens > 0").select(F.pmod("h", F.lit(shards)).alias("shard"), "h", "ids")
+    dealt = dealt.repartitionById(parts, F.pmod("shard", F.lit(parts)).cast("int")).sortWithinPartitions("shard", "h")
     size = len(network.flat())
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast(network.flat())
@@ -356,10 +368,10 @@ def score(base: DataFrame, tokens: Tokens, network: Network, counts: DataFrame)
             values = np.append(values, 0.0)
             starts = np.cumsum(lengths) - lengths
             sums = np.where(lengths > 0, np.add.reduceat(values, np.minimum(starts, len(values) - 1)), 0.0) if len(ids) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sums)], ["row", "doc_id", "n_tokens", "log_prob"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sums + batch.column(4).to_numpy())], ["row", "doc_id", "n_tokens", "log_prob"])
 
     small_batches(base.sparkSession)
-    scored = base.select("row", "doc_id", "n_tokens", "ids").mapInArrow(work, "row long, doc_id long, n_tokens long, log_prob double")
+    scored = base.select("row", "doc_id", "n_tokens", "ids", "gain").mapInArrow(work, "row long, doc_id long, n_tokens long, log_prob double")
     met = base.select("row", F.inline(F.arrays_zip(F.col("rare").alias("word"), "times")).alias("word", "times"))
     logs = counts.where("n > 1").select("word", F.log("n").alias("log_n"))
     gains = met.join(logs, "word").groupBy("row").agg(F.sum(F.col("times") * F.col("log_n")).alias("gain"))

@@ -219,7 +219,9 @@ def _lm(df):
     return counts, tokens, M.encoded(df, tokens)
 
 
-def test_lm_score_is_the_plain_sum(spark):
+@pytest.mark.parametrize("counted", [200_000, M.KNOWN + 500])
+def test_lm_score_is_the_plain_sum(spark, monkeypatch, counted):
+    monkeypatch.setattr(M, "COUNTED", counted)
     r = random.Random(6)
     rows = [(k, " ".join(r.choice(["red fox", "blue sky", "green tree", f"odd{r.randint(0, 9000)}"]) for _ in range(r.randint(1, 90)))) for k in range(400)]
     odd = [(900, None), (901, ""), (902, "red"), (None, "blue sky"), rows[0]]
