@@ -124,3 +124,74 @@ def insert_new(target: DataFrame, rows: DataFrame, keys: Sequence[str], order: s
     """SNK2, SNK4: rows whose key the target lacks, the first of each key."""
     fresh = rows.join(target.select(*keys).distinct(), list(keys), "left_anti")
     return newest(fresh.withColumn("insert_order", -F.col(order).cast("long")), keys, "insert_order", F.to_json(F.struct(*rows.columns))).drop("insert_order")
+
+
+def in_scope(ids: Column, allowed: Column) -> Column:
+    """The asked ids that are in scope, each once."""
+    return F.array_intersect(ids, allowed)
+
+
+def ordered(rows: DataFrame, key: str, name: str, *order: Column) -> DataFrame:
+    """K4, K6, K7: rows with their place within a key by any sort keys."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+
+
+def custom_rank(value: Column, first: Sequence[str]) -> Column:
+    """K7: the place of a value in a fixed order, all others after it."""
+    at = F.array_position(F.array(*map(F.lit, first)), value)
+    return F.when(at > 0, at).otherwise(len(first) + 1)
+
+
+def best_groups(rows: DataFrame, key: str, group: str, score: str, most: int = 5) -> DataFrame:
+    """K8: a key's groups by their best row; the maximum is partial before the shuffle, so no group is gathered."""
+    best = rows.groupBy(key, group).agg(F.max(score).alias("best"))
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("best"), group))).where(F.col("rank") <= most)
+
+
+def replaced(target: DataFrame, rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """SNK1: target with all rows of the given keys replaced by new ones; a key without any loses its own."""
+    return target.join(keys.select(key).distinct(), key, "left_anti").unionByName(rows.join(keys.select(key).distinct(), key, "left_semi"))
+
+
+def upserted(target: DataFrame, rows: DataFrame, keys: Sequence[str], updated: str) -> DataFrame:
+    """SNK3, SNK4: target with the newest row of each key put in its place, and whether that created the key."""
+    names = [c for c in target.columns if c not in keys]
+    fresh = newest(rows, keys, updated, F.to_json(F.struct(*names))).select(*keys, F.struct(*names).alias("fresh"))
+    held = target.select(*keys, F.struct(*names).alias("held"))
+    both = held.join(fresh, list(keys), "full")
+    return both.select(*keys, *[F.coalesce("fresh", "held")[c].alias(c) for c in names], F.col("held").isNull().alias("created"))
+
+
+def exactly_one(*said: Column) -> Column:
+    """VC1: one of the shapes and no other."""
+    return sum((F.coalesce(s, F.lit(False)).cast("int") for s in said), F.lit(0)) == 1
+
+
+def implies_both(a: Column, b: Column) -> Column:
+    """VC2: two conditions that hold together or not at all."""
+    return F.coalesce(a, F.lit(False)) == F.coalesce(b, F.lit(False))
+
+
+def dangling(rows: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """VC3: rows whose composite key, null in no part, has no target."""
+    for k in keys:
+        rows = rows.where(F.col(k).isNotNull())
+    return rows.join(targets.select(*keys), list(keys), "left_anti")
+
+
+def not_unique(rows: DataFrame, keys: Sequence[str], condition: Column) -> DataFrame:
+    """VC4: keys that stand more than once among the rows that meet a condition."""
+    return rows.where(condition).groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def changed_identity(before: DataFrame, after: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """VC6: keys whose columns are not what they were."""
+    now = after.select(key, F.struct(*columns).alias("now"))
+    return before.select(key, F.struct(*columns).alias("was")).join(now, key).where(~F.col("was").eqNullSafe(F.col("now"))).select(key)
+
+
+def cascaded(rows: DataFrame, parents: DataFrame, parent: str, targets: DataFrame, pointer: str) -> DataFrame:
+    """VC5: rows of live parents, whose pointer is null where its target is gone; snapshots stay."""
+    live = rows.join(parents.select(parent).distinct(), parent, "left_semi")
+    there = targets.select(F.col(pointer).alias("there")).distinct()
+    return live.join(there, F.col(pointer) == F.col("there"), "left").withColumn(pointer, F.col("there")).drop("there").select(rows.columns)
