@@ -85,7 +85,7 @@ def retry_after(value: Column, now: Column) -> Column:
     text = js_trim(value)
     date = F.try_to_timestamp(F.regexp_replace(text, "^[A-Za-z]{3}, ", ""), F.lit("dd MMM yyyy HH:mm:ss 'GMT'"))
     left = (date.cast("timestamp").cast("double") - now.cast("timestamp").cast("double")) * 1000
-    return F.when(text.rlike(r"^[0-9]+(\.[0-9]+)?$"), F.round(text.try_cast("double") * 1000)).otherwise(F.greatest(F.lit(0.0), left)).cast("long")
+    return F.when(text.rlike(r"^[0-9]+(\.[0-9]+)?$"), F.round(text.try_cast("double") * 1000)).otherwise(F.when(left.isNotNull(), F.greatest(F.lit(0.0), left))).cast("long")
 
 
 def label(value: Column, labels: dict[str, str], other: str = "") -> Column:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import fold_sorted
+
 
 @dataclass(frozen=True)
 class SearchRequest:
@@ -87,12 +90,13 @@ def coverage(papers: DataFrame, jobs: DataFrame, chunks: DataFrame) -> DataFrame
 
 
 def embedding_input(title: Column, section: Column, text: Column, most: int = 300) -> Column:
-    """V1: headed text to embed; null for blank text."""
-    from ..functions.text import collapse, ellipsis, js_trim
+    """V1: headed text to embed; null for blank text, which one character tells."""
+    from ..functions.text import WS, collapse, ellipsis
 
     head = lambda name, c: F.when(collapse(c) != "", F.concat(F.lit(f"{name}: "), ellipsis(collapse(c), most)))
     top = F.concat_ws("\n", head("Title", title), head("Section", section))
-    return F.when(js_trim(text) != "", F.when(top == "", text).otherwise(F.concat(top, F.lit("\n\n"), text)))
+    said = text.rlike(rf"[^{WS[1:]}")  # one character that is no white space
+    return F.when(said, F.when(top == "", text).otherwise(F.concat(top, F.lit("\n\n"), text)))
 
 
 def incremental_plan(current: DataFrame, stored: DataFrame) -> DataFrame:
@@ -113,15 +117,65 @@ def estimator(observed: Column, start: float = 4.0, weight: float = 0.3) -> Colu
     return F.aggregate(F.filter(observed, lambda x: x["tokens"] > 0), F.lit(start), step)
 
 
+def estimates(observed: DataFrame, key: str, order: Sequence[str], start: float = 4.0, weight: float = 0.3) -> DataFrame:
+    """A key's last estimate over observed(key, chars, tokens, ...) in order.
+
+    A step is factor * estimate + value, and so is any run of steps, so tasks fold their sorted rows into one
+    such pair for each key and range, and the few pairs of a key are put together in order.
+    """
+    rows = observed.where("tokens > 0").select(F.col(key).cast("string").alias(key), *order, (F.col("chars") / F.col("tokens") * 0.9).alias("ratio"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, held, last = TaskContext.get().partitionId(), [], object()
+        for batch in batches:
+            for k, ratio in zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                if k != last:
+                    held.append([k, 1.0, 0.0])
+                    last = k
+                run = held[-1]
+                run[1], run[2] = run[1] * (1 - weight), run[2] * (1 - weight) + weight * min(4.0, max(2.5, ratio))
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.string()), pa.array([part] * len(held), pa.int32()), pa.array([x[1] for x in held]), pa.array([x[2] for x in held])], [key, "part", "factor", "value"])
+
+    dealt = rows.repartitionByRange(key, *order).sortWithinPartitions(key, *order).mapInArrow(work, f"{key} string, part int, factor double, value double")
+    pairs = dealt.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("part", "factor", "value"))).alias("runs"))
+    return pairs.select(key, F.aggregate("runs", F.lit(start), lambda a, r: a * r["factor"] + r["value"]).alias("chars_per_token"))
+
+
 def batches(rows: DataFrame, key: str, order: Sequence[str], size: str, most_items: int = 32, most_size: int = 240_000) -> DataFrame:
-    """Sequential batches of a key's rows by number and total size, as a fold over its sizes in order."""
-    packed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, size))).alias("xs"))
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("total"), F.lit(0).alias("batch"), F.array().cast("array<int>").alias("out"))
+    """Sequential batches of a key's rows by number and total size, one row at a time in order."""
+    at = rows.columns.index(size)
+
+    def step(state: tuple[int, int, int], row: tuple) -> tuple[tuple, tuple]:
+        n, total, batch = state
+        full = n > 0 and (n + 1 > most_items or total + row[at] > most_size)
+        state = (1, row[at], batch + 1) if full else (n + 1, total + row[at], batch)
+        return state, (*row, state[2])
+
+    kind = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+    return fold_sorted(rows, [key], [*order, size], lambda: (0, 0, 0), step, f"{kind}, batch int")
+
+
+def zip_vectors(inputs: DataFrame, vectors: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """V5: inputs with the vector that came back at their place; a place without one, or one too many, fails the batch.
+
+    inputs(batch, place, ...), vectors(batch, place, embedding).
+    """
+    both = inputs.withColumn("asked", F.lit(True)).join(vectors.withColumn("given", F.lit(True)), list(keys), "full")
+    bad = both.groupBy(keys[0]).agg(F.bool_or(F.col("asked").isNull() | F.col("given").isNull()).alias("mismatch"))
+    return both.where("asked").drop("asked", "given").join(bad, keys[0]).withColumn("embedding", F.when(~F.col("mismatch"), F.col("embedding")))
+
+
+def in_active_space(rows: DataFrame, models: DataFrame) -> DataFrame:
+    """V9: rows(model, ...) of the one active model; with none or several active, none."""
+    active = models.where("active").groupBy().agg(F.count("*").alias("n"), F.min("model").alias("model")).where("n = 1").select("model")
+    return rows.join(active, "model", "left_semi")
 
-    def step(a: Column, x: Column) -> Column:
-        full = (a["n"] > 0) & ((a["n"] + 1 > most_items) | (a["total"] + x[size] > most_size))
-        batch = F.when(full, a["batch"] + 1).otherwise(a["batch"])
-        return F.struct(F.when(full, 1).otherwise(a["n"] + 1).alias("n"), F.when(full, x[size].cast("long")).otherwise(a["total"] + x[size]).alias("total"), batch.alias("batch"), F.concat(a["out"], F.array(batch)).alias("out"))
 
-    folded = packed.withColumn("batch", F.aggregate("xs", start, step, lambda a: a["out"]))
-    return folded.select(key, F.inline(F.arrays_zip("xs", "batch"))).select(key, "xs.*", "batch")
+def estimate(chunks: DataFrame, stored: DataFrame, per_token: float = 4.0) -> DataFrame:
+    """Of an indexing run the chunks in all, those whose vector is kept, those to embed, and the tokens of these."""
+    plan = incremental_plan(chunks, stored)
+    new = F.col("action") != "reuse"
+    return plan.agg(F.count("*").alias("total"), F.count_if(~new).alias("reusable"), F.count_if(new).alias("pending"), F.coalesce(F.sum(F.when(new, token_estimate(F.length("input"), per_token))), F.lit(0)).alias("tokens"))

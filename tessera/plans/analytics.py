@@ -235,24 +235,13 @@ def j13_overlap_join(spark, sf_dir):
     return R.overlapping(t, "k", "s", "e", "item", 100)
 
 
-@query(
-    "j14_offset_to_page",
-    r"""with t as (select doc_id, length(text) // 2 as off, list_prepend(0, list_transform(list_filter(range(1, length(text) + 1), lambda i: text[i] = chr(10)), lambda i: i)) as starts from documents where text is not null and length(text) < 6000)
-select doc_id, off, cast(len(list_filter(starts, lambda s: s <= off)) as integer) as page from t""",
-)
-def j14_offset_to_page(spark, sf_dir):
-    lines = F.split("text", "\n")
-    starts = F.aggregate(lines, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), lambda a, x: F.struct((a["at"] + F.length(x) + 1).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")), lambda a: a["starts"])
-    docs = table(spark, sf_dir, "documents").where("text is not null and length(text) < 6000")
-    return docs.select("doc_id", F.floor(F.length("text") / 2).alias("off"), starts.alias("starts")).select("doc_id", "off", R.page_at(F.col("starts"), F.col("off")).alias("page"))
+_PAGE_OF = """with t as (select doc_id, length(text) // 2 as off, text from documents where text is not null)
+select doc_id, off, cast(1 + off - length(replace(left(text, off), chr(10), '')) as integer) as page from t"""
 
 
-@query(
-    "j14_offset_to_page_whole",
-    """with t as (select doc_id, length(text) // 2 as off, text from documents where text is not null)
-select doc_id, off, cast(1 + off - length(replace(left(text, off), chr(10), '')) as integer) as page from t""",
-)
-def j14_offset_to_page_whole(spark, sf_dir):
+@query("j14_offset_to_page", _PAGE_OF)
+@query("j14_offset_to_page_whole", _PAGE_OF)
+def j14_offset_to_page(spark, sf_dir):
     """Texts of any length: the lines up to an offset are counted in one linear pass."""
     docs = table(spark, sf_dir, "documents").where("text is not null").withColumn("off", F.floor(F.length("text") / 2))
     before = F.substring(F.col("text"), F.lit(1), F.col("off").cast("int"))
@@ -286,14 +275,12 @@ def k3_feed(spark, sf_dir):
     return table(spark, sf_dir, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(30).select("event_id", "ts", "event_type")
 
 
-@query("k5_nulls_last", "select o_orderkey, due from (select o_orderkey, case when o_orderkey % 3 = 0 then null else o_orderdate end as due from orders) order by due asc nulls last, o_orderkey limit 12000")
-def k5_nulls_last(spark, sf_dir):
-    due = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderdate"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", due.alias("due")).orderBy(F.col("due").asc_nulls_last(), "o_orderkey").limit(12000)
+_NULLS_LAST = "select o_orderkey, case when o_orderkey % 3 = 0 then null else o_orderdate end as due from orders order by due asc nulls last, o_orderkey"
 
 
-@query("k5_nulls_last_whole", "select o_orderkey, case when o_orderkey % 3 = 0 then null else o_orderdate end as due from orders order by due asc nulls last, o_orderkey")
-def k5_nulls_last_whole(spark, sf_dir):
+@query("k5_nulls_last", _NULLS_LAST)
+@query("k5_nulls_last_whole", _NULLS_LAST)
+def k5_nulls_last(spark, sf_dir):
     due = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderdate"))
     return table(spark, sf_dir, "orders").select("o_orderkey", due.alias("due")).orderBy(F.col("due").asc_nulls_last(), "o_orderkey")
 
@@ -351,18 +338,21 @@ def w14_round_robin(spark, sf_dir):
     return R.round_robin(table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), F.col("event_type").alias("g"), F.col("event_id").alias("o")), "k", "g", ["o"])
 
 
-@query(
-    "w12_batches",
-    None,
-)
+@query("w12_batches", """with recursive d as (select source, doc_id, n_chars, row_number() over (partition by source order by doc_id, n_chars) as k from documents),
+s as (select distinct source, cast(0 as bigint) as k, cast(null as bigint) as doc_id, cast(0 as bigint) as n_chars, 0 as n, cast(0 as bigint) as total, 0 as batch from d
+ union all select d.source, d.k, d.doc_id, d.n_chars, case when f then 1 else n + 1 end, case when f then d.n_chars else total + d.n_chars end, case when f then batch + 1 else batch end from (select s.source as src, s.k as sk, s.n, s.total, s.batch, d.*, s.n > 0 and (s.n + 1 > 8 or s.total + d.n_chars > 12000) as f from s join d on d.source is not distinct from s.source and d.k = s.k + 1) d)
+select source, doc_id, n_chars, batch from s where k > 0""")
 def w12_batches(spark, sf_dir):
     return V.batches(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", ["doc_id"], "n_chars", 8, 12_000)
 
 
-@query("w11_token_estimator")
+@query("w11_token_estimator", """with recursive d as (select source, n_chars, len(string_split(text, ' ')) as tokens, row_number() over (partition by source order by doc_id, n_chars) as k from documents where text is not null),
+s as (select distinct source, cast(0 as bigint) as k, 4.0::double as e from d union all select d.source, d.k, s.e * (1 - 0.3::double) + 0.3::double * least(4.0::double, greatest(2.5::double, d.n_chars::double / d.tokens * 0.9::double)) from s join d on d.source is not distinct from s.source and d.k = s.k + 1)
+select source, round(arg_max(e, k), 9) as chars_per_token from s group by 1""")
 def w11_token_estimator(spark, sf_dir):
-    seen = table(spark, sf_dir, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.col("n_chars").alias("chars"), F.size(F.split("text", " ")).alias("tokens")))).alias("xs"))
-    return seen.select("source", V.estimator(F.transform("xs", lambda x: F.struct(x["chars"].alias("chars"), x["tokens"].alias("tokens")))).alias("chars_per_token"))
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    seen = docs.select("source", "doc_id", F.col("n_chars").alias("chars"), F.size(F.split("text", " ")).alias("tokens"))
+    return V.estimates(seen, "source", ["doc_id", "chars"]).select("source", F.round("chars_per_token", 9).alias("chars_per_token"))
 
 
 @query("v10_token_estimate", "select doc_id, cast(ceil(n_chars / 4.0) as bigint) as tokens from documents")

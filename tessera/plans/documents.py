@@ -101,26 +101,47 @@ def d3_extraction_quality(spark, sf_dir):
     return D.extraction_quality(D.page_profiles(line_papers(spark, sf_dir)))
 
 
-# Lines and what they name, by turns.
-_TITLES = [("1. Introduction", "introduction"), ("Methods:", "methods"), ("Related  Work", "related_work"), ("Conclusions and Future Work", "conclusion"), ("Plain line of text", None), ("REFERENCES", "references"), ("Appendix B", "appendix"), ("II. Results", "results")]
+# Parts of lines, put together by the numbers of parts.
+_LEADS = ["", "1. ", "2.3 ", "IV. ", "a) ", "  12 "]
+_HEADS = ["Introduction", "Related  Work", "MATERIALS AND METHODS", "Findings", "Discussion", "limitations and future work", "Concluding remarks", "Works Cited", "Acknowledgements", "Appendix B2", "Background and motivation", "Plain line of text", "Methodology of results", "", "Conclusions and future directions of the whole long programme of work"]
+_ENDS = ["", ":", ".", " ", "?"]
 
 
-@query("d5_heading_type", "select o_orderkey, case o_orderkey % 8 " + " ".join(f"when {k} then '{kind}'" for k, (_, kind) in enumerate(_TITLES) if kind) + " end as section_type from orders")
+def _sql_list(xs) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
+
+
+_LINE = f"{_sql_list(_LEADS)}[p_partkey % {len(_LEADS)} + 1] || {_sql_list(_HEADS)}[p_partkey // 6 % {len(_HEADS)} + 1] || {_sql_list(_ENDS)}[p_partkey // 90 % {len(_ENDS)} + 1]"
+_NAME = r"lower(trim(regexp_replace(regexp_replace(regexp_replace(t, '^(?:[0-9]+(?:\.[0-9]+)*\.?|[IVXL]+\.)\s+', ''), '[:.]$', ''), '\s+', ' ', 'g')))"
+
+
+@query("d5_heading_type", f"with l as (select p_partkey, trim({_LINE}) as t from part), n as (select *, {_NAME} as n from l) select p_partkey, case when length(t) not between 1 and 60 then null " + " ".join(f"when regexp_matches(n, '^(?:{pattern})$') then '{kind}'" for kind, pattern in D.HEADINGS) + " end as section_type from n")
 def d5_heading_type(spark, sf_dir):
-    line = F.element_at(F.array(*[F.lit(t) for t, _ in _TITLES]), (F.col("o_orderkey") % 8 + 1).cast("int"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", D.heading_type(line).alias("section_type"))
+    k = F.col("p_partkey")
+    pick = lambda xs, at: F.element_at(F.array(*map(F.lit, xs)), (at % len(xs) + 1).cast("int"))
+    line = F.concat(pick(_LEADS, k), pick(_HEADS, F.floor(k / 6)), pick(_ENDS, F.floor(k / 90)))
+    return table(spark, sf_dir, "part").select("p_partkey", D.heading_type(line).alias("section_type"))
 
 
-@query(
-    "d4_classify",
-    """select o_orderkey, case o_orderkey % 4 when 0 then 'annual_report' when 1 then 'market_research' when 2 then 'general_report' else 'unknown' end as document_type,
- case o_orderkey % 4 when 0 then 1.0::double when 1 then 1.0::double when 2 then 0.0::double else 0.25::double end as confidence from orders""",
-)
+# Phrases that the rules look for, and ones that they must not take; a text has those that its number's bits say.
+_PHRASES = ["the Annual Report", "fiscal year 1996", "market size", "policy brief", "case studies", "technical report", "we surveyed", "balance sheets", "Balance Sheet", "abstract"]
+
+
+def _rule_sql() -> str:
+    text = " || ' ' || ".join(f"case when (o_orderkey >> {k}) & 1 = 1 then '{p}' else 'x' end" for k, p in enumerate(_PHRASES))
+    kinds = list(dict.fromkeys(k for k, _, _ in D.RULES))
+    score = lambda kind: " + ".join("case when regexp_matches(h, '" + pattern.format(b="(?:^|[^a-z0-9_])", a="(?:$|[^a-z0-9_])").replace("'", "''") + f"') then {w} else 0 end" for k, pattern, w in D.RULES if k == kind)
+    columns = ", ".join(f"{score(k)} as s{i}" for i, k in enumerate(kinds))
+    every = "[" + ", ".join(f"s{i}" for i in range(len(kinds))) + "]"
+    return f"""with t as (select o_orderkey, lower({text}) as h from orders), s as (select o_orderkey, {columns} from t), b as (select o_orderkey, list_max({every}) as best, list_sum({every}) as total, list_position({every}, list_max({every})) as place from s)
+select o_orderkey, case when total = 0 then 'general_report' when best / total < {D.LEAST_CONFIDENCE} then 'unknown' else {_sql_list(kinds)}[place] end as document_type, case when total = 0 then 0.0::double else best / total end as confidence from b"""
+
+
+@query("d4_classify", _rule_sql())
 def d4_classify(spark, sf_dir):
-    k = F.col("o_orderkey") % 4
-    said = F.when(k == 0, "the Annual Report for fiscal year 1996").when(k == 1, "market size and forecast").when(k == 2, "plain words").otherwise("annual report, policy brief, a thesis submitted, case study, department of, technical report, we surveyed, market size; consolidated balance sheet")
-    kind = D.classify(said, F.array().cast("array<string>"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", kind.alias("c")).select("o_orderkey", "c.document_type", F.when(F.col("c.document_type") == "unknown", 0.25).otherwise(F.col("c.confidence")).alias("confidence"))
+    k = F.col("o_orderkey")
+    said = F.concat_ws(" ", *[F.when(F.shiftright(k, i).bitwiseAND(F.lit(1)) == 1, p).otherwise("x") for i, p in enumerate(_PHRASES)])
+    return table(spark, sf_dir, "orders").select("o_orderkey", D.classify(said, F.array().cast("array<string>")).alias("c")).select("o_orderkey", "c.document_type", "c.confidence")
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
