@@ -133,7 +133,11 @@ def format_chats(events: DataFrame, trained: str = "assistant") -> DataFrame:
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What format_chats holds, read back from its text: digests of turns and of the trained texts."""
+    """What format_chats holds, read back from its text: digests of turns and of the trained texts.
+
+    A row for each of formatted; a conversation without turns, and one without trained texts, has the digest of nothing. Null ids
+    and repeated rows are kept, other columns are ignored, an empty table gives an empty table.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -153,6 +153,9 @@ def train(measured: DataFrame, label: str, rows: int = TRAIN_ROWS) -> tuple[list
 
 
 def scored(measured: DataFrame, rules: list[tuple[Rule, float]], intercept: float) -> DataFrame:
-    """measured with score (0 to 1) and predicted (1 from 0.5)."""
+    """measured with score (0 to 1) and predicted (1 from 0.5), which replace columns of their names.
+
+    A condition on a null statistic does not hold. Repeated rows are kept, and an empty table gives an empty table.
+    """
     out = measured.withColumn("score", compiled(rules, intercept))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -428,7 +428,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     for r in totals:
         starts.append((r["part"], at))
         at += r["n"]
-    joined = rows.join(spark.createDataFrame(starts, "part int, base long"), "part").withColumn("first", F.col("base") + F.col("before"))
+    # a row a write task, so that payloads stay where they are
+    joined = rows.join(F.broadcast(spark.createDataFrame(starts, "part int, base long")), "part").withColumn("first", F.col("base") + F.col("before"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

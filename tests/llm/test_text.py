@@ -60,6 +60,7 @@ def test_html_parsing_and_extraction(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<"), (3, "u", "<a href='x>" + "<div>" * 3000), (4, "u", "<article><h1>T</h1><p>One two three, four.</p><p>More text of the article, here.</p></article><footer>&copy; x</footer>")]
     df = spark.createDataFrame([*rows, rows[4]], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     out = H.extract(df).collect()
+    assert H.extract(df.where("false")).count() == 0
     assert len(out) == 6 and [r.text for r in out if r.page_id == 4] == ["T One two three, four. More text of the article, here."] * 2
     assert [r.text for r in out if r.page_id in (1, 2)] == ["", ""] and all(r.n_chars == len(r.text) for r in out)
 
