@@ -126,7 +126,7 @@ def m5_permissions(spark, sf_dir):
 
 
 @query("m6_scalars", """with s as (select o_orderkey as k, cast(o_totalprice * pow(10, o_orderkey % 6 - 2) as bigint) as n from orders), p as (select *, case when n < 1024 then 0 when n < 1048576 then 1 when n < 1073741824 then 2 else 3 end as e from s)
-select k, case when n <= 0 then '0 MB' else case when n / pow(1024, e) >= 10 or e = 0 then cast(cast(floor(n / pow(1024, e) + 0.5) as bigint) as varchar) else printf('%.1f', n / pow(1024, e)) end || ' ' || ['B', 'KB', 'MB', 'GB'][e + 1] end as size,
+select k, case when n <= 0 then '0 MB' else case when n / pow(1024, e) >= 10 or e = 0 then cast(cast(floor(n / pow(1024, e) + 0.5) as bigint) as varchar) else printf('%.1f', floor(n / pow(1024, e) * 10 + 0.5) / 10) end || ' ' || ['B', 'KB', 'MB', 'GB'][e + 1] end as size,
  ['AL', 'X', '?', 'ÉB'][k % 4 + 1] as initials, case k % 4 when 0 then 12 when 3 then 9007199254740991 end as count, case k % 4 when 0 then 1500 when 1 then 60000 when 3 then 0 end as wait, ['Ready', 'in review', 'Ready', 'in review'][k % 4 + 1] as label from p""")
 def m6_scalars(spark, sf_dir):
     k = F.col("o_orderkey")
