@@ -13,7 +13,6 @@
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
@@ -31,7 +30,7 @@ ENDINGS = {3: 600, 2: 199}  # endings that have a token, by their bytes; one mor
 OTHERS = sum(ENDINGS.values()) + 1
 KNOWN = SIZE - OTHERS
 COUNTED = 200_000  # commonest words whose counts go to the tasks; those of others are joined
-HIDDEN, SIDE = 24, 2
+HIDDEN, SIDE = 16, 2
 PAD = SIZE
 SHARD = 4_000_000  # tokens a shard
 PARTS = 50_000  # tasks that train at most; beyond it a task trains several shards, one after another
@@ -61,38 +60,54 @@ def word_counts(docs: DataFrame) -> DataFrame:
 class Tokens(dict):
     """Numbers of words: known ones by rank, the rest by their ending; a worker keeps those it met, up to a bound.
 
-    `times` holds how often each token stands in the documents, at least one; `logs` has the logarithms of
-    the counts of the commonest words that are no tokens of their own.
+    Words whose counts are at hand have numbers from SIZE on, each with its token in `token` and the logarithm of its
+    count in `gain`. `times` holds how often each token stands in the documents, at least one.
     """
 
-    def __init__(self, known: list[bytes], endings: dict[bytes, int], times: np.ndarray, logs: dict[bytes, float] | None = None):
+    def __init__(self, known: list[bytes], endings: dict[bytes, int], times: np.ndarray, counted: dict[bytes, int] | None = None):
         super().__init__({w: k for k, w in enumerate(known)})
-        self.known, self.endings, self.times, self.logs = dict(self), endings, times, logs or {}
+        self.known, self.endings, self.times = dict(self), endings, times
+        counted = counted or {}
+        self.token = np.concatenate([np.arange(SIZE), np.array([self.ending(w) for w in counted], np.int64)]).astype(np.int32)
+        self.gain = np.concatenate([np.zeros(SIZE), np.log(np.array(list(counted.values()), np.float64))])
+        self.update({w: SIZE + k for k, w in enumerate(counted)})
+        self.fixed = dict(self)
+
+    def ending(self, word: bytes) -> int:
+        for n in ENDINGS:
+            if word[-n:] in self.endings:
+                return self.endings[word[-n:]]
+        return SIZE - 1
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 600_000:
             self.clear()
-            self.update(self.known)
+            self.update(self.fixed)
             if word in self:
                 return self[word]
-        value = SIZE - 1
-        for n in ENDINGS:
-            if word[-n:] in self.endings:
-                value = self.endings[word[-n:]]
-                break
-        self[word] = value
+        value = self[word] = self.ending(word)
         return value
 
     def numbers(self, found: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, found), np.int32, len(found))
 
 
+def _commonest(counts: DataFrame, most: int) -> list:
+    """Rows of counts(word, n) from the greatest counts down, in whole classes of count, up to a number; the classes are few, as they are of logarithms."""
+    grade = F.floor(F.log("n") * 64)
+    left, least = most, None
+    for r in sorted(counts.groupBy(grade.alias("grade")).agg(F.count("*").alias("m")).collect(), key=lambda r: -r["grade"]):
+        left -= r["m"]
+        if left < 0:
+            break
+        least = r["grade"]
+    return counts.where(grade >= least).collect() if least is not None else []
+
+
 def vocabulary(counts: DataFrame) -> Tokens:
     """The commonest words and endings of counts(word, n), ties by bytes; COUNTED and SIZE of them, which bounds what the driver holds."""
     spark = counts.sparkSession
-    top = counts.orderBy(F.desc("n"), "word").limit(COUNTED).collect()
-    logs = {bytes(r["word"]): float(np.log(r["n"])) for r in top[KNOWN:]}
-    top = top[:KNOWN]
+    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()
     known = [bytes(r["word"]) for r in top]
     times = np.ones(SIZE)
     times[: len(top)] = [r["n"] for r in top]
@@ -104,8 +119,7 @@ def vocabulary(counts: DataFrame) -> Tokens:
         found = rare.where(F.octet_length("word") >= n).groupBy(ending.alias("ending")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "ending").limit(most).collect()
         for k, r in enumerate(found):
             endings[bytes(r["ending"])] = KNOWN + sum(m for size, m in ENDINGS.items() if size > n) + k
-    tokens = Tokens(known, endings, times, logs)
-    shared = spark.sparkContext.broadcast(tokens)
+    shared = spark.sparkContext.broadcast(Tokens(known, endings, times))
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told, sums = shared.value, np.zeros(OTHERS, np.int64)
@@ -115,7 +129,9 @@ def vocabulary(counts: DataFrame) -> Tokens:
 
     for r in rare.select("word", "n").mapInArrow(totals, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where("n > 0").collect():
         times[KNOWN + r["k"]] = r["n"]
-    return tokens
+    known_set = set(known)
+    counted = {w: r["n"] for r in _commonest(counts, COUNTED) if (w := bytes(r["word"])) not in known_set}
+    return Tokens(known, endings, times, counted)
 
 
 def padded(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -276,11 +292,10 @@ def encoded(docs: DataFrame, tokens: Tokens) -> DataFrame:
             for text in batch.column(2).to_pylist():
                 found = words(text)
                 numbers = told.numbers(found)
-                logs = [told.logs.get(found[k]) for k in np.flatnonzero(numbers >= KNOWN).tolist()]
-                gains.append(math.fsum(x for x in logs if x is not None))
-                odd = Counter([found[k] for k, x in zip(np.flatnonzero(numbers >= KNOWN).tolist(), logs, strict=True) if x is None])
+                odd = Counter([found[k] for k in np.flatnonzero((numbers >= KNOWN) & (numbers < SIZE)).tolist()])
+                gains.append(float(told.gain[numbers].sum()))
                 lengths.append(len(found))
-                ids.append(numbers.astype("<u2").tobytes())
+                ids.append(told.token[numbers].astype("<u2").tobytes())
                 rare.append(list(odd))
                 times.append(list(odd.values()))
             n = len(lengths)
