@@ -11,11 +11,15 @@ from .chat_format import digests, format_chats
 from .common import table, written
 from .decontamination import overlaps
 from .embedding_dedup import near_vectors
+from .fill_middle import digests as middle_digests
+from .fill_middle import fill_middle
+from .filter_audit import audit
 from .html_extract import extract
 from .jaccard_join import jaccard_join
 from .language_id import fold, identify, learn
 from .lm_score import lm_score
 from .mixing import mix
+from .norm_topk import norm_topk
 from .quality_rules import scored, statistics, train
 from .token_output import token_output
 
@@ -96,6 +100,93 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(table(spark, sf_dir, "documents"))
 
 
+_AUDIT_SQL = """
+with w as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents
+), f as (
+  select doc_id, part, len(ws) < 200 as a, 100 * len(list_distinct(ws)) < 50 * len(ws) as b,
+    100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) as c, regexp_matches(t, '[#$%&*|]') as d,
+    coalesce(doc_id > min(doc_id) over (partition by t), false) as e
+  from w
+), l as (
+  select doc_id, bool_or(coalesce(quality, 0) = 1) as good, bool_or(coalesce(toxic, 0) = 1) as toxic from labels group by doc_id
+), cells as (
+  select part, a::int + 2 * b::int + 4 * c::int + 8 * d::int + 16 * e::int as bits, count(*) as n,
+    count(*) filter (where good) as good, count(*) filter (where toxic) as toxic
+  from f left join l using (doc_id) group by all
+), names as (
+  select unnest(['A', 'B', 'C', 'D', 'E']) as k, unnest([1, 2, 4, 8, 16]) as bit
+), orders as (
+  select p.k || q.k || r.k || s.k || t.k as filter_order, [p.bit, q.bit, r.bit, s.bit, t.bit] as bits
+  from names p, names q, names r, names s, names t where len(list_distinct([p.k, q.k, r.k, s.k, t.k])) = 5
+), steps as (
+  select filter_order, step, bits[step] as own, coalesce(list_sum(bits[1:step - 1]), 0)::int as before
+  from orders, unnest([1, 2, 3, 4, 5]) as u(step)
+), out as (
+  select part, filter_order, step, own,
+    coalesce(sum(n) filter (where bits & (before | own) = 0), 0) as kept,
+    coalesce(sum(n) filter (where bits & own > 0 and bits & before = 0), 0) as removed,
+    coalesce(sum(n) filter (where bits & own > 0 and bits & before > 0), 0) as redundant,
+    coalesce(sum(n) filter (where bits = own), 0) as unique_fails,
+    coalesce(sum(good) filter (where bits & own > 0 and bits & before = 0), 0) as good_lost,
+    coalesce(sum(toxic) filter (where bits & own > 0 and bits & before = 0), 0) as toxic_lost
+  from cells, steps group by all
+)
+select part, filter_order, step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant,
+  unique_fails::bigint as unique_fails, good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost,
+  (sum(removed) over (partition by part, own))::bigint as shapley
+from out
+"""
+
+
+@query("op11_filter_audit", _AUDIT_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_TOPK_SQL = """
+with v as (
+  select distinct vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as z from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.z, c.z), lambda p: p[1] * p[2]))::bigint as score
+  from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id
+)
+select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score
+from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5
+"""
+
+
+@query("op12_norm_topk", _TOPK_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return norm_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+_MIDDLE_SQL = """
+with t as (
+  select doc_id, coalesce(text, '') as text, sha256('42:' || coalesce(doc_id::varchar, '')) as h,
+    regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') as units from documents
+), u as (
+  select *, len(units) as n, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2, ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from t
+), f as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 50 then 'plain'
+      when h4 % 100 < 80 then 'spm' else 'psm' end as form from u
+), p as (
+  select *, array_to_string(units[1:a], '') as prefix, array_to_string(units[a + 1:b], '') as middle, array_to_string(units[b + 1:], '') as suffix from f
+)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(prefix)::bigint end as prefix_chars, case when form <> 'plain' then length(middle)::bigint end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(text) as restored_sha256
+from p
+"""
+
+
+@query("op13_fill_middle", _MIDDLE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle_digests(fill_middle(table(spark, sf_dir, "documents")))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
