@@ -34,16 +34,17 @@ def chat_evidence(hits: DataFrame, most: int = 8, budget: int = 24_000) -> DataF
     """(request, evidence_id, rank, content) of hits(request, rank, section_id, char_start, char_end, content).
 
     The first hits of a request in order, without those that overlap one kept before in their section and
-    empty ones; the first that would break the budget ends the set.
+    empty ones; the first that would break the budget ends the set. A null content is empty, sections that are
+    both null are one section, and a hit without both ends overlaps nothing.
     """
     first = hits.withColumn("place", F.row_number().over(Window.partitionBy("request").orderBy("rank"))).where(F.col("place") <= most)
-    clean = first.withColumn("content", js_trim(sanitize_evidence(F.col("content")))).withColumn("size", F.length("content"))
+    clean = first.withColumn("content", F.coalesce(js_trim(sanitize_evidence(F.col("content"))), F.lit(""))).withColumn("size", F.length("content"))
     packed = clean.groupBy("request").agg(F.array_sort(F.collect_list(F.struct("rank", "section_id", "char_start", "char_end", "size", "content"))).alias("hits"))
     kind = packed.schema["hits"].dataType.simpleString()
     start = F.struct(F.array().cast(kind).alias("kept"), F.lit(0).alias("used"), F.lit(True).alias("open"))
 
     def step(a: Column, h: Column) -> Column:
-        apart = ~F.exists(a["kept"], lambda k: (k["section_id"] == h["section_id"]) & (k["char_start"] < h["char_end"]) & (h["char_start"] < k["char_end"]))
+        apart = ~F.exists(a["kept"], lambda k: k["section_id"].eqNullSafe(h["section_id"]) & F.coalesce((k["char_start"] < h["char_end"]) & (h["char_start"] < k["char_end"]), F.lit(False)))
         offered = a["open"] & apart & (h["size"] > 0)
         fits = a["used"] + h["size"] <= budget
         takes = offered & fits
@@ -257,6 +258,7 @@ def valid_assessments(rows: DataFrame) -> DataFrame:
     """rows(overall, supports, ids, expected, claim, fragments, texts, ...) with valid: whether an assessment holds as a whole.
 
     It has the ids asked for, each once, plain texts, fragments of the claim, each once, and supports that agree with the overall one.
+    What is null, or holds a null, does not hold.
     """
     joined = F.array_join(F.transform("fragments", lambda f: F.regexp_replace(f, f"{WS}+", " ")), "\x1e")
     told = rows.withColumn("whole", normalized_literal(F.col("claim"))).withColumn("parts", F.when(F.size("fragments") > 0, F.transform(F.split(normalized_literal(joined), "\x1e"), F.trim)).otherwise(F.array().cast("array<string>")))
@@ -267,21 +269,22 @@ def valid_assessments(rows: DataFrame) -> DataFrame:
     halves = F.size(F.filter("supports", lambda s: s == "partially_supported"))
     overall = F.col("overall")
     agree = F.when(overall == "supported", ~some & (has | (halves >= 2))).when(overall == "partially_supported", some & ~has & (halves > 0) & ~F.array_contains("parts", F.col("whole"))).when(overall == "unsupported", some & ~has).otherwise(~has)
-    return told.withColumn("valid", same & plain & inside & agree).drop("whole", "parts")
+    whole = overall.isNotNull() & F.col("claim").isNotNull() & ~F.exists("supports", lambda s: s.isNull())
+    return told.withColumn("valid", F.coalesce(whole & same & plain & inside & agree, F.lit(False))).drop("whole", "parts")
 
 
 # --- E14 to E16, E18: answers and drafts ---------------------------------------------------------------------------
 def answer_in_limits(segments: Column) -> Column:
-    """Array of (text, citations) within the limits of an answer."""
+    """Array of (text, citations) within the limits of an answer; null segments, texts and citations are not."""
     text = lambda s: F.length(js_trim(s["text"]))
     each = F.forall(segments, lambda s: text(s).between(1, 1500) & (F.size(s["citations"]) <= 8) & F.forall(s["citations"], lambda c: c.rlike("^S[0-9]{1,3}$")))
-    return (F.size(segments) <= 12) & each & (F.aggregate(segments, F.lit(0), lambda a, s: a + text(s)) <= 6000)
+    return F.coalesce((F.size(segments) <= 12) & each & (F.aggregate(segments, F.lit(0), lambda a, s: a + text(s)) <= 6000), F.lit(False))
 
 
 def validate_answer(segments: Column, known: Column) -> Column:
-    """Segments with the known ids they cite, each once in order; those without any go, and with no segment left the answer is null."""
+    """Segments with the known ids they cite, each once in order; those without any, or without text, go, and with no segment left the answer is null."""
     kept = F.transform(segments, lambda s: F.struct(s["text"].alias("text"), F.filter(F.array_distinct(s["citations"]), lambda c: F.array_contains(known, c)).alias("citations")))
-    kept = F.filter(kept, lambda s: F.size(s["citations"]) > 0)
+    kept = F.filter(kept, lambda s: F.coalesce((F.size(s["citations"]) > 0) & (js_trim(s["text"]) != ""), F.lit(False)))
     return F.when(F.size(kept) > 0, kept)
 
 
@@ -294,9 +297,11 @@ def validate_draft(units: DataFrame, packet: DataFrame) -> DataFrame:
 
     units(draft, paragraph, place, text, citations), packet(draft, evidence_id). Nothing is mended: limits of
     paragraphs, units, lengths and citations first, then marks in texts and ids that are unknown or cited twice.
+    A null text is empty, null citations are none and a null id is unknown, so that each is an error.
     """
     ids = packet.groupBy("draft").agg(F.collect_set("evidence_id").alias("known"))
-    rows = units.withColumn("text", js_trim("text")).join(ids, "draft", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    rows = units.withColumns({"text": F.coalesce(js_trim("text"), F.lit("")), "citations": F.coalesce("citations", none)}).join(ids, "draft", "left").withColumn("known", F.coalesce("known", none))
     size, n = F.length("text"), F.size("citations")
     bad_cite = (n > 4) | (n < 1) | (F.size(F.array_distinct("citations")) < n) | (F.size(F.array_except("citations", "known")) > 0)
     bad_text = ~size.between(1, 450) | F.col("text").rlike(_TEXT_CITATION)

@@ -11,22 +11,24 @@ from .registry import query, table
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem as ranked hits of an order's question, some blank, some overlapping."""
+    """lineitem as ranked hits of an order's question, some blank or without text, section or end, some overlapping."""
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
     start = (F.col("l_quantity") * 10).cast("int")
     q = F.col("l_quantity").cast("int")
-    content = F.when(q % 11 == 0, " \n ").otherwise(F.repeat(F.lit("x"), q * 20))
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("request"), n.alias("rank"), (F.col("l_suppkey") % 2).alias("section_id"), start.alias("char_start"), (start + F.col("l_linenumber") * 100).alias("char_end"), content.alias("content"), F.col("l_suppkey").alias("paper_id"), F.col("l_partkey").alias("chunk_id"))
+    content = F.when(q % 11 == 0, " \n ").when(q % 13 == 0, F.lit(None).cast("string")).otherwise(F.repeat(F.lit("x"), q * 20))
+    section = F.when(F.col("l_suppkey") % 5 != 0, F.col("l_suppkey") % 2)
+    end = F.when(q % 7 != 0, start + F.col("l_linenumber") * 100)
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("request"), n.alias("rank"), section.alias("section_id"), start.alias("char_start"), end.alias("char_end"), content.alias("content"), F.col("l_suppkey").alias("paper_id"), F.col("l_partkey").alias("chunk_id"))
 
 
-_HITS = """select l_orderkey as request, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as rank, l_suppkey % 2 as section_id, cast(l_quantity * 10 as integer) as a, cast(l_quantity * 10 as integer) + l_linenumber * 100 as b,
- case when cast(l_quantity as integer) % 11 = 0 then 0 else cast(l_quantity as integer) * 20 end as size, l_suppkey as paper_id, l_partkey as chunk_id from lineitem"""
+_HITS = """select l_orderkey as request, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as rank, case when l_suppkey % 5 <> 0 then l_suppkey % 2 end as section_id, cast(l_quantity * 10 as integer) as a, case when cast(l_quantity as integer) % 7 <> 0 then cast(l_quantity * 10 as integer) + l_linenumber * 100 end as b,
+ case when cast(l_quantity as integer) % 11 = 0 or cast(l_quantity as integer) % 13 = 0 then 0 else cast(l_quantity as integer) * 20 end as size, l_suppkey as paper_id, l_partkey as chunk_id from lineitem"""
 
 
 @query("e1_chat_evidence", f"""with recursive h as (select * from ({_HITS}) where rank <= 8),
 s as (select distinct request, 0 as pos, cast([] as struct(sec bigint, a integer, b integer)[]) as kept, 0 as used, true as open, false as took from h
  union all select request, rank, case when take then list_append(kept, {{'sec': section_id, 'a': a, 'b': b}}) else kept end, case when take then used + size else used end, open and not (offered and not take), take
- from (select h.*, kept, used, open, offered, offered and used + size <= 3000 as take from (select h.request, h.rank, h.section_id, h.a, h.b, h.size, s.kept, s.used, s.open, s.open and h.size > 0 and len(list_filter(s.kept, lambda k: k.sec = h.section_id and k.a < h.b and h.a < k.b)) = 0 as offered from s join h on h.request = s.request and h.rank = s.pos + 1) h))
+ from (select h.*, kept, used, open, offered, offered and used + size <= 3000 as take from (select h.request, h.rank, h.section_id, h.a, h.b, h.size, s.kept, s.used, s.open, s.open and h.size > 0 and len(list_filter(s.kept, lambda k: k.sec is not distinct from h.section_id and coalesce(k.a < h.b and h.a < k.b, false))) = 0 as offered from s join h on h.request = s.request and h.rank = s.pos + 1) h))
 select request, 'S' || row_number() over (partition by request order by pos) as evidence_id, cast(pos as integer) as rank from s where took""")
 def e1_chat_evidence(spark, sf_dir):
     return E.chat_evidence(hits(spark, sf_dir), budget=3000).select("request", "evidence_id", "rank")
@@ -166,36 +168,40 @@ def e13_claim_packet(spark, sf_dir):
     return E.claim_packet(cites, budget=4000).select("claim", "ord", "evidence_id", F.length("text").alias("size"), "status")
 
 
-_SEGMENTS = "select l_orderkey as request, l_linenumber as n, ['S' || (l_partkey % 6), 'S' || (l_suppkey % 6), 'S' || (l_partkey % 6)] as cited from (select distinct on (l_orderkey, l_linenumber) * from lineitem order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)"
+_SEGMENTS = "select l_orderkey as request, l_linenumber as n, case when l_partkey % 8 <> 0 then ['S' || (l_partkey % 6), 'S' || (l_suppkey % 6), 'S' || (l_partkey % 6)] end as cited, case when l_suppkey % 9 = 0 then ' ' when l_partkey % 10 <> 3 then 't' || l_linenumber end as t from (select distinct on (l_orderkey, l_linenumber) * from lineitem order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)"
 
 
-@query("e14_answer_validation", f"""with s as (select request, n, list_filter(cited, lambda c: c in ('S1', 'S2', 'S4')) as v from ({_SEGMENTS})), k as (select request, string_agg('t' || n || ':' || array_to_string(case when len(v) > 1 and v[2] <> v[1] then [v[1], v[2]] else [v[1]] end, ','), ' ' order by n) as answer from s where len(v) > 0 group by 1)
+@query("e14_answer_validation", f"""with s as (select request, n, t, list_filter(cited, lambda c: c in ('S1', 'S2', 'S4')) as v from ({_SEGMENTS})), k as (select request, string_agg(t || ':' || array_to_string(case when len(v) > 1 and v[2] <> v[1] then [v[1], v[2]] else [v[1]] end, ','), ' ' order by n) as answer from s where len(v) > 0 and trim(t) <> '' group by 1)
 select o.request, answer from (select distinct request from s) o left join k using (request)""")
 def e14_answer_validation(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_extendedprice")).alias("x"))
     p, s = F.concat(F.lit("S"), (F.col("x.l_partkey") % 6).cast("string")), F.concat(F.lit("S"), (F.col("x.l_suppkey") % 6).cast("string"))
-    one = F.struct("l_linenumber", F.concat(F.lit("t"), F.col("l_linenumber").cast("string")).alias("text"), F.array(p, s, p).alias("citations"))
+    text = F.when(F.col("x.l_suppkey") % 9 == 0, " ").when(F.col("x.l_partkey") % 10 != 3, F.concat(F.lit("t"), F.col("l_linenumber").cast("string")))
+    one = F.struct("l_linenumber", text.alias("text"), F.when(F.col("x.l_partkey") % 8 != 0, F.array(p, s, p)).alias("citations"))
     rows = lines.groupBy(F.col("l_orderkey").alias("request")).agg(F.array_sort(F.collect_list(one)).alias("segments"))
     answer = E.validate_answer(F.col("segments"), F.array(*map(F.lit, ["S1", "S2", "S4"])))
     return rows.select("request", F.array_join(F.transform(answer, lambda x: F.concat_ws(":", x["text"], F.array_join(x["citations"], ","))), " ").alias("answer"))
 
 
-@query("e18_answer_limits", f"with s as (select request, count(*) as n, sum(400 * n) as total, max(400 * n) as longest from ({_SEGMENTS}) group by 1) select request, n <= 12 and longest <= 1500 and total <= 6000 as good from s")
+@query("e18_answer_limits", f"with s as (select request, count(*) as n, sum(400 * n) as total, max(400 * n) as longest, bool_or(n = request % 11 or n = request % 13 or n = request % 17) as odd from ({_SEGMENTS}) group by 1) select request, n <= 12 and longest <= 1500 and total <= 6000 and not odd as good from s")
 def e18_answer_limits(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
-    one = F.struct(F.concat(F.lit(" "), F.repeat(F.lit("z"), F.col("l_linenumber") * 400)).alias("text"), F.array(F.lit("S1")).alias("citations"))
+    n, key = F.col("l_linenumber"), F.col("l_orderkey")
+    cites = F.when(n != key % 11, F.array(F.lit("S1"), F.when(n != key % 17, "S2")))
+    one = F.struct(F.when(n != key % 13, F.concat(F.lit(" "), F.repeat(F.lit("z"), n * 400))).alias("text"), cites.alias("citations"))
     return lines.groupBy(F.col("l_orderkey").alias("request")).agg(F.collect_list(one).alias("segments")).select("request", E.answer_in_limits(F.col("segments")).alias("good"))
 
 
-@query("e15_draft_validation", """with u as (select l_orderkey as draft, cast((l_linenumber - 1) // 2 as integer) as paragraph, l_linenumber as place, 'W' || (l_partkey % 5 + 1) as c1, 'W' || (l_suppkey % 7 + 1) as c2, l_quantity = 13 as marked, cast(l_quantity as integer) * 9 as size from (select distinct on (l_orderkey, l_linenumber) * from lineitem order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)),
-k as (select distinct draft, 'W' || r as id from u, range(1, 7) t(r) where r <= 5 or draft % 2 = 0), b as (select u.*, c1 = c2 or a.id is null or c.id is null as bad from u left join k a on a.draft = u.draft and a.id = c1 left join k c on c.draft = u.draft and c.id = c2),
-n as (select *, row_number() over (partition by draft order by paragraph, place) as number from b), w as (select draft, bool_or(bad) as cite, bool_or(marked) as content, sum(size + case when marked then 6 else 0 end) as size, count(*) as n, max(paragraph) as last, string_agg('U' || number || ':' || least(c1, c2) || ',' || greatest(c1, c2), ' ' order by number) as units from n group by 1),
+@query("e15_draft_validation", """with u as (select l_orderkey as draft, cast((l_linenumber - 1) // 2 as integer) as paragraph, l_linenumber as place, 'W' || (l_partkey % 5 + 1) as c1, 'W' || (l_suppkey % 7 + 1) as c2, l_quantity = 13 as marked, l_quantity = 17 as textless, l_quantity = 19 as citeless, cast(l_quantity as integer) * 9 as size from (select distinct on (l_orderkey, l_linenumber) * from lineitem order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)),
+k as (select distinct draft, 'W' || r as id from u, range(1, 7) t(r) where r <= 5 or draft % 2 = 0), b as (select u.*, citeless or c1 = c2 or a.id is null or c.id is null as bad from u left join k a on a.draft = u.draft and a.id = c1 left join k c on c.draft = u.draft and c.id = c2),
+n as (select *, row_number() over (partition by draft order by paragraph, place) as number from b), w as (select draft, bool_or(bad) as cite, bool_or(marked or textless) as content, sum(case when textless then 0 else size end + case when marked then 6 else 0 end) as size, count(*) as n, max(paragraph) as last, string_agg('U' || number || ':' || least(c1, c2) || ',' || greatest(c1, c2), ' ' order by number) as units from n group by 1),
 e as (select *, case when cite then 'invalid_citation' when content or size > 4000 then 'invalid_content' when n > 10 then 'invalid_output' end as error from w) select draft, error, case when error is null then units end as units from e""")
 def e15_draft_validation(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min_by(F.struct("l_partkey", "l_suppkey", "l_quantity"), F.struct("l_partkey", "l_suppkey", "l_extendedprice")).alias("x"))
     wid = lambda c, m: F.concat(F.lit("W"), (F.col(c) % m + 1).cast("string"))
     text = F.concat(F.repeat(F.lit("t"), F.col("x.l_quantity").cast("int") * 9), F.when(F.col("x.l_quantity") == 13, " [W12]").otherwise(""))
-    units = lines.select(F.col("l_orderkey").alias("draft"), F.floor((F.col("l_linenumber") - 1) / 2).cast("int").alias("paragraph"), F.col("l_linenumber").alias("place"), text.alias("text"), F.array(wid("x.l_partkey", 5), wid("x.l_suppkey", 7)).alias("citations"))
+    told, cited = F.when(F.col("x.l_quantity") != 17, text), F.when(F.col("x.l_quantity") != 19, F.array(wid("x.l_partkey", 5), wid("x.l_suppkey", 7)))
+    units = lines.select(F.col("l_orderkey").alias("draft"), F.floor((F.col("l_linenumber") - 1) / 2).cast("int").alias("paragraph"), F.col("l_linenumber").alias("place"), told.alias("text"), cited.alias("citations"))
     ids = units.select("draft").distinct().select("draft", F.explode(F.sequence(F.lit(1), F.when(F.col("draft") % 2 == 0, 6).otherwise(5))).alias("r"))
     return E.validate_draft(units, ids.select("draft", F.concat(F.lit("W"), F.col("r").cast("string")).alias("evidence_id")))
 
@@ -206,6 +212,7 @@ _CHECKS = [
     ("partially_supported", ["partially_supported"], ["C1"], "A b c", ["B  C"], ["fine"], True), ("partially_supported", ["partially_supported"], ["C1"], "A b c", ["a b c"], ["fine"], False), ("unsupported", ["unsupported"], ["C1"], "A b c", ["d"], ["fine"], False),
     ("unsupported", ["unsupported"], ["C1"], "A b c", ["a"], ["see **this**"], False), ("insufficient_evidence", ["unsupported"], ["C1"], "A b c", [], ["as W12 says"], False), ("insufficient_evidence", ["unsupported"], ["C1"], "A b c", [], ["fine"], True),
     ("unsupported", ["unsupported", "unsupported"], ["C1", "C1"], "A b c", ["a"], ["fine"], False), ("unsupported", ["unsupported"], ["C1"], "A b c", ["b", "B"], ["fine"], False), ("supported", ["supported"], ["C1"], "A b c", ["b"], ["fine"], False),
+    ("supported", ["supported"], ["C1"], None, [], ["fine"], False), ("supported", ["supported"], ["C1"], "A b c", [], [None], False), (None, ["unsupported"], ["C1"], "A b c", [], ["fine"], False), ("supported", ["supported", None], ["C1", "C2"], "A b c", [], ["fine"], False),
 ]
 
 
