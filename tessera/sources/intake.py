@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import WS, js_trim, nfkd
+from ..session import held
 
 MOST_BYTES = 50 << 20
 # What a reader's error name stands for.
@@ -75,6 +76,27 @@ def consistent_read(before: DataFrame, after: DataFrame, key: str, generation: s
     return before.join(later, key).where(F.col(generation).eqNullSafe(F.col("generation_after"))).drop("generation_after")
 
 
+def settled_read(take: Callable[[], DataFrame], children: Callable[[DataFrame], DataFrame], key: str, generation: str, tries: int = 3) -> tuple[DataFrame, DataFrame]:
+    """SRC13: children's rows with the generation that their key had before and after they were read, and the keys that never held still.
+
+    take() reads key and generation afresh each time it is called, children(keys) the rows of some keys.
+    A try keeps the keys whose generation is the same (null too) on both sides and reads the others
+    again; a key that is gone in the meantime is left out. Every read is written, so that it happens once.
+    """
+    asked, rows = None, None
+    for _ in range(tries):
+        now = take().select(key, generation).distinct()
+        before = held(now if asked is None else now.join(asked.select(key), key, "left_semi"), "generations")
+        found = held(children(before.select(key)), "children")
+        same = held(consistent_read(before, held(take().select(key, generation).distinct(), "generations"), key, generation), "settled")
+        kept = found.join(same, key)
+        rows = kept if rows is None else rows.unionByName(kept)
+        asked = before.join(same, key, "left_anti")
+        if not asked.head(1):
+            break
+    return rows, asked
+
+
 def rows_of_json(rows: DataFrame, column: str, kind: str) -> DataFrame:
     """SRC14: the records of a JSON array column as rows; what is no array gives none, a missing field is null."""
     return rows.select(*[c for c in rows.columns if c != column], F.inline(F.from_json(column, f"array<{kind}>")))
