@@ -156,23 +156,75 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.groupBy("paper_id", "kind").agg(F.array_sort(F.collect_set("key")).alias("terms"))
 
 
-def term_index(shared: DataFrame, edges: DataFrame, wanted: str = "", kind: str | None = None) -> DataFrame:
-    """kept terms by part of their label and by kind, most papers first, with those papers."""
-    rows = shared.where("kept")
+def term_index(shared: DataFrame, edges: DataFrame, papers: DataFrame, wanted: str = "", kind: str | None = None, hide_stale: bool = False) -> DataFrame:
+    """kept terms with their papers(paper_id, title, stale) by title, by kind, by part of their own label or of any paper's title.
+
+    A term is stale as soon as one of its papers is, and hide_stale leaves it out. A paper that is not among
+    papers goes by its id and is not stale.
+    """
+    key = F.col("paper_id").cast("string")
+    named = edges.select("kind", "key", "paper_id").distinct().join(papers.select("paper_id", "title", "stale"), "paper_id", "left")
+    one = F.struct(F.coalesce("title", key).alias("title"), key.alias("paper_id"), F.coalesce("stale", F.lit(False)).alias("stale"))
+    of = named.groupBy("kind", "key").agg(F.array_sort(F.collect_list(one)).alias("of_papers"), F.bool_or(F.coalesce("stale", F.lit(False))).alias("stale"))
+    rows = shared.where("kept").join(of, ["kind", "key"])
     rows = rows if kind is None else rows.where(F.col("kind") == kind)
-    rows = rows if not wanted.strip() else rows.where(F.lower("label").contains(wanted.strip().lower()))
-    papers = edges.groupBy("kind", "key").agg(F.array_sort(F.collect_set("paper_id")).alias("paper_ids"))
-    return rows.join(papers, ["kind", "key"]).select("kind", "key", "label", "papers", "paper_ids")
+    rows = rows.where(~F.col("stale")) if hide_stale else rows
+    said = wanted.strip().lower()
+    if said:
+        rows = rows.where(F.contains(F.lower("label"), F.lit(said)) | F.exists("of_papers", lambda x: F.contains(F.lower(x["title"]), F.lit(said))))
+    return rows.select("kind", "key", "label", "papers", F.transform("of_papers", lambda x: x["paper_id"]).alias("paper_ids"), "stale")
+
 
+# The rows and steps of the picture, how much of a finding it shows, and what it calls a paper's state.
+X_STEP, FINDING_X_STEP = 220.0, 140.0
+PAPER_Y, TERM_Y, FINDING_Y = 220.0, 40.0, 420.0
+SHOWN_CHARS = 60
+STATUS_LABELS = {
+    "waiting": "Waiting for processing", "not_extracted": "Not extracted", "queued": "Queued", "extracting": "Extracting…", "extracted": "Extracted", "out_of_date": "Out of date", "partial": "Partial", "failed": "Extraction failed",
+}
 
-def layout(nodes: DataFrame, most: int = 150, columns: int = 6) -> DataFrame:
-    """nodes(scope, node_id, type) of a scope at places of a grid, by type and id; too many for a picture have none and say so."""
-    rank = F.row_number().over(Window.partitionBy("scope", "type").orderBy("node_id")) - 1
-    size = nodes.groupBy("scope").agg(F.count("*").alias("size"))
-    lane = F.when(F.col("type") == "paper", 0).when(F.col("type") == "term", 1).otherwise(2)
-    rows = nodes.withColumn("n", rank).join(size, "scope")
-    fits = F.col("size") <= most
-    return rows.select("scope", "node_id", "type", F.when(fits, lane * columns + F.pmod("n", F.lit(columns))).alias("x"), F.when(fits, F.floor(F.col("n") / columns).cast("int")).alias("y"), (~fits).alias("too_large"))
+
+def graph_view(papers: DataFrame, entries: DataFrame, findings: DataFrame, most: int = 150) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The picture of each scope as (states, nodes, edges): visible papers in a centred row, shared terms above, each paper's findings below it.
+
+    papers(scope, paper_id, title, stale, status, place), those that a filter left; entries(scope, term_id, kind, label, place, paper_id), a
+    row a pair; findings(scope, paper_id, finding_id, place, text). Pairs and findings of papers that are not visible are left out, and
+    with them terms that keep no paper. A scope of more than so many nodes is too_large, one without papers empty; neither has nodes.
+    Places that are null or equal go by id.
+    """
+    ours = papers.select("scope", "paper_id").distinct()
+    pairs = entries.join(ours, ["scope", "paper_id"], "left_semi")
+    told = findings.join(ours, ["scope", "paper_id"], "left_semi")
+    every = papers.select("scope", F.concat(F.lit("p"), F.col("paper_id").cast("string")).alias("node")).union(pairs.select("scope", F.concat(F.lit("t"), "term_id"))).union(told.select("scope", F.concat(F.lit("f"), "finding_id")))
+    sizes = every.groupBy("scope").agg(F.count_distinct("node").alias("node_count"))
+    scopes = papers.select("scope").union(entries.select("scope")).union(findings.select("scope")).distinct()
+    n = F.coalesce("node_count", F.lit(0))
+    states = scopes.join(sizes, "scope", "left").select("scope", n.alias("node_count"), F.when(n == 0, "empty").when(n > most, "too_large").otherwise("graph").alias("state"))
+    drawn = states.where("state = 'graph'").select("scope")  # from here on a scope has few rows
+
+    def placed(rows: DataFrame, group: list[str], key: str, step: float) -> DataFrame:
+        """rows with x, centred in order of place and key."""
+        w = Window.partitionBy(*group)
+        return rows.withColumn("x", (F.row_number().over(w.orderBy(F.col("place").asc_nulls_last(), key)) - 1 - (F.count("*").over(w) - 1) / 2) * step)
+
+    row = placed(papers.dropDuplicates(["scope", "paper_id"]).join(drawn, "scope", "left_semi"), ["scope"], "paper_id", X_STEP)
+    pid = F.concat(F.lit("graph-paper:"), F.col("paper_id").cast("string"))
+    label = F.try_element_at(F.create_map(*[F.lit(x) for kv in STATUS_LABELS.items() for x in kv]), F.col("status"))
+    none = F.lit(None)
+    stale = F.coalesce("stale", F.lit(False))
+    nodes = row.select("scope", pid.alias("id"), F.lit("paper").alias("kind"), "x", F.lit(PAPER_Y).alias("y"), F.col("title").alias("label"), stale.alias("stale"), label.alias("status_label"), none.cast("long").alias("paper_count"))
+    met = pairs.join(drawn, "scope", "left_semi").select("scope", "term_id", "kind", "label", "place", "paper_id").distinct().join(row.select("scope", "paper_id", stale.alias("stale")), ["scope", "paper_id"])
+    terms = met.groupBy("scope", "term_id").agg(F.min("kind").alias("kind"), F.min("label").alias("label"), F.min("place").alias("place"), F.bool_or("stale").alias("stale"), F.count_distinct("paper_id").alias("paper_count"))
+    terms = placed(terms, ["scope"], "term_id", X_STEP)
+    nodes = nodes.unionByName(terms.select("scope", F.col("term_id").alias("id"), "kind", "x", F.lit(TERM_Y).alias("y"), "label", "stale", none.cast("string").alias("status_label"), "paper_count"))
+    leaves = placed(told.join(drawn, "scope", "left_semi").select("scope", "paper_id", "finding_id", "place", "text").dropDuplicates(["scope", "finding_id"]), ["scope", "paper_id"], "finding_id", FINDING_X_STEP)
+    leaves = leaves.join(row.select("scope", "paper_id", F.col("x").alias("base"), stale.alias("stale")), ["scope", "paper_id"])
+    short = F.when(F.length("text") > SHOWN_CHARS, F.concat(F.rtrim(F.left("text", F.lit(SHOWN_CHARS))), F.lit("…"))).otherwise(F.col("text"))
+    fid = F.concat(F.lit("graph-"), "finding_id")
+    nodes = nodes.unionByName(leaves.select("scope", fid.alias("id"), F.lit("finding").alias("kind"), (F.col("base") + F.col("x")).alias("x"), F.lit(FINDING_Y).alias("y"), short.alias("label"), "stale", none.cast("string").alias("status_label"), none.cast("long").alias("paper_count")))
+    edge = lambda rows, kind, a, b: rows.select("scope", F.concat(a, F.lit("->"), b).alias("id"), kind.alias("kind"), a.alias("source"), b.alias("target"))
+    links = edge(met, F.col("kind"), F.col("term_id"), pid).unionByName(edge(leaves, F.lit("finding"), pid, fid)).distinct()
+    return states, nodes, links
 
 
 def neighbourhood(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -257,12 +309,50 @@ def gap_candidates(signed: DataFrame, related: DataFrame, anchors: DataFrame, pa
     return gap.groupBy("gap_id", "field_key", "action", "match", "paper_ids").agg(F.array_sort(F.collect_set(F.concat_ws(":", F.lit("term"), "kind", "key"))).alias("related_terms"), F.max("evidence").alias("evidence"), F.bool_or("stale").alias("stale"))
 
 
-def gap_view(gaps: DataFrame) -> DataFrame:
-    """Gaps with a heading and an explanation, current ones first, then by support."""
-    kind = F.when(F.col("field_key") == "limitations", "limitation").otherwise("future-work direction")
-    subject = F.replace(F.regexp_replace("match", "^[a-z]+:", ""), F.lit("_"), F.lit(" "))
-    n = F.size("paper_ids")
-    heading = F.concat(F.initcap(kind), F.lit(": "), subject)
-    why = F.concat(n.cast("string"), F.lit(" related papers express a matching "), kind, F.lit(" ("), F.replace("action", F.lit("_"), F.lit(" ")), F.lit("); a potential gap in this corpus."))
-    order = Window.partitionBy("field_key").orderBy("stale", n.desc(), "gap_id")
-    return gaps.select("gap_id", "field_key", heading.alias("heading"), why.alias("explanation"), n.alias("papers"), "evidence", "stale", F.row_number().over(order).alias("place"))
+# What gaps, their types, actions and targets are called.
+GAP_TYPES = {"limitations": "recurring_limitation", "future_work": "future_research_opportunity"}
+GAP_TYPE_LABELS = {"recurring_limitation": "Recurring limitation", "future_research_opportunity": "Future research opportunity"}
+GAP_TITLES = {"limitations": "Potential recurring limitation in this corpus", "future_work": "Potential future research opportunity in this corpus"}
+GAP_DIRECTIONS = {"limitations": "limitation", "future_work": "future-work direction"}
+ACTION_NAMES = {"integrate": "integration", "evaluate": "evaluation", "build": "build", "scope_restriction": "scope restriction", "missing_capability": "missing capability", "inability": "inability", "insufficiency": "insufficiency"}
+TARGET_HEADINGS = {"language_model": "Language-model", "table_structure": "Table-structure", "table_content": "Table-content"}
+TARGET_NAMES = {"language_model": "language models", "table_structure": "table structure", "table_content": "table content"}
+NO_CLAIM = "Extracted claim unavailable."
+
+
+def _called(names: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), key)
+
+
+def gap_view(gaps: DataFrame, terms: DataFrame) -> DataFrame:
+    """Gaps as gap_candidates gives them, with type, heading and explanations, by terms(term_id, label).
+
+    A gap of one target is headed by target and action, one of equal statements by its field. What it rests on comes first, then
+    its terms in order; a term without a label is called `Related corpus term`.
+    """
+    by_target = F.startswith("match", F.lit("target:"))
+    target = F.substring_index("match", ":", -1)
+    field, action = F.col("field_key"), _called(ACTION_NAMES, F.col("action"))
+    lead = F.concat(F.lit("These directly related papers "), F.when(by_target, F.concat(F.lit("describe a matching "), _called(GAP_DIRECTIONS, field), F.lit(" involving "), action, F.lit(" and "), _called(TARGET_NAMES, target), F.lit("."))).otherwise(F.concat(F.lit("contain the same explicit "), _called(GAP_DIRECTIONS, field), F.lit(" statement."))))
+    heading = F.when(by_target, F.concat_ws(" ", _called(TARGET_HEADINGS, target), action)).otherwise(_called(GAP_TITLES, field))
+    named = gaps.select("gap_id", F.posexplode("related_terms").alias("n", "term_id")).join(terms.select("term_id", "label"), "term_id", "left")
+    label = F.coalesce(F.nullif("label", F.lit("")), F.lit("Related corpus term"))
+    labels = named.groupBy("gap_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", label.alias("label")))), lambda x: x["label"]).alias("related_labels"))
+    rows = gaps.join(labels, "gap_id", "left").withColumn("related_labels", F.coalesce("related_labels", F.array().cast("array<string>")))
+    why = F.concat(F.array(lead), F.transform("related_labels", lambda x: F.concat(F.lit("Research Map relationship: "), x)))
+    kind = _called(GAP_TYPES, field)
+    order = Window.partitionBy("field_key").orderBy("stale", F.size("paper_ids").desc(), "gap_id")
+    return rows.select("gap_id", "field_key", kind.alias("type"), _called(GAP_TYPE_LABELS, kind).alias("type_label"), heading.alias("heading"), why.alias("explanations"), "related_labels", "paper_ids", F.size("paper_ids").alias("papers"), "evidence", "stale", F.row_number().over(order).alias("place"))
+
+
+def gap_filter(views: DataFrame, kind: str = "all", status: str = "all") -> DataFrame:
+    """views(type, stale) of one type, or all, that are current, stale or either."""
+    if status not in ("all", "current", "stale"):
+        raise ValueError(f"status is all, current or stale, not {status}")
+    rows = views if kind == "all" else views.where(F.col("type") == kind)
+    return rows if status == "all" else rows.where(F.col("stale") == (status == "stale"))
+
+
+def gap_types(views: DataFrame, *by: str) -> DataFrame:
+    """The types that there are, in order."""
+    return views.groupBy(*by).agg(F.array_sort(F.collect_set("type")).alias("types"))

@@ -103,16 +103,55 @@ def g8_adjacency(spark, sf_dir):
     return G.adjacency(edges(spark, sf_dir)[0]).withColumn("terms", F.array_join("terms", "|"))
 
 
-@query("f5_term_index", f"{_EDGES} select kind, key, label, papers, string_agg(cast(paper_id as varchar), ',' order by paper_id) as paper_ids from e join sh using (kind, key) where kept and contains(lower(label), 'model') and kind = 'concept' group by 1, 2, 3, 4")
+_TITLED = "select k as paper_id, case when k % 6 = 0 then 'Model ' else 'Study ' end || k as title, k % 5 = 1 as stale from range(45) r(k)"
+
+
+@query("f5_term_index", f"""{_EDGES}, p as ({_TITLED}), n as (select kind, key, cast(e.paper_id as varchar) as id, coalesce(title, cast(e.paper_id as varchar)) as title, coalesce(stale, false) as stale from (select distinct kind, key, paper_id from e) e left join p using (paper_id)),
+ o as (select kind, key, string_agg(id, ',' order by title, id) as paper_ids, bool_or(stale) as stale, bool_or(contains(lower(title), 'model')) as titled from n group by 1, 2)
+ select 'search' as asked, kind, key, label, papers, paper_ids, stale from o join sh using (kind, key) where kept and (contains(lower(label), 'model') or titled) and kind = 'concept'
+ union all select 'current', kind, key, label, papers, paper_ids, stale from o join sh using (kind, key) where kept and not stale""")
 def f5_term_index(spark, sf_dir):
     e, shared = edges(spark, sf_dir)
-    return G.term_index(shared, e, " Model ", "concept").withColumn("paper_ids", F.array_join(F.col("paper_ids").cast("array<string>"), ","))
+    k = F.col("id")
+    titled = spark.range(45).select(k.alias("paper_id"), F.concat(F.when(k % 6 == 0, "Model ").otherwise("Study "), k.cast("string")).alias("title"), (k % 5 == 1).alias("stale"))
+    asked = G.term_index(shared, e, titled, " Model ", "concept").withColumn("asked", F.lit("search"))
+    return asked.unionByName(G.term_index(shared, e, titled, hide_stale=True).withColumn("asked", F.lit("current"))).withColumn("paper_ids", F.array_join("paper_ids", ","))
+
+
+_GRAPH = """with p as (select c_custkey // 10 as scope, c_custkey as paper_id, c_name as title, c_acctbal < 0 as stale, c_mktsegment as place, ['extracted', 'queued', 'odd'][c_custkey % 3 + 1] as status from customer where c_custkey % 4 <> 0),
+e as (select distinct c_custkey // 10 as scope, 'term:' || c_mktsegment as term_id, 'concept' as kind, lower(c_mktsegment) as label, length(c_mktsegment) as place, c_custkey as paper_id from customer),
+f as (select c_custkey // 10 as scope, c_custkey as paper_id, 'finding:' || c_custkey || ':' || o_orderkey as finding_id, o_totalprice as place, o_orderpriority || repeat(' words', cast(o_orderkey % 12 as integer)) as text from orders join customer on c_custkey = o_custkey where o_orderkey % 3 = 0),
+v as (select e.* from e join p using (scope, paper_id)), g as (select f.* from f join p using (scope, paper_id)),
+c as (select scope, count(*) as n from (select distinct scope, 'p' || paper_id as node from p union select scope, 't' || term_id from v union select scope, 'f' || finding_id from g) group by 1),
+d as (select scope from c where n <= 40), r as (select p.*, (row_number() over (partition by scope order by place, paper_id) - 1 - (count(*) over (partition by scope) - 1) / 2.0) * 220 as x from p join d using (scope)),
+t as (select scope, term_id, kind, label, place, bool_or(stale) as stale, count(distinct paper_id) as paper_count from (select v.*, p.stale from v join p using (scope, paper_id) join d using (scope)) group by 1, 2, 3, 4, 5),
+tx as (select *, (row_number() over (partition by scope order by place, term_id) - 1 - (count(*) over (partition by scope) - 1) / 2.0) * 220 as x from t),
+l as (select g.*, r.stale, r.x + (row_number() over (partition by scope, paper_id order by g.place, finding_id) - 1 - (count(*) over (partition by scope, paper_id) - 1) / 2.0) * 140 as x from g join r using (scope, paper_id))"""
 
 
-@query("g9_layout", "with n as (select c_nationkey as scope, c_custkey as node_id, ['paper', 'term', 'finding'][c_custkey % 3 + 1] as type from customer), s as (select scope, count(*) as size from n group by 1), r as (select n.*, size, row_number() over (partition by scope, type order by node_id) - 1 as k from n join s using (scope)) select scope, node_id, type, case when size <= 7 then cast(case type when 'paper' then 0 when 'term' then 6 else 12 end + k % 6 as integer) end as x, case when size <= 7 then cast(k // 6 as integer) end as y, size > 7 as too_large from r")
+@query("g9_layout", f"""{_GRAPH} select scope, 'graph-paper:' || paper_id as id, 'paper' as kind, cast(x as double) as x, cast(220 as double) as y, title as label, stale, case status when 'extracted' then 'Extracted' when 'queued' then 'Queued' end as status_label, cast(null as bigint) as paper_count from r
+ union all select scope, term_id, kind, cast(x as double), 40, label, stale, null, paper_count from tx union all select scope, 'graph-' || finding_id, 'finding', cast(x as double), 420, case when length(text) > 60 then rtrim(text[1:60]) || '…' else text end, stale, null, null from l""")
 def g9_layout(spark, sf_dir):
-    nodes = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("scope"), F.col("c_custkey").alias("node_id"), F.element_at(F.array(*map(F.lit, ["paper", "term", "finding"])), (F.col("c_custkey") % 3 + 1).cast("int")).alias("type"))
-    return G.layout(nodes, most=7)
+    return G.graph_view(*pictured(spark, sf_dir), most=40)[1]
+
+
+@query("g9_graph_edges", f"""{_GRAPH} select scope, term_id || '->graph-paper:' || paper_id as id, kind, term_id as source, 'graph-paper:' || paper_id as target from v join d using (scope) union all select scope, 'graph-paper:' || paper_id || '->graph-' || finding_id, 'finding', 'graph-paper:' || paper_id, 'graph-' || finding_id from l
+ union all select distinct p.scope, case when n > 40 then 'too_large' else 'graph' end, 'state', cast(n as varchar), null from p join c on p.scope = c.scope union all select distinct scope, 'empty', 'state', '0', null from e where scope not in (select scope from p)""")
+def g9_graph_edges(spark, sf_dir):
+    states, _, links = G.graph_view(*pictured(spark, sf_dir), most=40)
+    return links.unionByName(states.select("scope", F.col("state").alias("id"), F.lit("state").alias("kind"), F.col("node_count").cast("string").alias("source"), F.lit(None).cast("string").alias("target")))
+
+
+def pictured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Ten customers a scope as papers, three in four of them visible, their segments as terms and their orders as findings."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    scope, paper = F.floor(F.col("c_custkey") / 10).alias("scope"), F.col("c_custkey").alias("paper_id")
+    status = F.element_at(F.array(*map(F.lit, ["extracted", "queued", "odd"])), (F.col("c_custkey") % 3 + 1).cast("int"))
+    shown = c.where("c_custkey % 4 <> 0").select(scope, paper, F.col("c_name").alias("title"), (F.col("c_acctbal") < 0).alias("stale"), status.alias("status"), F.col("c_mktsegment").alias("place"))
+    entries = c.select(scope, F.concat(F.lit("term:"), "c_mktsegment").alias("term_id"), F.lit("concept").alias("kind"), F.lower("c_mktsegment").alias("label"), F.length("c_mktsegment").alias("place"), paper)
+    text = F.concat(F.col("o_orderpriority"), F.repeat(F.lit(" words"), (F.col("o_orderkey") % 12).cast("int")))
+    found = o.where("o_orderkey % 3 = 0").join(c, F.col("o_custkey") == F.col("c_custkey")).select(scope, paper, F.concat_ws(":", F.lit("finding"), F.col("c_custkey").cast("string"), F.col("o_orderkey").cast("string")).alias("finding_id"), F.col("o_totalprice").alias("place"), text.alias("text"))
+    return shown, entries, found
 
 
 @query("g10_neighbourhood", "with e as (select l_suppkey as a, l_suppkey + l_linenumber as b from lineitem), w as (select a, b from e union all select b, a from e) select distinct a as node, b as neighbour from w where a % 3 = 0")
@@ -192,10 +231,36 @@ def g15_gap_candidates(spark, sf_dir):
     return gaps(spark, sf_dir).select("field_key", "action", "match", F.array_join("paper_ids", ",").alias("paper_ids"), F.array_join("related_terms", ",").alias("related_terms"), "evidence", "stale")
 
 
-@query("g17_gap_view", f"""{_GAPS} select field_key, case field_key when 'limitations' then 'Limitation' else 'Future-work Direction' end || ': ' || replace(regexp_replace(match, '^[a-z]+:', ''), '_', ' ') as heading, cast(len(paper_ids) as integer) as papers, evidence, stale,
- len(paper_ids) || ' related papers express a matching ' || case field_key when 'limitations' then 'limitation' else 'future-work direction' end || ' (' || replace(action, '_', ' ') || '); a potential gap in this corpus.' as explanation from x""")
+# Headings and explanations as the field, action and target of the statements above make them.
+_VIEW = f"""{_GAPS}, v as (select field_key, case field_key when 'limitations' then 'recurring_limitation' else 'future_research_opportunity' end as type, case field_key when 'limitations' then 'Recurring limitation' else 'Future research opportunity' end as type_label,
+ case match when 'target:language_model' then 'Language-model ' || a when 'target:table_structure' then 'Table-structure ' || a when 'target:table_content' then 'Table-content ' || a else case field_key when 'limitations' then 'Potential recurring limitation in this corpus' else 'Potential future research opportunity in this corpus' end end as heading,
+ case match when 'target:language_model' then 'These directly related papers describe a matching ' || f || ' involving ' || a || ' and language models.' when 'target:table_structure' then 'These directly related papers describe a matching ' || f || ' involving ' || a || ' and table structure.' when 'target:table_content' then 'These directly related papers describe a matching ' || f || ' involving ' || a || ' and table content.' else 'These directly related papers contain the same explicit ' || f || ' statement.' end
+ || '|' || case related_terms when 'term:concept:gamma' then 'Research Map relationship: Gamma rays' when 'term:dataset:alpha beta' then 'Research Map relationship: Related corpus term' else 'Research Map relationship: Gamma rays|Research Map relationship: Related corpus term' end as explanations, cast(len(paper_ids) as integer) as papers, evidence, stale
+ from (select *, replace(case action when 'integrate' then 'integration' when 'evaluate' then 'evaluation' else action end, '_', ' ') as a, case field_key when 'limitations' then 'limitation' else 'future-work direction' end as f from x))"""
+
+
+def gap_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.createDataFrame([("term:concept:gamma", "Gamma rays"), ("term:dataset:alpha beta", "")], "term_id string, label string")
+    return G.gap_view(gaps(spark, sf_dir), labels)
+
+
+@query("g17_gap_view", f"{_VIEW} select * from v")
 def g17_gap_view(spark, sf_dir):
-    return G.gap_view(gaps(spark, sf_dir)).select("field_key", "heading", "papers", "evidence", "stale", "explanation")
+    return gap_views(spark, sf_dir).select("field_key", "type", "type_label", "heading", F.array_join("explanations", "|").alias("explanations"), "papers", "evidence", "stale")
+
+
+@query("f7_gap_filter", f"{_VIEW} select 'current' as asked, heading, papers from v where type = 'recurring_limitation' and not stale union all select 'stale', heading, papers from v where stale union all select 'all', heading, papers from v where type = 'future_research_opportunity'")
+def f7_gap_filter(spark, sf_dir):
+    views, out = gap_views(spark, sf_dir), None
+    for asked, rows in (("current", G.gap_filter(views, "recurring_limitation", "current")), ("stale", G.gap_filter(views, status="stale")), ("all", G.gap_filter(views, "future_research_opportunity"))):
+        rows = rows.select(F.lit(asked).alias("asked"), "heading", "papers")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("a29_gap_types", f"{_VIEW} select stale, string_agg(distinct type, ',' order by type) as types from v group by 1")
+def a29_gap_types(spark, sf_dir):
+    return G.gap_types(gap_views(spark, sf_dir), "stale").withColumn("types", F.array_join("types", ","))
 
 
 @query("a17_gap_summary", f"{_GAPS} select (select count(*) from x) as gaps, (select count(distinct p) from (select unnest(paper_ids) as p from x)) as papers, (select count(*) from x where stale) as stale")
