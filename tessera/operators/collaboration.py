@@ -175,8 +175,15 @@ def derived_activity(before: DataFrame, after: DataFrame, keys: Sequence[str]) -
     return new.unionByName(before.select(keys).distinct().join(after, keys, "left_anti").withColumn("kind", F.lit("paper_unlinked")))
 
 
+def own_roles(projects: DataFrame, members: DataFrame, actor: str) -> DataFrame:
+    """The actor's role in each of projects(project_id), as members(project_id, user_id, role) has it, or null; one join for all, and of several rows the highest role."""
+    rank = F.when(F.col("role") == "OWNER", 0).when(F.col("role") == "EDITOR", 1).otherwise(2)
+    mine = members.where(F.col("user_id") == actor).groupBy("project_id").agg(F.min_by("role", rank).alias("role"))
+    return projects.join(mine, "project_id", "left").select("project_id", "role")
+
+
 def members(rows: DataFrame, profiles: DataFrame) -> DataFrame:
-    """members(project_id, user_id, role, joined) by name, in order of joining; unknown people keep a fallback name."""
+    """members(project_id, user_id, role, joined) by name, in order of joining; unknown people keep a fallback name."""
     place = F.row_number().over(Window.partitionBy("project_id").orderBy("joined", "user_id"))
     named = rows.join(profiles.select("user_id", "name"), "user_id", "left")
     return named.select("project_id", "user_id", "role", F.coalesce(F.nullif(js_trim("name"), F.lit("")), F.lit("Unknown member")).alias("name"), place.alias("place"))

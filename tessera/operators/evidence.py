@@ -5,12 +5,13 @@ Packets are folds over a bounded number of candidates of a request in order, as
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import WS, bounded, js_trim, normalize_title, normalized_literal, sanitize_claim, sanitize_evidence
+from ..functions.text import WS, bounded, bounded_writer_text, js_trim, normalize_title, normalized_literal, sanitize_claim, sanitize_evidence
 
 # The matrix fields in their order.
 FIELDS = ["objective", "methodology", "dataset", "findings", "limitations", "future_work", "concepts"]
@@ -72,40 +73,54 @@ def evidence_packet(candidates: DataFrame, most: int = 40, budget: int = 24_000,
     """(paper_id, evidence_id, chunk_id, fields) from candidates(paper_id, chunk_id, chunk_index, field, priority, size).
 
     Fields take turns in their order, each the next chunk of its queue that is not taken yet and fits; a chunk that does not fit
-    is passed for good. A round that adds nothing, or enough items, ends it. Ids follow document order. A
-    paper's sizes are folded by one task, without its texts.
+    is passed for good, and so is one without a size. A round that adds nothing, or enough items, ends it. Ids
+    follow document order. A paper's sizes are folded in one row, without its texts.
     """
 
-    def fold(paper):
-        chunks = paper.drop_duplicates("chunk_id").set_index("chunk_id")
-        place = dict(zip(chunks.index, zip(chunks["chunk_index"], chunks.index)))
-        size = chunks["size"].to_dict()
-        queues = {f: iter(sorted(q["chunk_id"].unique(), key=lambda c, p=dict(zip(q["chunk_id"], q["priority"])): (p[c], *place[c]))) for f, q in paper[paper["size"] <= largest].groupby("field")}
-        taken: list = []
+    kinds = dict(candidates.select("paper_id", "chunk_id").dtypes)
+
+    def taken_of(cands: list[dict]) -> list[tuple]:
+        """(chunk, fields) of one paper's packet in document order."""
+        place = {c["chunk_id"]: (c["chunk_index"], c["chunk_id"]) for c in cands}
+        size = {c["chunk_id"]: c["size"] for c in cands}
+        fed: dict = {}
+        queues = {}
+        for field in FIELDS:
+            of = {c["chunk_id"]: c["priority"] for c in cands if c["field"] == field}
+            for chunk in of:
+                fed.setdefault(chunk, []).append(field)
+            queues[field] = iter(sorted((c for c in of if size[c] is not None and size[c] <= largest), key=lambda c, of=of: (of[c], place[c])))
+        taken: set = set()
         used, added = 0, True
         while added and len(taken) < most:
             added = False
             for field in FIELDS:
-                for c in queues.get(field, ()):
-                    if c not in taken and used + size[c] <= budget:
-                        taken.append(c)
-                        used, added = used + size[c], True
-                        break
-                if len(taken) == most:
-                    break
-        taken.sort(key=place.get)
-        fed = paper[paper["chunk_id"].isin(taken)].groupby("chunk_id")["field"].agg(lambda x: ",".join(f for f in FIELDS if f in set(x)))
-        return _pandas().DataFrame({"paper_id": [paper["paper_id"].iloc[0]] * len(taken), "evidence_id": [f"E{k + 1}" for k in range(len(taken))], "chunk_id": taken, "fields": [fed[c] for c in taken]})
-
-    kept = candidates.select("paper_id", "chunk_id", "chunk_index", "field", "priority", "size")
-    kinds = dict(kept.dtypes)
-    return kept.groupBy("paper_id").applyInPandas(fold, f"paper_id {kinds['paper_id']}, evidence_id string, chunk_id {kinds['chunk_id']}, fields string")
-
-
-def _pandas():
-    import pandas
-
-    return pandas
+                chunk = next((c for c in queues[field] if c not in taken and used + size[c] <= budget), None) if len(taken) < most else None
+                if chunk is not None:
+                    taken.add(chunk)
+                    used, added = used + size[chunk], True
+        return [(c, ",".join(fed[c])) for c in sorted(taken, key=place.get)]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(paper, f"E{k + 1}", chunk, fields) for paper, cands in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, (chunk, fields) in enumerate(taken_of(cands))]
+            types = [batch.schema.field(0).type, pa.string(), batch.schema.field(1).type.value_type.field("chunk_id").type, pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["paper_id", "evidence_id", "chunk_id", "fields"])
+
+    packed = candidates.groupBy("paper_id").agg(F.collect_list(F.struct("chunk_id", "chunk_index", "field", "priority", "size")).alias("cands"))
+    return packed.mapInArrow(fold, f"paper_id {kinds['paper_id']}, evidence_id string, chunk_id {kinds['chunk_id']}, fields string")
+
+
+def packet_facts(candidates: DataFrame, packet: DataFrame) -> DataFrame:
+    """A paper's items, the fields that none of them feeds, in order, and how many of its routed chunks were left out."""
+    routed = candidates.groupBy("paper_id").agg(F.count_distinct("chunk_id").alias("routed"))
+    fed = F.array_distinct(F.flatten(F.collect_list(F.split("fields", ","))))
+    kept = packet.groupBy("paper_id").agg(F.count("*").alias("items"), fed.alias("fed"))
+    rows = routed.join(kept, "paper_id", "left")
+    fed = F.coalesce("fed", F.array().cast("array<string>"))
+    empty = F.filter(F.array(*map(F.lit, FIELDS)), lambda f: ~F.array_contains(fed, f))
+    items = F.coalesce("items", F.lit(0))
+    return rows.select("paper_id", items.alias("items"), empty.alias("empty_fields"), (F.col("routed") - items).alias("dropped_chunks"))
 
 
 # --- E4 to E8, A15: the matrix -----------------------------------------------------------------------------
@@ -179,21 +194,27 @@ def semantic_candidates(hits: DataFrame) -> DataFrame:
 def matrix_candidates(requests: DataFrame, papers: DataFrame, overviews: DataFrame, fields: DataFrame, sources: DataFrame, stale: bool = False) -> DataFrame:
     """Claims of the fields that a request's mode draws on, from ready papers whose extraction is current, with a source.
 
-    requests(request, mode, paper_id); overviews(paper_id, extraction, stale); fields(paper_id, field_key, updated_at, state,
-    malformed, items), of which the newest counts unless rows as new differ; sources(paper_id, field_key, item).
+    requests(request, mode, paper_id), papers(paper_id, title, status), overviews(paper_id, schema_version, extraction, stale),
+    fields(paper_id, schema_version, field_key, updated_at, state, malformed, items), of which the newest of a version counts unless
+    rows as new differ, and sources(paper_id, schema_version, field_key, item). A claim is told by its paper, schema version, field and
+    item, so that those of two versions stay two; candidates go by title, paper, field and item. A blank claim is none.
     """
     from .relational import newest_unconflicted
 
     wanted = requests.join(F.broadcast(requests.sparkSession.createDataFrame([(m, f, k) for m, fs in MODE_FIELDS.items() for k, f in enumerate(fs)], "mode string, field_key string, field_order int")), "mode")
-    live = papers.where("status = 'ready'").join(overviews.where(F.col("extraction").isin("complete", "partial") & (F.col("stale") == stale)), "paper_id").select("paper_id")
-    told = newest_unconflicted(fields, ["paper_id", "field_key"], "updated_at", F.to_json(F.struct("state", "malformed", "items")))
+    current = overviews.where(F.col("extraction").isin("complete", "partial") & (F.col("stale") == stale)).select("paper_id", "schema_version").distinct()
+    live = papers.where("status = 'ready'").select("paper_id", "title").join(current, "paper_id")
+    claim = ["paper_id", "schema_version", "field_key"]
+    told = newest_unconflicted(fields, claim, "updated_at", F.to_json(F.struct("state", "malformed", "items")))
     kind = "struct<state: string, malformed: boolean, items: array<string>>"
-    claims = told.select("paper_id", "field_key", F.from_json("content", kind).alias("c")).where("c.state = 'extracted' and not c.malformed").select("paper_id", "field_key", F.posexplode("c.items").alias("item", "text"))
-    claims = claims.join(sources.select("paper_id", "field_key", "item").distinct(), ["paper_id", "field_key", "item"], "left_semi")
-    rows = wanted.join(live, "paper_id", "left_semi").join(claims, ["paper_id", "field_key"])
-    identity = F.to_json(F.array(F.lit("extraction_claim"), F.col("paper_id").cast("string"), F.col("field_key"), F.col("item").cast("string")))
-    order = F.concat_ws(":", F.lpad(F.col("field_order").cast("string"), 3, "0"), F.lpad(F.col("item").cast("string"), 3, "0"))
-    return rows.select("request", "paper_id", identity.alias("identity"), order.alias("sort_key"), "field_key", js_trim("text").alias("text"))
+    claims = told.select(*claim, F.from_json("content", kind).alias("c")).where("c.state = 'extracted' and not c.malformed").select(*claim, F.posexplode("c.items").alias("item", "said"))
+    claims = claims.join(sources.select(*claim, "item").distinct(), [*claim, "item"], "left_semi")
+    rows = wanted.join(live, "paper_id").join(claims, claim)
+    text, paper, item = bounded_writer_text(F.col("said"), 500), F.col("paper_id").cast("string"), F.col("item").cast("string")
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    identity = F.concat(F.lit('["extraction_claim",'), quoted(paper), F.lit(","), F.col("schema_version").cast("string"), F.lit(","), quoted(F.col("field_key")), F.lit(","), item, F.lit("]"))
+    order = F.to_json(F.array(F.lower("title"), paper, F.lpad(F.col("field_order").cast("string"), 2, "0"), F.lpad(item, 3, "0")))
+    return rows.select("request", "paper_id", identity.alias("identity"), order.alias("sort_key"), "field_key", text.alias("text")).where("text <> ''")
 
 
 def writer_packet(candidates: DataFrame, papers: int = 5, most: int = 12, budget: int = 18_000) -> DataFrame:

@@ -106,24 +106,23 @@ def incremental_plan(current: DataFrame, stored: DataFrame) -> DataFrame:
     return hashed.join(old, "chunk_id", "left").withColumn("action", F.when(F.col("content_hash").eqNullSafe(F.col("stored_hash")), "reuse").when(F.col("stored_hash").isNull(), "embed").otherwise("replace"))
 
 
-def token_estimate(chars: Column, per_token: float = 4.0) -> Column:
-    """V10."""
-    return F.ceil(chars / F.lit(per_token)).cast("long")
+# Characters a token before anything is known, the bounds of the estimate, the weight of the newest ratio and the margin.
+FIRST, LEAST, MOST, WEIGHT, MARGIN = 3.0, 2.5, 4.0, 0.3, 0.9
 
 
-def estimator(observed: Column, start: float = 4.0, weight: float = 0.3) -> Column:
-    """Characters a token as a moving average over array<struct<chars, tokens>>, less a tenth, within 2.5 and 4."""
-    step = lambda a, x: a * (1 - weight) + F.lit(weight) * F.least(F.lit(4.0), F.greatest(F.lit(2.5), x["chars"] / x["tokens"] * 0.9))
-    return F.aggregate(F.filter(observed, lambda x: x["tokens"] > 0), F.lit(start), step)
+def token_estimate(chars: Column, per_token: float = FIRST) -> Column:
+    """V10."""
+    return F.ceil(chars / F.lit(per_token)).cast("long")
 
 
-def estimates(observed: DataFrame, key: str, order: Sequence[str], start: float = 4.0, weight: float = 0.3) -> DataFrame:
-    """A key's last estimate over observed(key, chars, tokens, ...) in order.
+def estimates(observed: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """A key's estimate of characters a token over observed(key, chars, tokens, ...) in order.
 
-    A step is factor * estimate + value, and so is any run of steps, so tasks fold their sorted rows into one
-    such pair for each key and range, and the few pairs of a key are put together in order.
+    A moving average of the ratios, which starts with the first, less a margin and within bounds; rows without characters or tokens
+    say nothing, and a key without any other has no row. A step is factor * average + value, and so is any run of steps, so tasks
+    fold their sorted rows into one such pair for each key and range, and the few pairs of a key are put together in order.
     """
-    rows = observed.where("tokens > 0").select(F.col(key).cast("string").alias(key), *order, (F.col("chars") / F.col("tokens") * 0.9).alias("ratio"))
+    rows = observed.where("tokens > 0 and chars > 0").select(F.col(key).cast("string").alias(key), *order, (F.col("chars") / F.col("tokens")).alias("ratio"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -132,16 +131,19 @@ def estimates(observed: DataFrame, key: str, order: Sequence[str], start: float
         for batch in batches:
             for k, ratio in zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 if k != last:
-                    held.append([k, 1.0, 0.0])
+                    held.append([k, 1.0, 0.0, ratio])
                     last = k
                 run = held[-1]
-                run[1], run[2] = run[1] * (1 - weight), run[2] * (1 - weight) + weight * min(4.0, max(2.5, ratio))
+                run[1], run[2] = run[1] * (1 - WEIGHT), run[2] * (1 - WEIGHT) + WEIGHT * ratio
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.string()), pa.array([part] * len(held), pa.int32()), pa.array([x[1] for x in held]), pa.array([x[2] for x in held])], [key, "part", "factor", "value"])
+            kinds = [pa.string(), pa.float64(), pa.float64(), pa.float64()]
+            key_, factor, value, first = (pa.array(x, t) for x, t in zip(zip(*held), kinds, strict=True))
+            yield pa.RecordBatch.from_arrays([key_, pa.array([part] * len(held), pa.int32()), factor, value, first], [key, "part", "factor", "value", "first"])
 
-    dealt = rows.repartitionByRange(key, *order).sortWithinPartitions(key, *order).mapInArrow(work, f"{key} string, part int, factor double, value double")
-    pairs = dealt.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("part", "factor", "value"))).alias("runs"))
-    return pairs.select(key, F.aggregate("runs", F.lit(start), lambda a, r: a * r["factor"] + r["value"]).alias("chars_per_token"))
+    dealt = rows.repartitionByRange(key, *order).sortWithinPartitions(key, *order).mapInArrow(work, f"{key} string, part int, factor double, value double, first double")
+    pairs = dealt.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("part", "factor", "value", "first"))).alias("runs"))
+    average = F.aggregate("runs", F.element_at("runs", 1)["first"], lambda a, r: a * r["factor"] + r["value"])
+    return pairs.select(key, F.least(F.lit(MOST), F.greatest(F.lit(LEAST), average * MARGIN)).alias("chars_per_token"))
 
 
 def batches(rows: DataFrame, key: str, order: Sequence[str], size: str, most_items: int = 32, most_size: int = 240_000) -> DataFrame:
@@ -172,10 +174,3 @@ def in_active_space(rows: DataFrame, models: DataFrame) -> DataFrame:
     """V9: rows(model, ...) of the one active model; with none or several active, none."""
     active = models.where("active").groupBy().agg(F.count("*").alias("n"), F.min("model").alias("model")).where("n = 1").select("model")
     return rows.join(active, "model", "left_semi")
-
-
-def estimate(chunks: DataFrame, stored: DataFrame, per_token: float = 4.0) -> DataFrame:
-    """Of an indexing run the chunks in all, those whose vector is kept, those to embed, and the tokens of these."""
-    plan = incremental_plan(chunks, stored)
-    new = F.col("action") != "reuse"
-    return plan.agg(F.count("*").alias("total"), F.count_if(~new).alias("reusable"), F.count_if(new).alias("pending"), F.coalesce(F.sum(F.when(new, token_estimate(F.length("input"), per_token))), F.lit(0)).alias("tokens"))

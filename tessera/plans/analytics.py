@@ -346,16 +346,16 @@ def w12_batches(spark, sf_dir):
     return V.batches(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", ["doc_id"], "n_chars", 8, 12_000)
 
 
-@query("w11_token_estimator", """with recursive d as (select source, n_chars, len(string_split(text, ' ')) as tokens, row_number() over (partition by source order by doc_id, n_chars) as k from documents where text is not null),
-s as (select distinct source, cast(0 as bigint) as k, 4.0::double as e from d union all select d.source, d.k, s.e * (1 - 0.3::double) + 0.3::double * least(4.0::double, greatest(2.5::double, d.n_chars::double / d.tokens * 0.9::double)) from s join d on d.source is not distinct from s.source and d.k = s.k + 1)
-select source, round(arg_max(e, k), 9) as chars_per_token from s group by 1""")
+@query("w11_token_estimator", """with recursive d as (select source, n_chars, len(string_split(text, ' ')) as tokens, row_number() over (partition by source order by doc_id, n_chars) as k from documents where text is not null and n_chars > 0),
+s as (select distinct source, cast(0 as bigint) as k, 0.0::double as e from d union all select d.source, d.k, case when d.k = 1 then d.n_chars::double / d.tokens else s.e * (1 - 0.3::double) + 0.3::double * (d.n_chars::double / d.tokens) end from s join d on d.source is not distinct from s.source and d.k = s.k + 1)
+select source, round(least(4.0::double, greatest(2.5::double, 0.9::double * arg_max(e, k))), 9) as chars_per_token from s group by 1""")
 def w11_token_estimator(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("text is not null")
     seen = docs.select("source", "doc_id", F.col("n_chars").alias("chars"), F.size(F.split("text", " ")).alias("tokens"))
     return V.estimates(seen, "source", ["doc_id", "chars"]).select("source", F.round("chars_per_token", 9).alias("chars_per_token"))
 
 
-@query("v10_token_estimate", "select doc_id, cast(ceil(n_chars / 4.0) as bigint) as tokens from documents")
+@query("v10_token_estimate", "select doc_id, cast(ceil(n_chars / 3.0) as bigint) as tokens from documents")
 def v10_token_estimate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", V.token_estimate(F.col("n_chars")).alias("tokens"))
 

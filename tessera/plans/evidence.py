@@ -57,11 +57,32 @@ def e2_routing(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(fed, lambda x: F.concat_ws(":", x["field"], x["priority"].cast("string"))), ",").alias("fields"))
 
 
-@query("e3_packet")
+# A line's hit as a chunk of its order's paper, each chunk in some of the fields; sizes of 4,000 and more never fit.
+_FED = "(paper_id * 7 + chunk_id * 3 + f * 5) % 3 = 0"
+_PACKET = f"""with recursive h as (select request as paper_id, rank as chunk_id, size * case when request % 9 = 0 then 8 else 1 end as size from ({_HITS})), c as (select h.*, cast(f as integer) as f from h, range(7) t(f) where size > 0 and {_FED}),
+q as (select paper_id, list({{'f': f, 'c': chunk_id, 'size': size}} order by chunk_id % 2, chunk_id) as cands from c group by 1),
+s as (select paper_id, 0 as step, cast([] as bigint[]) as taken, 0 as used, 0 as idle from q
+ union all select paper_id, step + 1, case when pick is null then taken else list_append(taken, pick.c) end, used + coalesce(pick.size, 0), case when pick is null then idle + 1 else 0 end
+ from (select s.*, list_filter(cands, lambda x: x.f = s.step % 7 and x.size <= 4000 and s.used + x.size <= 2500 and not list_contains(s.taken, x.c))[1] as pick from s join q using (paper_id) where s.idle < 7 and len(s.taken) < 40)),
+t as (select paper_id, arg_max(taken, step) as taken from s group by 1), i as (select paper_id, unnest(list_sort(taken)) as chunk_id, generate_subscripts(taken, 1) as n from t),
+p as (select paper_id, 'E' || n as evidence_id, chunk_id, string_agg(['objective', 'methodology', 'dataset', 'findings', 'limitations', 'future_work', 'concepts'][f + 1], ',' order by f) as fields from i join c using (paper_id, chunk_id) group by 1, 2, 3)"""
+
+
+def packet_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.length("content") * F.when(F.col("request") % 9 == 0, 8).otherwise(1)
+    rows = hits(spark, sf_dir).where(F.trim(F.regexp_replace("content", r"\s", "")) != "").select(F.col("request").alias("paper_id"), F.col("rank").cast("long").alias("chunk_id"), F.col("rank").alias("chunk_index"), size.alias("size"), F.posexplode(F.array(*map(F.lit, E.FIELDS))).alias("f", "field"))
+    return rows.where(_FED).withColumn("priority", (F.col("chunk_id") % 2).cast("int")).drop("f")
+
+
+@query("e3_packet", f"{_PACKET} select * from p")
 def e3_packet(spark, sf_dir):
-    rows = hits(spark, sf_dir).select(F.col("request").alias("paper_id"), F.col("rank").alias("chunk_id"), F.col("rank").alias("chunk_index"), F.length("content").alias("size"), F.explode(F.array(*map(F.lit, E.FIELDS))).alias("field"))
-    kept = rows.where(F.pmod(F.xxhash64("paper_id", "chunk_id", "field"), F.lit(3)) == 0).withColumn("priority", (F.col("chunk_id") % 2).cast("int"))
-    return E.evidence_packet(kept, budget=2500)
+    return E.evidence_packet(packet_candidates(spark, sf_dir), budget=2500)
+
+
+@query("e3_packet_facts", f"{_PACKET}, r as (select paper_id, count(distinct chunk_id) as routed from c group by 1) select r.paper_id, count(distinct chunk_id) as items, array_to_string(list_filter(['objective', 'methodology', 'dataset', 'findings', 'limitations', 'future_work', 'concepts'], lambda f: not contains(',' || coalesce(string_agg(fields, ','), '') || ',', ',' || f || ',')), ',') as empty_fields, routed - count(distinct chunk_id) as dropped_chunks from r left join p using (paper_id) group by r.paper_id, routed")
+def e3_packet_facts(spark, sf_dir):
+    rows = packet_candidates(spark, sf_dir)
+    return E.packet_facts(rows, E.evidence_packet(rows, budget=2500)).withColumn("empty_fields", F.array_join("empty_fields", ","))
 
 
 @query("e4_validate_extraction", """with c as (select l_orderkey as paper_id, ['objective', 'methodology', 'dataset', 'findings', 'limitations', 'future_work', 'concepts'][l_linenumber] as field, l_linenumber as k, l_suppkey % 2 as item, l_partkey as ord, 'E' || (cast(l_quantity as integer) % 9) as evidence_id from lineitem where l_linenumber <= 7),
@@ -129,17 +150,23 @@ def e11_writer_packet(spark, sf_dir):
     return E.writer_packet(E.semantic_candidates(hits(spark, sf_dir)), most=4, budget=2000)
 
 
-@query("e10_matrix_candidates", f"""with p as ({_PAPERS}), d as ({_FIELDS}), m as (select * from (values ('compare_studies', 'objective', 0), ('compare_studies', 'methodology', 1), ('compare_studies', 'dataset', 2), ('compare_studies', 'findings', 3), ('methodology_summary', 'methodology', 0), ('methodology_summary', 'dataset', 1), ('findings_synthesis', 'findings', 0), ('limitations_future_work', 'limitations', 0), ('limitations_future_work', 'future_work', 1)) t(mode, field_key, o))
-select p.scope as request, p.paper_id, '["extraction_claim","' || p.paper_id || '","' || d.field_key || '","0"]' as identity, lpad(cast(o as varchar), 3, '0') || ':000' as sort_key, d.field_key, trim(d.items[1]) as text
-from p join m on m.mode = ['compare_studies', 'methodology_summary', 'findings_synthesis', 'limitations_future_work'][p.scope % 4 + 1] join d on d.paper_id = p.paper_id and d.field_key = m.field_key
-where p.status = 'ready' and p.matrix_status in ('complete', 'partial') and not p.matrix_stale and d.state = 'extracted' and not d.malformed and (p.paper_id + o) % 3 <> 0""")
+@query("e10_matrix_candidates", f"""with p as ({_PAPERS}), d as ({_FIELDS}), m as (select * from (values ('compare_studies', 'objective', 0), ('compare_studies', 'methodology', 1), ('compare_studies', 'dataset', 2), ('compare_studies', 'findings', 3), ('methodology_summary', 'methodology', 0), ('methodology_summary', 'dataset', 1), ('findings_synthesis', 'findings', 0), ('limitations_future_work', 'limitations', 0), ('limitations_future_work', 'future_work', 1)) t(mode, field_key, o)),
+v as (select paper_id, version from p, range(1, 3) r(version) where matrix_status in ('complete', 'partial') and not matrix_stale and (version = 1 or paper_id % 4 = 0))
+select p.scope as request, p.paper_id, '["extraction_claim","' || p.paper_id || '",' || version || ',"' || d.field_key || '",0]' as identity, '["paper ' || p.paper_id % 50 || '","' || p.paper_id || '","' || lpad(cast(o as varchar), 2, '0') || '","000"]' as sort_key, d.field_key, case version when 1 then trim(d.items[1]) else 'newer' end as text
+from p join m on m.mode = ['compare_studies', 'methodology_summary', 'findings_synthesis', 'limitations_future_work'][p.scope % 4 + 1] join d on d.paper_id = p.paper_id and d.field_key = m.field_key join v on v.paper_id = p.paper_id
+where p.status = 'ready' and d.state = 'extracted' and not d.malformed and (p.paper_id + o) % 3 <> 0 and (version = 2 or trim(d.items[1]) <> '')""")
 def e10_matrix_candidates(spark, sf_dir):
     papers, fields = workspace(spark, sf_dir)
     mode = F.element_at(F.array(*map(F.lit, ["compare_studies", "methodology_summary", "findings_synthesis", "limitations_future_work"])), F.col("scope") % 4 + 1)
     requests = papers.select(F.col("scope").alias("request"), mode.alias("mode"), "paper_id")
-    overviews = papers.where("matrix_status is not null").select("paper_id", F.col("matrix_status").alias("extraction"), F.col("matrix_stale").alias("stale"))
-    sources = fields.join(requests, "paper_id").join(spark.createDataFrame([(m, f, k) for m, fs in E.MODE_FIELDS.items() for k, f in enumerate(fs)], "mode string, field_key string, o int"), ["mode", "field_key"]).where((F.col("paper_id") + F.col("o")) % 3 != 0).select("paper_id", "field_key", F.lit(0).alias("item"))
-    return E.matrix_candidates(requests, papers.select("paper_id", "status"), overviews, fields.withColumn("updated_at", F.lit(1)), sources)
+    of = papers.where("matrix_status is not null").select("paper_id", F.col("matrix_status").alias("extraction"), F.col("matrix_stale").alias("stale"))
+    # every fourth paper has a second version, and fields of a version that no overview knows
+    overviews = of.withColumn("schema_version", F.lit(1)).union(of.where("paper_id % 4 = 0").withColumn("schema_version", F.lit(2)))
+    told = fields.withColumn("updated_at", F.lit(1)).select("paper_id", "field_key", "updated_at", "state", "malformed", "items")
+    versions = told.withColumn("schema_version", F.lit(1)).unionByName(told.withColumn("items", F.array(F.lit(" newer "))).withColumn("schema_version", F.lit(2))).unionByName(told.withColumn("schema_version", F.lit(3)))
+    sources = fields.join(requests, "paper_id").join(spark.createDataFrame([(m, f, k) for m, fs in E.MODE_FIELDS.items() for k, f in enumerate(fs)], "mode string, field_key string, o int"), ["mode", "field_key"]).where((F.col("paper_id") + F.col("o")) % 3 != 0).select("paper_id", "field_key", F.lit(0).alias("item"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("schema_version"))
+    titled = papers.select("paper_id", F.concat(F.lit("PAPER "), (F.col("paper_id") % 50).cast("string")).alias("title"), "status")
+    return E.matrix_candidates(requests, titled, overviews, versions, sources)
 
 
 @query("e12_sufficiency", """with c as (select o_orderkey, ['literature_synthesis', 'compare_studies', 'methodology_summary', 'findings_synthesis'][o_orderkey % 4 + 1] as mode, count(l_orderkey) as items, count(distinct l_suppkey) as papers, count(*) filter (where l_linenumber = 2) as methodology, count(distinct l_suppkey) filter (where l_tax < 0.05) as comparable from orders left join lineitem on l_orderkey = o_orderkey and l_quantity > 25 group by 1)

@@ -213,6 +213,14 @@ def st20_activity(spark, sf_dir):
     return C.derived_activity(links.where("l_linenumber <= 3").drop("l_linenumber"), links.where("l_linenumber >= 2").drop("l_linenumber"), ["project", "paper"])
 
 
+@query("j19_own_roles", "select n_nationkey as project_id, r as role from nation left join (select c_nationkey as c, ['OWNER', 'EDITOR', 'VIEWER'][min(c_custkey % 3) + 1] as r from customer where c_custkey % 7 = 3 group by 1) m on m.c = n_nationkey")
+def j19_own_roles(spark, sf_dir):
+    """Nations as projects, of which every seventh customer's row makes the actor a member."""
+    k = F.col("c_custkey")
+    members = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("project_id"), F.when(k % 7 == 3, "me").otherwise("another").alias("user_id"), _pick(["OWNER", "EDITOR", "VIEWER"], k % 3).alias("role"))
+    return C.own_roles(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("project_id")), members, "me")
+
+
 @query("j21_members", "select c_nationkey as project_id, c_custkey as user_id, 'VIEWER' as role, case when c_custkey % 4 = 0 then 'Unknown member' else c_name end as name, cast(row_number() over (partition by c_nationkey order by c_acctbal, c_custkey) as integer) as place from customer")
 def j21_members(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
@@ -261,13 +269,16 @@ def reserved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("a10_admission", f"""with r as (select owner, reservation, min(ts) as since, max(bytes) as bytes from ({_RES}) where action = 'reserve' group by 1, 2), l as (select owner, sum(bytes) as reserved from r where since > timestamp '2024-01-20' - interval 15 minutes group by 1),
-u as (select user_id as owner, sum(cast(floor(value) as bigint)) as used from events where event_type = 'purchase' group by 1)
-select c_custkey as owner, cast(c_custkey * 10 as bigint) as bytes, cast(coalesce(used, 0) as bigint) as used, cast(coalesce(reserved, 0) as bigint) as reserved, coalesce(used, 0) + coalesce(reserved, 0) + c_custkey * 10 <= 6000 as admitted from customer left join u on owner = c_custkey left join l on l.owner = c_custkey""")
+u as (select user_id as owner, sum(cast(floor(value) as bigint)) as used from events where event_type = 'purchase' group by 1),
+t as (select c_custkey as owner, case when c_custkey % 12 > 0 then cast(c_custkey % 700 * 10 - 50 as bigint) end as bytes, cast(coalesce(used, 0) + coalesce(reserved, 0) as bigint) as taken from customer left join u on owner = c_custkey left join l on l.owner = c_custkey)
+select owner, bytes, case when bytes > 5000 then 0 else taken end as used, cast(6000 as bigint) as capacity, case when bytes > 5000 then 6000 when bytes > 0 then case when taken + bytes <= 6000 then 6000 - taken - bytes else greatest(6000 - taken, 0) end end as remaining,
+ coalesce(bytes between 1 and 5000 and taken + bytes <= 6000, false) as admitted, case when bytes is null or bytes <= 0 then 'invalid_file_size' when bytes > 5000 then 'file_too_large' when taken + bytes > 6000 then 'over_capacity' end as reason from t""")
 def a10_admission(spark, sf_dir):
     kept = J.reservations(reserved(spark, sf_dir).where("action = 'reserve'"), F.lit("2024-01-20").cast("timestamp_ntz"))
     used = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("owner"), F.floor("value").cast("long").alias("bytes"))
-    asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("owner"), (F.col("c_custkey") * 10).alias("bytes"))
-    return J.admission(used, kept, asked, 6000)
+    k = F.col("c_custkey")
+    asked = table(spark, sf_dir, "customer").select(k.alias("owner"), F.when(k % 12 > 0, k % 700 * 10 - 50).alias("bytes"))
+    return J.admission(used, kept, asked, 6000, 5000)
 
 
 @query("st2_job_replay")

@@ -128,9 +128,18 @@ def reservations(events: DataFrame, now: Column, minutes: int = 15) -> DataFrame
     return a.where("since is not null").select("owner", "reservation", "bytes", state.alias("state"))
 
 
-def admission(used: DataFrame, reserved: DataFrame, asked: DataFrame, capacity: int) -> DataFrame:
-    """A10: whether each asked(owner, bytes) fits beside what is used(owner, bytes) and the live of reserved(owner, bytes, state)."""
-    u = used.groupBy("owner").agg(F.sum("bytes").alias("used"))
-    r = reserved.where("state = 'live'").groupBy("owner").agg(F.sum("bytes").alias("reserved"))
-    rows = asked.join(u, "owner", "left").join(r, "owner", "left").na.fill(0, ["used", "reserved"])
-    return rows.select("owner", "bytes", "used", "reserved", (F.col("used") + F.col("reserved") + F.col("bytes") <= capacity).alias("admitted"))
+def admission(used: DataFrame, reserved: DataFrame, asked: DataFrame, capacity: int, largest: int) -> DataFrame:
+    """A10: whether each asked(owner, bytes) fits beside what is used(owner, bytes) and the live of reserved(owner, bytes, state).
+
+    A file above the largest one is refused before anything is counted, as if all were free; a size that is null or not above 0 is
+    refused as invalid. Each request is judged on its own, and remaining is what would be left after it.
+    """
+    u = used.groupBy("owner").agg(F.sum("bytes").alias("in_use"))
+    r = reserved.where("state = 'live'").groupBy("owner").agg(F.sum("bytes").alias("held"))
+    rows = asked.join(u, "owner", "left").join(r, "owner", "left").na.fill(0, ["in_use", "held"])
+    n, taken = F.col("bytes"), F.col("in_use") + F.col("held")
+    valid, small = F.coalesce(n > 0, F.lit(False)), n <= largest
+    fits = valid & small & (taken + n <= capacity)
+    left = F.when(valid & ~small, capacity).when(fits, capacity - taken - n).when(valid, F.greatest(capacity - taken, F.lit(0)))
+    reason = F.when(~valid, "invalid_file_size").when(~small, "file_too_large").when(~fits, "over_capacity")
+    return rows.select("owner", "bytes", F.when(valid & ~small, 0).otherwise(taken).alias("used"), F.lit(capacity).cast("long").alias("capacity"), left.cast("long").alias("remaining"), F.coalesce(fits, F.lit(False)).alias("admitted"), reason.alias("reason"))
