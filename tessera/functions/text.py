@@ -50,9 +50,14 @@ def normalize_text(c: Column) -> Column:
     return js_trim(F.regexp_replace(F.regexp_replace(c, " *\n *", "\n"), "\n{3,}", "\n\n"))
 
 
+def query_line(c: Column) -> Column:
+    """A search text in NFC on one line."""
+    return collapse(F.regexp_replace(nfc(c), r"\p{Cc}", " "))
+
+
 def normalize_query(c: Column) -> Column:
-    """A search text in NFC on one line; null unless 2 to 1000 long with a letter or digit."""
-    out = collapse(F.regexp_replace(nfc(c), r"\p{Cc}", " "))
+    """A search text as query_line has it; null unless 2 to 1000 long with a letter or digit."""
+    out = query_line(c)
     return F.when(F.length(out).between(2, 1000) & out.rlike(r"[\p{L}\p{N}]"), out)
 
 
@@ -176,11 +181,6 @@ def normalized_literal(c: Column) -> Column:
     return F.lower(collapse(nfkc(c)))
 
 
-def diagnostic(category: Column, paths: Column, most: int = 300) -> Column:
-    """A category and at most five issue paths, free of content."""
-    return F.left(F.concat_ws(" ", category, F.concat(F.lit("issues="), F.array_join(F.transform(F.slice(paths, 1, 5), lambda p: scrub(p, r"A-Za-z0-9_.\[\]-", 60)), ","))), F.lit(most))
-
-
 def page_range(start: Column, end: Column) -> Column:
     """`p. 3`, `pp. 3–5`, null without a start."""
     s, e = start.cast("string"), end.cast("string")

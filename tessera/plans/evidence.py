@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import evidence as E
+from ..operators import shapes as S
 from .citations import _FIELDS, _PAPERS, workspace
 from .registry import query, table
 
@@ -98,6 +99,36 @@ def e4_validate_extraction(spark, sf_dir):
     return E.validate_extraction(cited, packet)
 
 
+# Lines of an order as the fields of a model's output, each fault told by what the line holds.
+_OUTPUT = """with recursive n as (select l_orderkey as paper, l_linenumber - 1 as k, cast(min(l_quantity) as integer) as q, min(l_suppkey) as s, min(l_partkey) as p, min(l_tax) as tax, min(l_discount) as d from lineitem group by 1, 2),
+f as (select o_orderkey as paper, cast(k as integer) as k, ['objective', 'methodology', 'dataset', 'findings', 'limitations', 'future_work', 'concepts'][k + 1] as name from orders, range(7) t(k) where exists (select 1 from lineitem where l_orderkey = o_orderkey)),
+i as (select f.paper, f.k, name, unnest(list_filter([
+ case when n.paper is not null and tax = 0.08 then 'fields.' || name || '.state invalid_value' end, case when n.paper is not null and d = 0.1 then 'fields.' || name || '.items invalid_type' end,
+ case when n.paper is not null and d <> 0.1 and q = 1 then 'fields.' || name || '.items.0.text too_small' end, case when n.paper is not null and d <> 0.1 and q > 45 then 'fields.' || name || '.items.0.text too_big' end,
+ case when n.paper is not null and d <> 0.1 and s % 9 > 0 and p % 20 = 0 then 'fields.' || name || '.items.0.evidence_ids.0 invalid_format' end,
+ case when n.paper is not null and d <> 0.1 and s % 9 = 0 then 'fields.' || name || '.items.0.evidence_ids too_small' end, case when n.paper is not null and d <> 0.1 and s % 9 > 5 then 'fields.' || name || '.items.0.evidence_ids too_big' end,
+ case when n.paper is null and f.paper % 37 = 0 then 'fields.' || name || ' custom' end], lambda x: x is not null)) as issue, unnest(range(10)) as z from f left join n on n.paper = f.paper and n.k = f.k),
+j as (select paper, list(issue order by k, z) as xs from i where issue is not null group by 1), g as (select distinct paper from f),
+x as (select g.paper, list_concat(coalesce(xs, []), case when g.paper % 31 = 0 then ['fields unrecognized_keys'] else [] end) as xs from g left join j using (paper)),
+c as (select paper, k, unnest(range(0, s % 9)) as ord from n where s % 9 > 0), b as (select paper, arg_min('field=' || name || ' item=0 unknown_id', (k, ord)) as detail from c join f using (paper, k) where ord + 1 > 1 + paper % 5 group by 1)
+select x.paper as paper_id, case when len(xs) > 0 then 'invalid_output' when detail is not null then 'invalid_citation' end as error,
+ case when len(xs) > 0 then ('schema_validation ' || array_to_string(xs[1:5], ', ') || case when len(xs) > 5 then ' (+' || (len(xs) - 5) || ' more)' else '' end)[1:300] when detail is not null then 'citation ' || detail end as diagnostic from x left join b using (paper)"""
+
+
+@query("e4_output_shapes", _OUTPUT)
+def e4_output_shapes(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("paper_id"), F.col("l_linenumber").alias("n")).agg(F.min("l_quantity").cast("int").alias("q"), F.min("l_suppkey").alias("s"), F.min("l_partkey").alias("p"), F.min("l_tax").alias("tax"), F.min("l_discount").alias("d"))
+    ids = F.transform(F.expr("slice(array(1, 2, 3, 4, 5, 6, 7, 8), 1, cast(s % 9 as int))"), lambda k: F.when((k == 1) & (F.col("p") % 20 == 0), "X1").otherwise(F.concat(F.lit("E"), k.cast("string"))))
+    text = F.when(F.col("q") == 1, " \t").otherwise(F.repeat(F.lit("x"), F.col("q") * 11))
+    one = F.struct(F.when(F.col("tax") == 0.08, "maybe").otherwise("extracted").alias("state"), F.when(F.col("d") != 0.1, F.array(F.struct(text.alias("text"), ids.alias("evidence_ids")))).alias("items"))
+    held = lines.groupBy("paper_id").agg(F.map_from_entries(F.collect_list(F.struct(F.element_at(F.array(*map(F.lit, E.FIELDS)), F.col("n")), F.to_json(one)))).alias("m"))
+    empty = F.when(F.col("paper_id") % 37 == 0, '{"state":"extracted","items":[]}').otherwise('{"items":[],"state":"not_reported"}')
+    fields = F.concat_ws(",", *[F.concat(F.lit(f'"{f}":'), F.coalesce(F.try_element_at("m", F.lit(f)), empty)) for f in reversed(E.FIELDS)], F.when(F.col("paper_id") % 31 == 0, '"extra":1'))
+    outputs = held.select("paper_id", F.concat(F.lit('{"fields":{'), fields, F.lit("}}")).alias("output"))
+    packet = held.select("paper_id", F.explode(F.sequence(F.lit(1), (F.col("paper_id") % 5 + 1).cast("int"))).alias("k")).select("paper_id", F.concat(F.lit("E"), F.col("k").cast("string")).alias("evidence_id"), F.array(*map(F.lit, E.FIELDS)).alias("fields"))
+    return S.checked_extractions(outputs, packet)
+
+
 _VALUES = ['{"items":[{"text":"a"},{"text":"b c"}]}', '{"items":[{"text":" "},{"text":"x"}]}', '{"items":[{"text":5},{"text":"y"}]}', '{"items":"none"}', '["items"]', '{"items":[]}', "not json", '{"items":["z",{"text":"w"}]}']  # noqa: E501
 
 
