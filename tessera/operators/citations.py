@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import UNSAFE, WS, collapse, js_trim, nfkc
+from ..functions.urls import web_address
 
 # Longest texts of the fields, most authors, and the years that count.
 LIMITS = {"title": 500, "container_title": 500, "publisher": 300, "doi": 255, "url": 2048, "volume": 50, "issue": 50, "pages": 100}
@@ -28,19 +29,9 @@ def normalize_doi(plain: Column) -> Column:
 
 
 def normalize_url(plain: Column) -> Column:
-    """A web address with scheme and host in lower case and a path; null for other schemes, credentials and spaces.
-
-    Default ports are left out, and an address that gets too long is null.
-    """
-    url = _cleaned(plain, LIMITS["url"])
-    scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z]+)://", 1))
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z]+://([^/?#]*)", 1))
-    host = F.regexp_replace(host, F.when(scheme == "https", ":443$").otherwise(":80$"), "")
-    rest = F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]*(.*)$", 1)
-    rest = F.when(F.substring(rest, 1, 1) == "/", rest).otherwise(F.concat(F.lit("/"), rest))
-    out = F.concat(scheme, F.lit("://"), host, rest)
-    good = scheme.isin("http", "https") & (host != "") & ~host.contains("@") & ~url.rlike(r"\s") & (F.length(out) <= LIMITS["url"])
-    return F.when(good, out)
+    """A web address in its standard form, see web_address; null for what is none, and for one that gets too long."""
+    out = web_address(_cleaned(plain, LIMITS["url"]))
+    return F.when(F.length(out) <= LIMITS["url"], out)
 
 
 def normalize_metadata(papers: DataFrame) -> DataFrame:

@@ -136,6 +136,11 @@ def ordered(rows: DataFrame, key: str, name: str, *order: Column) -> DataFrame:
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
 
 
+def by_locale(text: Column) -> Column:
+    """K6: a sort key in the order that readers expect: letters before accents, accents before case, whatever the code points."""
+    return F.collate(text, "UNICODE")
+
+
 def custom_rank(value: Column, first: Sequence[str]) -> Column:
     """K7: the place of a value in a fixed order, all others after it."""
     at = F.array_position(F.array(*map(F.lit, first)), value)

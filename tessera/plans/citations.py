@@ -37,6 +37,19 @@ def c1_normalize_metadata(spark, sf_dir):
     return C.normalize_metadata(metadata(spark, sf_dir)).withColumn("authors", F.array_join("authors", "|"))
 
 
+@query("c3_url_form", """select p_partkey as k, case p_partkey % 8 when 0 then 'http://p' || p_partkey || '.example.com/a/' || replace(p_name, ' ', '%20') || '?q=%27' || p_size || '%27' when 1 then 'http://0.0.' || (p_partkey // 256 % 256) || '.' || (p_partkey % 256) || '/' when 2 then case when 65000 + p_partkey % 1000 <= 65535 then 'https://h:' || (65000 + p_partkey % 1000) || '/x/' end
+ when 3 then null when 4 then 'http://xn--bcher-kva.de/%C3%BC#' || replace(p_name, ' ', '%20') when 5 then 'http://[2001:db8::' || lower(printf('%x', (p_partkey % 65000 + 1)::bigint)) || ']/' when 6 then 'https://' || lower(replace(p_brand, '#', '-')) || '/' when 7 then null end as url from part""")
+def c3_url_form(spark, sf_dir):
+    k = F.col("p_partkey")
+    s = lambda c: c.cast("string")
+    raw = (
+        F.when(k % 8 == 0, F.concat(F.lit("HTTP://P"), s(k), F.lit(".Example.COM:80/a/./b/../"), "p_name", F.lit("?q='"), s(F.col("p_size")), F.lit("'")))
+        .when(k % 8 == 1, F.concat(F.lit("http:"), s(k % 65536))).when(k % 8 == 2, F.concat(F.lit("https://h:0"), s(65000 + k % 1000), F.lit("\\y\\..\\x\\"))).when(k % 8 == 3, F.concat(F.lit("https://user@h/"), "p_name"))
+        .when(k % 8 == 4, F.concat(F.lit("http://Bücher.de/ü#"), "p_name")).when(k % 8 == 5, F.concat(F.lit("http://[2001:0DB8:0:0:0:0:0:"), F.hex(k % 65000 + 1), F.lit("]"))).when(k % 8 == 6, F.concat(F.lit("https://"), F.replace("p_brand", F.lit("#"), F.lit("-")), F.lit(":443"))).otherwise(F.concat(F.lit("ftp://"), "p_name"))
+    )
+    return table(spark, sf_dir, "part").select(k.alias("k"), C.normalize_url(raw).alias("url"))
+
+
 @query("c2_doi_c3_url", f"select k as paper_id, doi, url from ({_RAW})")
 def c2_doi_c3_url(spark, sf_dir):
     rows = metadata(spark, sf_dir)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import collaboration as C
+from ..operators import policies as P
 from ..operators import relational as R
 from ..sources import intake as I
 from ..streaming import jobs as J
@@ -298,11 +299,12 @@ def x5_scope(spark, sf_dir):
     return rows.select("k", F.size("ids").cast("long").alias("asked"), F.size(R.in_scope(F.col("ids"), F.col("allowed"))).cast("long").alias("kept"))
 
 
-@query("k4_order", "select o_orderkey, o_orderstatus, o_orderdate, cast(row_number() over (partition by o_custkey order by o_orderstatus, o_orderdate desc, o_orderkey) as integer) as place, cast(row_number() over (partition by o_custkey order by case o_orderpriority when '1-URGENT' then 0 when '2-HIGH' then 1 else 9 end, o_orderkey) as integer) as by_rank, cast(row_number() over (partition by o_custkey order by lower(o_orderpriority), o_orderkey) as integer) as by_name from orders")
+@query("k4_order", "select o_orderkey, o_orderstatus, o_orderdate, cast(row_number() over (partition by o_custkey order by o_orderstatus, o_orderdate desc, o_orderkey) as integer) as place, cast(row_number() over (partition by o_custkey order by case o_orderpriority when '1-URGENT' then 0 when '2-HIGH' then 1 else 9 end, o_orderkey) as integer) as by_rank, cast(row_number() over (partition by o_custkey order by t collate en, o_orderkey) as integer) as by_name from (select *, ['élan ', 'Elan ', 'elan ', 'zebra ', 'Ärger ', 'arger '][o_orderkey % 6 + 1] || o_orderpriority as t from orders)")
 def k4_order(spark, sf_dir):
     rows = R.ordered(table(spark, sf_dir, "orders"), "o_custkey", "place", F.col("o_orderstatus"), F.col("o_orderdate").desc(), F.col("o_orderkey"))
     rows = R.ordered(rows, "o_custkey", "by_rank", R.custom_rank(F.col("o_orderpriority"), ["1-URGENT", "2-HIGH"]), F.col("o_orderkey"))
-    return R.ordered(rows, "o_custkey", "by_name", F.lower("o_orderpriority"), F.col("o_orderkey")).select("o_orderkey", "o_orderstatus", "o_orderdate", "place", "by_rank", "by_name")
+    titled = F.concat(_pick(["élan ", "Elan ", "elan ", "zebra ", "Ärger ", "arger "], F.col("o_orderkey") % 6), "o_orderpriority")
+    return R.ordered(rows, "o_custkey", "by_name", R.by_locale(titled), F.col("o_orderkey")).select("o_orderkey", "o_orderstatus", "o_orderdate", "place", "by_rank", "by_name")
 
 
 @query("k8_best_groups", "with b as (select l_orderkey as k, l_suppkey as g, max(l_quantity) as best from lineitem group by 1, 2), r as (select *, row_number() over (partition by k order by best desc, g) as rank from b) select k, g, best, cast(rank as integer) as rank from r where rank <= 2")
@@ -353,3 +355,37 @@ def vc5_cascade(spark, sf_dir):
     parents = rows.select("source").distinct().where("source % 4 <> 0")
     targets = rows.select("pointer").distinct().where("pointer % 5 <> 0")
     return R.cascaded(rows, parents, "source", targets, "pointer")
+
+
+_WORLD = """with m as (select c_nationkey as project, c_custkey % 40 as person, ['OWNER', 'EDITOR', 'VIEWER'][c_custkey % 3 + 1] as role from customer), p as (select s_suppkey as id, s_suppkey % 40 as person, s_suppkey % 40 || '/' || s_suppkey || '.pdf' as path from supplier),
+l as (select distinct s_nationkey as project, l_suppkey as paper from lineitem join supplier on s_suppkey = l_suppkey where l_suppkey % 3 = 0), a as (select unnest([3, 17, 99]) as actor),
+pr as (select distinct actor, project from a join m on person = actor), ow as (select distinct actor, project from a join m on person = actor and role = 'OWNER'), pe as (select distinct actor, m.person from pr join m using (project)),
+lk as (select distinct actor, paper from pr join l using (project)), pa as (select actor, paper from lk union select actor, id from a join p on person = actor)"""
+
+
+@query("f16_policies", f"""{_WORLD} select actor, 'papers' as name, count(*) as seen from pa group by all union all select actor, 'profiles', count(distinct c_custkey) from a join customer on c_custkey = actor or (actor, c_custkey) in (select (actor, person) from pe) group by all
+ union all select actor, 'paper_chunks', count(*) from pa join lineitem on l_suppkey = paper group by all union all select actor, 'notes', count(*) from pr join orders on o_custkey % 25 = project group by all union all select actor, 'notifications', count(*) from a join events on user_id % 40 = actor group by all
+ union all select actor, 'paper_project_links', count(*) from pr join l using (project) group by all union all select actor, 'project_members', count(*) from pr join m using (project) group by all union all select actor, 'embedding_models', count(*) from a, region group by all
+ union all select actor, 'project_invitations', count(*) from a join customer on (actor, c_nationkey) in (select (actor, project) from ow) or (c_custkey % 60 = actor and c_custkey % 2 = 1) group by all
+ union all select actor, 'objects', count(*) from a join p on p.id % 5 > 0 and (person = actor or (actor, id) in (select (actor, paper) from lk)) group by all union all select actor, 'research_projects', count(*) from a join nation on n_nationkey = actor or (actor, n_nationkey) in (select (actor, project) from pr) group by all""")
+def f16_policies(spark, sf_dir):
+    """How many rows of each table three people may read: two members of several projects, and one of none."""
+    t = lambda n: table(spark, sf_dir, n)
+    c, s, k = t("customer"), t("supplier"), F.col("c_custkey")
+    person = F.col("s_suppkey") % 40
+    links = t("lineitem").where("l_suppkey % 3 = 0").join(s, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_nationkey").alias("project_id"), F.col("l_suppkey").alias("paper_id")).distinct()
+    path = F.concat(person.cast("string"), F.lit("/"), F.col("s_suppkey").cast("string"), F.lit(".pdf"))
+    tables = {
+        "project_members": c.select(F.col("c_nationkey").alias("project_id"), (k % 40).alias("user_id"), _pick(["OWNER", "EDITOR", "VIEWER"], k % 3).alias("role")), "paper_project_links": links,
+        "papers": s.select(F.col("s_suppkey").alias("id"), person.alias("user_id"), path.alias("storage_path")), "profiles": c.select(k.alias("id")), "paper_chunks": t("lineitem").select(F.col("l_suppkey").alias("paper_id"), "l_linenumber"),
+        "notes": t("orders").select((F.col("o_custkey") % 25).alias("project_id"), "o_orderkey"), "notifications": t("events").select((F.col("user_id") % 40).alias("recipient_id"), "event_id"), "embedding_models": t("region"),
+        "project_invitations": c.select(F.col("c_nationkey").alias("project_id"), F.concat(F.lit("p"), (k % 60).cast("string"), F.lit("@x.org")).alias("recipient_email"), F.when(k % 2 == 1, "pending").alias("status")),
+        "objects": s.select(F.when(F.col("s_suppkey") % 5 > 0, "papers").alias("bucket_id"), path.alias("name")), "research_projects": t("nation").select(F.col("n_nationkey").alias("id"), F.col("n_nationkey").alias("user_id")),
+    }
+    out = None
+    for actor in (3, 17, 99):
+        reader = P.Reader(tables, actor, f"P{actor}@X.org")
+        for name in tables:
+            one = reader.read(name).agg(F.count("*").alias("seen")).where("seen > 0").select(F.lit(actor).alias("actor"), F.lit(name).alias("name"), "seen")
+            out = one if out is None else out.unionByName(one)
+    return out
