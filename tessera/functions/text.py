@@ -22,9 +22,15 @@ UNSAFE = r"[\p{Cc}\p{Cf}&&[^\t\n]]"
 def _normal(form: str):
     @F.pandas_udf(StringType())
     def normalised(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize(form, t))
+        return texts.map(lambda t: t if t is None else unicodedata.normalize(form, t))
 
-    return normalised
+    def apply(c: Column | str) -> Column:
+        """Only texts with more than ASCII are sent to Python; what is ASCII is normal as it is."""
+        c = F.col(c) if isinstance(c, str) else c
+        odd = c.rlike(r"[^\x00-\x7F]")
+        return F.when(odd, normalised(F.when(odd, c))).otherwise(c)
+
+    return apply
 
 
 nfc, nfkc, nfkd = _normal("NFC"), _normal("NFKC"), _normal("NFKD")
