@@ -42,7 +42,36 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"))
 
 
-@query("op7_jaccard_join")
+_REACHED = """
+r as (select a as node, a as seen from g union select r.node, g.b from r join g on g.a = r.seen), m as (select node, min(seen) as component from r group by 1)"""
+
+_JACCARD_SQL = f"""
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as ws from documents
+), k as (
+  select doc_id, ws, array_to_string(ws, ' ') as key from w where len(ws) > 0
+), c as (
+  select key, min(doc_id) as class_id, count(distinct doc_id) as copies, any_value(ws) as ws from k group by key
+), h as (
+  select class_id, unnest(list_distinct(case when len(ws) < 5 then [key] else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) end)) as shingle from c
+), n as (
+  select class_id, count(*) as size from h group by 1
+), p as (
+  select x.class_id as a, y.class_id as b, count(*) as common from h x join h y on x.shingle = y.shingle and x.class_id < y.class_id group by 1, 2
+), e as (
+  select a, b from p join n x on x.class_id = a join n y on y.class_id = b where common >= 0.8 * (x.size + y.size - common)
+), g as (
+  select a, b from e union all select b, a from e
+), {_REACHED}, l as (
+  select g.a as class_id, sum(copies) as links from g join c on c.class_id = g.b group by 1
+)
+select d.doc_id, coalesce(c.class_id, d.doc_id) as class_id, coalesce(copies, 1)::bigint as n_copies, coalesce(copies - 1 + coalesce(links, 0), 0)::bigint as n_links,
+  coalesce(component, c.class_id, d.doc_id) as component_id, d.doc_id = coalesce(component, c.class_id, d.doc_id) as kept
+from documents d left join k using (doc_id) left join c using (key) left join l on l.class_id = c.class_id left join m on m.node = c.class_id
+"""
+
+
+@query("op7_jaccard_join", _JACCARD_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -75,12 +104,40 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(measured.withColumn("held_out", held_out), rules, intercept).select("doc_id", "held_out", "score", "predicted")
 
 
-@query("op8_embedding_dedup")
+_VECTORS_SQL = f"""
+with recursive v as (
+  select vec_id, label, list_transform(embedding, lambda x: x::double) as x from embeddings
+  where label is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), u as (
+  select vec_id, label, x, sqrt(list_dot_product(x, x)) as length from v
+), g as (
+  select p.vec_id as a, q.vec_id as b from u p join u q on p.label = q.label and p.vec_id <> q.vec_id and list_dot_product(p.x, q.x) / (p.length * q.length) >= 0.98
+), {_REACHED}, l as (
+  select a, count(*) as links from g group by 1
+)
+select vec_id, coalesce(links, 0)::bigint as n_links, coalesce(component, vec_id) as component_id, vec_id = coalesce(component, vec_id) as kept
+from embeddings left join l on l.a = vec_id left join m on m.node = vec_id
+"""
+
+
+@query("op8_embedding_dedup", _VECTORS_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-@query("op1_chat_format")
+_CHAT_SQL = """
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as t from conversations
+  union all select -1, k, r, '<|im_end|><|im_start|>assistant ok' from (values (0, 'user'), (1, 'assistant')) x(k, r)
+)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' order by turn)) as turns_sha256,
+  coalesce(sum(length(t)) filter (where role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(t, '' order by turn) filter (where role = 'assistant'), '')) as loss_sha256,
+  sum(24 + length(role) + len(regexp_extract_all(role, '[\\\\\\n|]')) + length(t) + len(regexp_extract_all(t, '<\\\\*\\|')))::bigint as formatted_chars
+from c group by conv_id
+"""
+
+
+@query("op1_chat_format", _CHAT_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
