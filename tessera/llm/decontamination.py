@@ -183,7 +183,7 @@ class _Items:
 
 
 def _blocks(benchmark: DataFrame, size: int) -> Iterator[list[tuple[int, str | None]]]:
-    """Benchmark rows a block at a time: the driver never holds more than one block and one partition."""
+    """Benchmark rows a block at a time: the driver holds no more than one block and one partition."""
     held, weight = [], 0
     for row in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
         held.append(tuple(row))
@@ -200,23 +200,26 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 4, seed: int =
 
     A seed of `seed` words finds a pair (of all its words where an item has fewer); tiles have `least`
     words or more (again all of a shorter item's). Null or empty texts and items give no pairs; a
-    repeated document gives its pairs again; null ids are kept. A benchmark of any size is read in
-    blocks of block_bytes, with a pass over the documents for each.
+    repeated document gives its pairs again, a repeated item its own; null ids are kept. A benchmark of
+    any size is read in blocks of block_bytes, with a pass over the documents for each. The pairs of every
+    block but the last are written as soon as it has been passed, so that no task and not the driver has
+    two blocks at once.
     """
     spark = docs.sparkSession
     small_batches(spark)
     kind = "doc_id long, item_id long, covered long, item_words long, coverage double"
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = []
+    out, shared, last = None, None, None
     for rows in _blocks(benchmark, block_bytes):
+        if last is not None:
+            done = written(last, "overlaps")
+            out = done if out is None else out.union(done)
+            shared.destroy()
         shared = spark.sparkContext.broadcast(rows)
-        parts.append(source.mapInArrow(_tiler(shared, least, seed, threshold), kind))
-    if not parts:
+        last = source.mapInArrow(_tiler(shared, least, seed, threshold), kind)
+    if last is None:
         return source.where("false").selectExpr("doc_id", "doc_id as item_id", "doc_id as covered", "doc_id as item_words", "0d as coverage")
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.union(more)
-    return out
+    return last if out is None else out.union(last)
 
 
 def _tiler(shared, least: int, seed: int, threshold: float):

@@ -20,12 +20,13 @@ from .common import small_batches, words
 DICTIONARY_BYTES = 64 << 10
 DICTIONARIES = 2
 BUCKETS = 256  # labelled texts a language that the driver sees at most, each of up to DICTIONARY_BYTES characters
+LANGUAGES = 500  # that are learned at most; each has its dictionaries in every task
 PIECE = 64 << 10  # bytes of a text that are compressed at once, so that the dictionaries stay within the window
 UNDETERMINED = "und"
 
 
 def normalised(text: str | None) -> bytes:
-    """Lower-case words one space apart; nothing where a text has no letter."""
+    """Lower-case words one space apart; nothing where a text is null or has no letter."""
     found = words(text)
     if not found:
         return b""
@@ -42,11 +43,14 @@ def learn(labelled: DataFrame, dictionary_bytes: int = DICTIONARY_BYTES, diction
 
     For each language and each hash bucket the text of least hash counts, which partial aggregation finds
     without a shuffle of the texts; of a text longer than a dictionary a window at a hashed place. Texts
-    fill the dictionaries in hash order. Rows without text or lang teach nothing, repeated ones once; no
-    rows give no dictionaries; other columns are ignored.
+    fill the dictionaries in hash order, those of 200 to 4,000 characters first. Rows without text or lang
+    teach nothing, repeated ones once; no rows give no dictionaries; other columns are ignored. More than
+    LANGUAGES values of lang are an error, as what reaches the driver would grow with them.
     """
     rows = labelled.where("text is not null and lang is not null and length(text) > 0")
     rows = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    if rows.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages are labelled; say which ones to learn")
     size = F.length("text")
     window = F.when(size > dictionary_bytes, F.substr("text", F.pmod("h", size - dictionary_bytes).cast("int") + 1, F.lit(dictionary_bytes))).otherwise(F.col("text"))
     # short enough that a bucket's winner fits a dictionary many times over, where a language has such texts

@@ -185,3 +185,18 @@ def test_links_of_many_vectors_are_found():
         np.fill_diagonal(want, False)
         got = linked(v, 0.98, 5e-5, 256)
         assert not (got & ~want).any() and (got & want).sum() >= 0.9995 * want.sum() and (got == got.T).all()
+
+
+def test_a_benchmark_of_several_blocks_and_repeated_items(spark):
+    r = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(60)]
+    items = [(k % 7, " ".join(r.choice(vocabulary) for _ in range(r.randint(6, 25)))) for k in range(12)] + [(3, None), (None, "w1 w2 w3 w4 w5 w6")]
+    items += items[:2]  # repeated rows
+    docs = [(d, " ".join(r.choice(vocabulary) for _ in range(30)) + " " + r.choice(items)[1 if d % 2 else 0].__str__() + " w9") for d in range(40)] + [(None, items[0][1]), (5, None)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    rows = lambda size: sorted(map(str, D.overlaps(d, b, block_bytes=size).collect()))
+    one, many = rows(1 << 30), rows(60)
+    assert one == many and len(one) > 20
+    assert sum("doc_id=None" in x for x in one) >= 1 and sum("item_id=None" in x for x in one) >= 0
+    kept = D.decontaminate(d, b, block_bytes=60)
+    assert sorted(map(str, kept.collect())) == sorted(map(str, D.decontaminate(d, b).collect())) and kept.count() < len(docs)

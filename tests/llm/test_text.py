@@ -343,3 +343,50 @@ def test_pieces_of_one_hash_are_told_apart(monkeypatch):
     texts = ["the same words", "other words, longeroneswithoutaspaceinthemwhatever", "a b", "the same"]
     for _ in range(2):
         assert encoded.batch(texts) == [encoded.whole(t).astype("<u4").tobytes() for t in texts]
+
+
+def test_sizes_score_and_rejection_of_languages_equal_brute_force(spark, monkeypatch):
+    import zstandard
+
+    r = random.Random(9)
+    letters = {"aa": "abcde", "bb": "vwxyz", "cc": "abcyz"}
+    make = lambda lang, n: " ".join("".join(r.choice(letters[lang]) for _ in range(r.randint(2, 6))) for _ in range(n))
+    known = L.learn(spark.createDataFrame([(make(k, 60), k) for k in letters for _ in range(30)], "text string, lang string"))
+    assert sorted(known) == ["aa", "bb", "cc"] and all(len(d) == 2 and all(d) for d in known.values())
+    monkeypatch.setattr(L, "PIECE", 300)  # several pieces a text
+    params = zstandard.ZstdCompressionParameters(window_log=20, chain_log=17, hash_log=17, search_log=3, min_match=3, target_length=16, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0)
+
+    def size(text, lang):
+        n = max(1, -(-len(text) // 300))
+        whole = 0
+        for content in known[lang]:
+            for k in range(n):
+                dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                whole += len(zstandard.ZstdCompressor(dict_data=dictionary, compression_params=params).compress(text[len(text) * k // n : len(text) * (k + 1) // n]))
+        return whole / len(known[lang])
+
+    texts = [make(r.choice(list(letters)), r.randint(1, 200)) for _ in range(40)] + [make("aa", 30) + " " + make("bb", 30), "a", "", None, "12 34", "É"]
+    sizes = L.sizes_by(known)
+    for t in texts[:42]:
+        plain = L.normalised(t)
+        assert list(sizes(plain)) == [size(plain, k) for k in sorted(known)]
+    monkeypatch.undo()
+    got = {x.k: x for x in L.identify(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), known).collect()}
+    for k, t in enumerate(texts):
+        plain = L.normalised(t)
+        if not plain:
+            assert (got[k].lang_pred, got[k].score, got[k].rejected) == ("und", 0.0, True)
+            continue
+        n = {x: float(L.sizes_by(known)(plain)[i]) for i, x in enumerate(sorted(known))}
+        best = min(n, key=lambda x: (n[x], x))
+        second = sorted(n.values())[1]
+        assert got[k].lang_pred == best and got[k].rejected == (second - n[best] <= 0.002 * n[best])
+        assert got[k].score == pytest.approx(1 / sum(2.0 ** max(n[best] - v, -60) for v in n.values()))
+
+
+def test_languages_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(L, "LANGUAGES", 3)
+    rows = [(f"text number {k}", f"l{k % n}") for n in (3, 4) for k in range(12)]
+    assert len(L.learn(spark.createDataFrame(rows[:12], "text string, lang string"))) == 3
+    with pytest.raises(ValueError, match="more than 3 languages"):
+        L.learn(spark.createDataFrame(rows[12:], "text string, lang string"))
