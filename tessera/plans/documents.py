@@ -206,6 +206,72 @@ def d9_chunks(spark, sf_dir):
     return D.chunks(rows).select("paper_id", "chunk_index", "char_start", "char_end", F.sha2("text", 256).alias("content_hash"))
 
 
+_TITLES = ["Introduction", "Methods", "Results", "Discussion", "Conclusion"]
+_VARIED = """with h as (select o_orderkey as k, unnest(range(5)) as i from orders), c as (select k, i, row_number() over (partition by k order by i) as n, 1 + ((k >> i) & 1) + (k + i) % 2 as pages from h where ((k % 31 + 1) >> i) & 1 = 1),
+s as (select *, coalesce(sum(pages) over (partition by k order by n rows between unbounded preceding and 1 preceding), 0) + 1 as first, sum(pages) over (partition by k order by n) + 1 as next, count(*) over (partition by k) as m from c)"""
+
+
+def varied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """papers(paper_id, pages): a choice of numbered sections, each over one to three pages, all under a header and over a footer.
+
+    Numbers are arabic or roman; a section that goes on repeats its heading as a running header on every third paper. A page is null, and another blank.
+    """
+    k = F.col("k")
+    chosen = F.filter(F.sequence(F.lit(0), F.lit(4)), lambda i: F.getbit(k % 31 + 1, i) == 1)
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).withColumn("chosen", chosen)
+    number = lambda n: F.when(k % 2 == 0, n.cast("string")).otherwise(F.element_at(F.array(*map(F.lit, ["I", "II", "III", "IV", "V"])), n))
+    title = lambda i, n: F.concat(number(n), F.lit(". "), F.element_at(F.array(*map(F.lit, _TITLES)), i + 1))
+    pages = lambda i: (1 + F.getbit(k, i) + (k + i) % 2).cast("int")
+    each = F.flatten(F.transform("chosen", lambda i, at: F.transform(F.sequence(F.lit(1), pages(i)), lambda p: F.when((p == 1) | (k % 3 == 0), F.concat(title(i, at + 1), F.lit("\n"))).otherwise(""))))
+    text = lambda lead, p: F.concat(F.lit("Journal of Tests, vol. "), (k % 9).cast("string"), F.lit("\n"), lead, F.lit("Plain words of page number "), (p + 1).cast("string"), F.lit(" say little.\nMore words of it follow here, in lower case.\nPage "), (p + 1).cast("string"))
+    paged = F.transform(each, lambda lead, p: F.struct((p + 1).alias("pageNumber"), text(lead, p).alias("text")))
+    odd = F.array(F.struct(F.lit(90).alias("pageNumber"), F.lit(None).cast("string").alias("text")), F.struct(F.lit(91).alias("pageNumber"), F.lit(" \n ").alias("text")))
+    return rows.select(k.cast("string").alias("paper_id"), F.concat(odd, F.reverse(paged)).alias("pages"))
+
+
+@query("d7_varied_sections", f"""{_VARIED}, l as (select k, max(next) - 1 as last from s group by 1)
+select cast(k as varchar) as paper_id, cast(0 as integer) as position, 'Front matter' as title, 'other' as section_type, 1 as page_start, 1 as page_end from l
+union all select cast(k as varchar), cast(n as integer), case when k % 2 = 0 then cast(n as varchar) else ['I', 'II', 'III', 'IV', 'V'][n] end || '. ' || {_sql_list(_TITLES)}[i + 1], lower({_sql_list(_TITLES)}[i + 1]), cast(first as integer), cast(case when n = m then last else next end as integer) from s join l using (k)""")
+def d7_varied_sections(spark, sf_dir):
+    return D.sections(D.normalized(varied(spark, sf_dir))).select("paper_id", "position", "title", "section_type", "page_start", "page_end")
+
+
+# Lines of an order as ragged rows, parted into two runs by the line whose quantity is the least; a run of three or more is a table.
+_RAGGED = """with l as (select l_orderkey as k, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as n, l_linenumber as line, l_partkey as p, cast(l_quantity as integer) as q from lineitem),
+g as (select *, count(*) filter (where q % 5 = 0) over (partition by k order by n) as run from l), c as (select k, run, n, p, 2 + p % 3 as width from g where q % 5 <> 0), r as (select k, run, min(n) as a, count(*) as size, arg_min(p, n) as p, arg_min(width, n) as head from c group by 1, 2 having count(*) >= 3),
+w as (select k, run, width, count(*) as n from c group by 1, 2, 3), m as (select k, run, max(n) as n from w group by 1, 2)"""
+
+
+@query("d11_ragged_tables", f"""{_RAGGED} select cast(k as varchar) as paper_id, cast(row_number() over (partition by k order by a) - 1 as integer) as table_index, 1 as page, case when run > 0 then 'Break ' || run when k % 2 = 0 then 'Table of ' || k end as caption, array_to_string(list_transform(range(head), lambda z: 'c' || (p + z)), '|') as headers, cast(size - 1 as integer) as n_rows, round(n / size, 2) as confidence from r join m using (k, run)""")
+def d11_ragged_tables(spark, sf_dir):
+    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.col("l_quantity").cast("int").alias("q"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(order)).alias("xs"))
+    cells = lambda x: F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), 1 + x["l_partkey"] % 3), lambda z: F.concat(F.lit("c"), (x["l_partkey"] + z).cast("string"))), " \t")
+    told = F.transform("xs", lambda x, i: F.when(x["q"] % 5 == 0, F.concat(F.lit("\nBreak "), F.size(F.filter(F.slice("xs", 1, i + 1), lambda y: y["q"] % 5 == 0)).cast("string"), F.lit("\n"))).otherwise(cells(x)))
+    lead = F.when(F.col("k") % 2 == 0, F.concat(F.lit("Table of "), F.col("k").cast("string"))).otherwise(F.repeat(F.lit("long "), 50))
+    page = F.struct(F.lit(1).alias("pageNumber"), F.array_join(F.concat(F.array(lead), told), "\n").alias("text"))
+    found = D.tables(rows.select(F.col("k").cast("string").alias("paper_id"), F.array(page).alias("pages")))
+    return found.select("paper_id", "table_index", "page", "caption", F.array_join("headers", "|").alias("headers"), F.size("rows").alias("n_rows"), "confidence")
+
+
+# Paragraphs of known lengths, some longer than a chunk and so cut in their three sentences; the longest runs of units are followed by pointers.
+_UNITS = """l as (select l_orderkey as paper, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as place, cast(l_quantity as integer) as q from lineitem),
+p as (select *, case when q > 40 then 3 * q * 6 + 2 else q * 8 end as size from l), o as (select *, sum(size + 2) over (partition by paper order by place) - size - 2 as pos from p),
+u as (select paper, row_number() over (partition by paper order by place, z) as k, pos + z * (q * 6 + 1) as s, pos + z * (q * 6 + 1) + q * 6 as e from o, range(3) r(z) where q > 40),
+w as (select paper, place, pos, pos + size as e from o where q <= 40), v as (select paper, row_number() over (partition by paper order by s) as k, cast(s as bigint) as s, cast(e as bigint) as e from (select paper, s, e from u union all select paper, pos, e from w)),
+j as (select a.paper, a.k as i, a.s, max(b.k) as j from v a join v b on b.paper = a.paper and b.k >= a.k and (b.k = a.k or b.e - a.s <= 600) group by 1, 2, 3), x as (select j.*, v.e from j join v on v.paper = j.paper and v.k = j.j),
+y as (select x.paper, x.i, x.s, x.j, x.e, coalesce(min(v.k), x.j + 1) as next from x left join v on v.paper = x.paper and v.k > x.i and v.k <= x.j and x.e - v.s <= 250 group by 1, 2, 3, 4, 5), m as (select paper, max(k) as last from v group by 1)"""
+
+
+@query("d9_packing", f"with recursive {_UNITS}, c as (select y.*, 0 as n from y where i = 1 union all select y.*, c.n + 1 from c join m using (paper) join y on y.paper = c.paper and y.i = c.next where c.j < m.last) select cast(paper as varchar) as paper_id, n as chunk_index, s as char_start, e as char_end, cast(e - s as integer) as char_count from c")
+def d9_packing(spark, sf_dir):
+    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.col("l_quantity").cast("int").alias("q"))
+    one = lambda q: F.concat(F.lit("S"), F.repeat(F.lit("x"), q * 6 - 2), F.lit("."))
+    said = lambda x: F.when(x["q"] > 40, F.concat_ws(" ", one(x["q"]), one(x["q"]), one(x["q"]))).otherwise(F.repeat(F.lit("y"), x["q"] * 8))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("paper_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), said), "\n\n").alias("text"))
+    return D.chunks(rows.withColumns({"position": F.lit(0), "char_start": F.lit(0)}), 600, 250).select("paper_id", "chunk_index", "char_start", "char_end", "char_count")
+
+
 @query("d19_page_ranges", "select o_orderkey, case when o_orderkey % 3 = 0 then 'p. ' || o_orderkey else 'pp. ' || o_orderkey || '–' || (o_orderkey + o_orderkey % 3) end as pages, case when o_orderkey % 3 = 0 then cast(o_orderkey as varchar) else o_orderkey || '-' || (o_orderkey + o_orderkey % 3) end as prompt_pages from orders")
 def d19_page_ranges(spark, sf_dir):
     start, end = F.col("o_orderkey"), F.col("o_orderkey") + F.col("o_orderkey") % 3

@@ -282,7 +282,21 @@ def a10_admission(spark, sf_dir):
     return J.admission(used, kept, asked, 6000, 5000)
 
 
-@query("st2_job_replay")
+# The step of a job as cases over its last state; s is stale, b told by the event before.
+_REPLAY = """with recursive e as (select event_id % 97 as job, event_id as seq, cast(event_id // 97 as double) as ts, ['request', 'claim', 'store', 'retry', 'claim', 'store', 'complete'][(event_id // 97) % 7 + 1] as action, 't' || (event_id // 291) as given, row_number() over (partition by event_id % 97 order by event_id) as k from events),
+r as (select distinct job, cast(0 as bigint) as k, cast(0 as bigint) as seq, '' as outcome, 'none' as status, 0 as attempts, cast(null as varchar) as token, 0.0::double as updated, 0.0::double as ready, 0 as stored, false as known from e
+ union all select job, k, seq, outcome, case outcome when 'requested' then 'queued' when 'retried' then 'queued' when 'claimed' then 'running' when 'completed' then 'complete' when 'failed' then 'failed' when 'expired' then 'failed' else status end,
+  case outcome when 'requested' then 0 when 'claimed' then attempts + 1 else attempts end, case when outcome = 'claimed' then given when outcome in ('requested', 'retried', 'completed', 'failed', 'expired') then null else token end,
+  case when outcome in ('requested', 'claimed', 'stored', 'completed', 'retried', 'failed', 'expired') then ts else updated end, case outcome when 'requested' then ts when 'retried' then ts + 60 else ready end,
+  case outcome when 'requested' then 0 when 'stored' then stored + 1 else stored end, known or outcome = 'requested'
+ from (select *, case action when 'request' then case when known and (status = 'complete' or (status in ('queued', 'running') and not s)) then 'unchanged' else 'requested' end
+   when 'claim' then case when s and attempts >= 3 then 'expired' when s or (status = 'queued' and ready <= ts and attempts < 3) then 'claimed' else 'not_eligible' end
+   else case when status <> 'running' or token is null or given <> token then 'lost' when action = 'store' then 'stored' when action = 'complete' then case when stored <> 1 then 'incomplete' else 'completed' end when attempts < 3 then 'retried' else 'failed' end end as outcome
+  from (select e.job, e.k, e.seq, e.ts, e.action, e.given, r.status, r.attempts, r.token, r.updated, r.ready, r.stored, r.known, r.status = 'running' and r.updated < e.ts - 900 as s from r join e on e.job = r.job and e.k = r.k + 1)))
+select cast(job as varchar) as job, seq, outcome, status, attempts::bigint as attempts, stored::bigint as stored from r where k > 0"""
+
+
+@query("st2_job_replay", _REPLAY)
 def st2_job_replay(spark, sf_dir):
     n = F.col("event_id")
     actions = ["request", "claim", "store", "retry", "claim", "store", "complete"]
