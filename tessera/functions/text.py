@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+# The white space of ECMAScript.
+_SPACES = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 WS = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 BEFORE, AFTER = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 UNSAFE = r"[\p{Cc}\p{Cf}&&[^\t\n]]"
@@ -36,8 +38,13 @@ def _normal(form: str):
 nfc, nfkc, nfkd = _normal("NFC"), _normal("NFKC"), _normal("NFKD")
 
 
+def _without_controls(normal, c: Column) -> Column:
+    """Normal text without what UNSAFE names; plain ASCII is told by one quick look."""
+    return F.when(c.rlike(r"[^\x20-\x7E\t\n]"), F.regexp_replace(normal(c), UNSAFE, "")).otherwise(c)
+
+
 def js_trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def collapse(c: Column) -> Column:
@@ -100,7 +107,7 @@ def normalize_title(c: Column) -> Column:
 
 def sanitize_evidence(c: Column) -> Column:
     """No controls, no text in the shape of a citation marker."""
-    return F.regexp_replace(F.regexp_replace(nfc(c), UNSAFE, ""), rf"(?i)\[{WS}*S{WS}*[0-9]+(?:{WS}*[,;]{WS}*S?{WS}*[0-9]+)*{WS}*\]", "[citation removed]")
+    return F.regexp_replace(_without_controls(nfc, c), rf"(?i)\[{WS}*S{WS}*[0-9]+(?:{WS}*[,;]{WS}*S?{WS}*[0-9]+)*{WS}*\]", "[citation removed]")
 
 
 def paper_text(c: Column) -> Column:
@@ -112,7 +119,7 @@ def paper_text(c: Column) -> Column:
 
 def sanitize_writer(c: Column) -> Column:
     """NFKC, no controls, writer ids or delimiters."""
-    c = F.regexp_replace(F.regexp_replace(nfkc(c), UNSAFE, ""), rf"(?i){BEFORE}W{WS}*[0-9]{{1,6}}{AFTER}", "[writer citation removed]")
+    c = F.regexp_replace(_without_controls(nfkc, c), rf"(?i){BEFORE}W{WS}*[0-9]{{1,6}}{AFTER}", "[writer citation removed]")
     return F.regexp_replace(c, "<{3,}|>{3,}|`{3,}", "[delimiter removed]")
 
 

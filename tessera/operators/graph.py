@@ -6,6 +6,8 @@ the rest is joins and groupings on them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,13 +68,17 @@ def _tokens(parts: Column) -> Column:
     return F.transform(found, told)
 
 
+def _bound(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), where x is worked out once however often it stands in use."""
+    return F.element_at(F.transform(F.array(x), use), 1)
+
+
 def _windows(tokens: Column, n: int) -> Column:
-    """Runs of n tokens that may be a term, as struct(start, key, phrase, words)."""
+    """Runs of n tokens that may be a term, as struct(key, start, words, phrase)."""
     count = F.size(tokens)
     starts = F.when(count >= n, F.sequence(F.lit(1), F.greatest(count - n + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
 
-    def made(i: Column) -> Column:
-        run = F.slice(tokens, i, n)
+    def told(run: Column, i: Column) -> Column:
         first, last = F.get(run, F.lit(0)), F.get(run, F.lit(n - 1))
         edge = ~first["stop"] & ~first["generic"] & ~first["number"] & first["long"] & ~last["stop"] & ~last["generic"] & (last["number"] | last["long"])
         joined = ~F.exists(F.slice(run, 2, n), lambda t: t["breaks"]) if n > 1 else F.lit(True)
@@ -80,9 +86,11 @@ def _windows(tokens: Column, n: int) -> Column:
         said = F.exists(run, lambda t: ~t["stop"] & ~t["generic"] & ~t["weak"] & ~t["number"] & t["long"])
         alone = first["name"] if n == 1 else F.lit(True)
         phrase = F.concat(first["text"], F.array_join(F.transform(F.slice(run, 2, max(n - 1, 0)), lambda t: F.concat(t["gap"], t["text"])), ""))
-        return F.struct(i.alias("start"), F.array_join(F.transform(run, lambda t: t["norm"]), " ").alias("key"), phrase.alias("phrase"), F.lit(n).alias("words"), (edge & joined & inner & said & alone).alias("good"))
+        good = edge & joined & inner & said & alone
+        term = F.struct(F.array_join(F.transform(run, lambda t: t["norm"]), " ").alias("key"), i.alias("start"), F.lit(n).alias("words"), phrase.alias("phrase"))
+        return F.when(good, term)  # nothing is put together for a run that is none
 
-    return F.filter(F.transform(starts, made), lambda w: w["good"])
+    return F.filter(F.transform(starts, lambda i: _bound(F.slice(tokens, i, n), lambda run: told(run, i))), lambda w: w.isNotNull())
 
 
 def candidates(claims: DataFrame, text: str = "text") -> DataFrame:
@@ -93,10 +101,8 @@ def candidates(claims: DataFrame, text: str = "text") -> DataFrame:
     """
     rows = claims.withColumn("claim_text", canonical_text(F.col(text))).withColumn("claim_parts", F.regexp_extract_all("claim_text", F.lit(_PARTS), F.lit(0)))
     rows = rows.withColumn("claim_tokens", _tokens(F.col("claim_parts")))
-    every = F.array_sort(F.concat(*[_windows(F.col("claim_tokens"), n) for n in range(1, MOST_WORDS + 1)]), lambda a, b: F.when(a["start"] == b["start"], a["words"] - b["words"]).otherwise(a["start"] - b["start"]))
-    rows = rows.withColumn("claim_terms", every)
-    keys = F.transform("claim_terms", lambda w: w["key"])
-    first = F.filter("claim_terms", lambda w, i: F.array_position(keys, w["key"]) == i + 1)
+    every = F.array_sort(F.concat(*[_windows(F.col("claim_tokens"), n) for n in range(1, MOST_WORDS + 1)]))  # by key, then by place
+    first = _bound(every, lambda terms: F.filter(terms, lambda w, i: (i == 0) | (F.get(terms, i - 1)["key"] != w["key"])))
     return rows.select(*claims.columns, F.explode(first).alias("w")).select(*claims.columns, "w.key", "w.phrase", "w.words")
 
 
