@@ -78,7 +78,11 @@ def replay(events: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def stream(events: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The same of a streaming DataFrame: state by job, kept by Spark's state store; events of a batch are taken in order of seq."""
+    """The same of a streaming DataFrame: state by job, kept by Spark's state store.
+
+    Events of a batch are taken in order of seq; one that comes in a later batch than it should is applied when it comes. Where late
+    events must change nothing, or leases must end by themselves, leases.lease_stream does so.
+    """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
         state = tuple(held.get) if held.exists else _EMPTY
