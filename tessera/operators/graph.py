@@ -112,10 +112,14 @@ def shared_terms(terms: DataFrame, least: int = 2) -> DataFrame:
     The label is the commonest wording, the longer, then the lesser of equals. A term is not kept where a longer one
     that contains it has the same claims; only sub-phrases of shared terms are looked up.
     """
-    claim = F.struct(F.col("paper_id").cast("string").alias("paper"), F.col("item").cast("long").alias("item"))
-    papers = terms.groupBy("kind", "key").agg(F.countDistinct("paper_id").alias("papers"), F.array_sort(F.collect_set(claim)).alias("claim_set")).where(F.col("papers") >= least)
+    claim = ["paper", "item"]
+    each = terms.select("kind", "key", F.col("paper_id").cast("string").alias("paper"), F.col("item").cast("long").alias("item")).distinct()
+    # sets of claims are told apart by their size and 128 bits, so that a common term is one short row
+    of_paper = each.groupBy("kind", "key", "paper").agg(F.count("*").alias("n"), F.sum(F.xxhash64(*claim).cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.lit("claim"), *claim)).alias("xor"))
+    same = F.struct(F.sum("n").alias("n"), F.sum("sum").cast("string").alias("sum"), F.bit_xor("xor").alias("xor"))
+    papers = of_paper.groupBy("kind", "key").agg(F.count("paper").alias("papers"), same.alias("claim_set")).where(F.col("papers") >= least)
     forms = terms.groupBy("kind", "key", "phrase").agg(F.count("*").alias("n")).groupBy("kind", "key").agg(F.min(F.struct((-F.col("n")).alias("n"), (-F.length("phrase")).alias("l"), "phrase")).alias("best"))
-    shared = papers.join(forms, ["kind", "key"]).select("kind", "key", F.col("best.phrase").alias("label"), "papers", F.size("claim_set").alias("claims"), F.xxhash64("claim_set").alias("claim_hash"), "claim_set")
+    shared = papers.join(forms, ["kind", "key"]).select("kind", "key", F.col("best.phrase").alias("label"), "papers", F.col("claim_set.n").cast("int").alias("claims"), "claim_set")
     words = F.split("key", " ")
     n = F.size(words)
     parts = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda size: F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.array_join(F.slice(words, i, size), " "))))

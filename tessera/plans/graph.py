@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..session import held
 from .registry import query, table
 
 _KINDS = ["concept", "methodology", "dataset"]
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """part as claims(kind, paper_id, item, text) with names, function words and clause marks."""
+    """part as claims(kind, paper_id, item, text) with names, function words and clause marks; a small file of many rows is dealt over the tasks."""
     k = F.col("p_partkey")
     text = F.concat(F.lit("The "), "p_name", F.when(k % 2 == 0, " of ").otherwise(", and "), F.initcap("p_type"), F.lit(" model ("), "p_brand", F.when(k % 3 == 0, ") using C++ 4").otherwise(") BERT results; iPhone"))
-    return table(spark, sf_dir, "part").select(F.element_at(F.array(*map(F.lit, _KINDS)), (k % 3 + 1).cast("int")).alias("kind"), (k % 50).alias("paper_id"), k.alias("item"), text.alias("text"))
+    return table(spark, sf_dir, "part").select(F.element_at(F.array(*map(F.lit, _KINDS)), (k % 3 + 1).cast("int")).alias("kind"), (k % 50).alias("paper_id"), k.alias("item"), text.alias("text")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "item")
 
 
 def _list(xs) -> str:
@@ -48,7 +49,12 @@ sh as (select s.kind, s.key, l.phrase as label, papers, cast(len(claim_set) as i
 
 @query("g2_shared_terms", f"{_SHARED} select * from sh")
 def g2_shared_terms(spark, sf_dir):
-    return G.shared_terms(G.candidates(claims(spark, sf_dir)))
+    return G.shared_terms(_terms(spark, sf_dir))
+
+
+def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate terms, found once for all that reads them."""
+    return held(G.candidates(claims(spark, sf_dir)).select("kind", "paper_id", "item", "key", "phrase"), "terms")
 
 
 @query("g7_unshared", f"select kind, count(*) filter (where papers < 2) as unshared from (select kind, key, count(distinct paper_id) as papers from ({_CANDIDATES}) group by 1, 2) group by 1")
@@ -57,8 +63,8 @@ def g7_unshared(spark, sf_dir):
 
 
 def edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    terms = G.candidates(claims(spark, sf_dir)).select("kind", "paper_id", "item", "key", "phrase")
-    shared = G.shared_terms(terms)
+    terms = _terms(spark, sf_dir)
+    shared = held(G.shared_terms(terms), "shared")
     return G.term_edges(terms, shared), shared
 
 

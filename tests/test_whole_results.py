@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+from tessera.operators import graph as G
 from tessera.plans import QUERIES
 
 
@@ -19,3 +20,13 @@ def test_nulls_come_last_and_all_rows_stay(spark, tmp_path):
     got = QUERIES["k5_nulls_last_whole"](spark, str(tmp_path)).collect()
     assert [r.o_orderkey for r in got] == sorted(range(20_000), key=lambda k: (k % 3 == 0, k))
     assert sum(r.due is None for r in got) == 6667
+
+
+def test_shared_terms_hold_no_sets_of_claims(spark):
+    rows = [("k", p, i, key, key) for p in range(2) for i in range(3) for key in ("a b", "a", "b")]  # a stands wherever "a b" does
+    rows += [("k", 0, 9, "b", "B"), ("k", 0, 0, "a", "a"), ("k", 7, 1, "c d", "c d"), ("k", 8, 1, "c d", "c d"), ("k", 7, 2, "c", "c"), ("k", 8, 1, "c", "c"), ("k", 9, 1, "z", "z")]
+    shared = G.shared_terms(spark.createDataFrame(rows, "kind string, paper_id long, item long, key string, phrase string"))
+    got = {r.key: (r.label, r.papers, r.claims, r.kept) for r in shared.collect()}
+    assert got == {"a b": ("a b", 2, 6, True), "a": ("a", 2, 6, False), "b": ("b", 2, 7, True), "c d": ("c d", 2, 2, True), "c": ("c", 2, 2, True)}
+    # a term of many claims in one row went to the driver with a broadcast
+    assert "collect_set" not in shared._jdf.queryExecution().optimizedPlan().toString()
