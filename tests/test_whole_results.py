@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+from tessera.operators import documents as D
 from tessera.operators import graph as G
 from tessera.plans import QUERIES
 
@@ -37,3 +38,11 @@ def test_sizes_round_halves_to_even_as_sql_does(spark, tmp_path):
     spark.createDataFrame(rows, "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
     got = {r.k: r["size"] for r in QUERIES["m6_scalars"](spark, str(tmp_path)).collect()}
     assert got == {2: "2 B", 8: "4 B", 14: "0 MB", 3: "4 B"}
+
+
+def test_sections_find_headings_once(spark):
+    docs = spark.createDataFrame([("a", "Front words\n\n1. Introduction\nText", [0], [1]), ("b", "no headings", [0], [4]), ("c", "Methods:\nx", [0], [2])], "paper_id string, text string, page_starts array<int>, page_numbers array<int>")
+    found = D.sections(docs)
+    got = sorted((r.paper_id, r.position, r.title, r.section_type, r.text) for r in found.collect())
+    assert got == [("a", 0, "Front matter", "other", "Front words"), ("a", 1, "1. Introduction", "introduction", "Text"), ("b", 0, "Full text", "other", "no headings"), ("c", 0, "Methods", "methods", "x")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
