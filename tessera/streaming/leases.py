@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -106,41 +108,71 @@ def lease_stream(events: DataFrame, rules: Rules = Rules(), delay: str = "1 minu
 
 # --- W9: what was used in the seconds before each request ------------------------------------------------------------
 _USE = "key string, id long, in_window long, amount_in_window long"
+_TOLD = ["key", "id", "in_window", "amount_in_window"]
+
+
+# Keys are dealt over so many groups: a call to Python, its timer and its state serve all keys of a group.
+GROUPS = 512
+_KEPT = ["key", "id", "micros", "amount", "told"]
 
 
 class _Rolling(StatefulProcessor):
-    """Requests wait until the watermark has passed them, so that they count in order of time however they arrive."""
+    """Requests of a group of keys wait until the watermark has passed them, so that they count in order of time however they arrive."""
 
     def __init__(self, seconds: float):
-        self.seconds = seconds
+        self.every = int(seconds * 1_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ts long, id long, amount long")
-        self.recent = handle.getListState("recent", "ts long, amount long")
+        self.kept = handle.getValueState("kept", "rows binary")
+
+    def _rows(self) -> pd.DataFrame:
+        if not self.kept.exists():
+            return pd.DataFrame(columns=_KEPT)
+        with pa.ipc.open_stream(bytes(self.kept.get()[0])) as rows:
+            return rows.read_pandas()
+
+    def _keep(self, rows: pd.DataFrame) -> None:
+        """One timer stands, at the end of the window of the first request that waits."""
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if rows.empty:
+            self.kept.clear()
+            return
+        table, out = pa.Table.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, table.schema) as writer:
+            writer.write_table(table)
+        self.kept.update((out.getvalue().to_pybytes(),))
+        waiting = rows["micros"][~rows["told"].astype(bool)]
+        if len(waiting):
+            every = max(self.every // 1000, 1)
+            self.handle.registerTimer((int(waiting.min()) // 1000 // every + 1) * every)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fresh = pd.concat(list(rows))
-        self.waiting.appendList([(int(ts), int(i), int(n)) for ts, i, n in fresh[["micros", "id", "amount"]].itertuples(index=False)])
-        every = int(self.seconds * 1000)
-        for at in {(int(ts) // 1000 // every + 1) * every for ts in fresh["micros"]}:  # one timer a window
-            self.handle.registerTimer(at)
-        yield pd.DataFrame(columns=["key", "id", "in_window", "amount_in_window"])
+        fresh = pd.concat(list(rows))[_KEPT[:4]].assign(told=False)
+        held = self._rows()
+        self._keep(fresh if held.empty else pd.concat([held, fresh]))
+        yield pd.DataFrame(columns=_TOLD)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        waiting = sorted(tuple(x) for x in self.waiting.get()) if self.waiting.exists() else []
-        due, later = [x for x in waiting if x[0] < until], [x for x in waiting if x[0] >= until]
-        recent = sorted(tuple(x) for x in self.recent.get()) if self.recent.exists() else []
-        out = []
-        for ts, i, _ in due:  # a row counts with all others of its own time
-            upto = [(t, n) for t, n in recent if t >= ts - self.seconds * 1_000_000] + [(t, n) for t, _, n in due if ts - self.seconds * 1_000_000 <= t <= ts]
-            out.append((key[0], i, len(upto), sum(n for _, n in upto)))
-        if due:
-            least = due[-1][0] - self.seconds * 1_000_000
-            for state, left in ((self.waiting, later), (self.recent, [x for x in [*recent, *((t, n) for t, _, n in due)] if x[0] >= least])):
-                state.put(left) if left else state.clear()
-        yield pd.DataFrame(out, columns=["key", "id", "in_window", "amount_in_window"])
+        until = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
+        rows = self._rows()
+        past = rows[rows["micros"] < until]
+        code = pd.factorize(past["key"], use_na_sentinel=False)[0]
+        order = np.lexsort((past["micros"], code))
+        past, code = past.iloc[order], code[order]
+        due = ~past["told"].to_numpy(bool)
+        # keys stand one after another, a window and more apart
+        at = past["micros"].to_numpy(np.int64)
+        at = at - at.min() + self.every if len(at) else at
+        span = int(at.max()) + 1 if len(at) else 1
+        place = code.astype(np.int64 if len(set(code)) * span < 2**63 else object) * span + at
+        first, end = np.searchsorted(place, place[due] - self.every, "left"), np.searchsorted(place, place[due], "right")  # a row counts with all others of its own time
+        sums = np.concatenate([[0], np.cumsum(past["amount"].to_numpy(np.int64))])
+        told = pd.DataFrame({"key": past["key"][due], "id": past["id"][due], "in_window": end - first, "amount_in_window": sums[end] - sums[first]})
+        recent = past[past["micros"] >= until - self.every].assign(told=True)
+        self._keep(pd.concat([recent, rows[rows["micros"] >= until]]))
+        yield told
 
 
 def rolling_stream(requests: DataFrame, seconds: float = 60, delay: str = "1 minute") -> DataFrame:
@@ -152,4 +184,5 @@ def rolling_stream(requests: DataFrame, seconds: float = 60, delay: str = "1 min
     _timers(requests)
     rows = requests.select(F.col("key").cast("string").alias("key"), F.col("id").cast("long").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.coalesce(F.col("amount").cast("long"), F.lit(0)).alias("amount"))
     timed = rows.where("ts is not null").withColumn("micros", F.unix_micros("ts")).withWatermark("ts", delay)
-    return timed.groupBy("key").transformWithStateInPandas(_Rolling(seconds), _USE, "Append", "EventTime")
+    grouped = timed.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(GROUPS))).groupBy("group")
+    return grouped.transformWithStateInPandas(_Rolling(seconds), _USE, "Append", "EventTime")

@@ -176,3 +176,10 @@ def test_rolling_stream_equals_the_batch_window(spark, tmp_path):
     got = run_stream(spark, L.rolling_stream(read, 60, "1 minute"), f"{tmp_path}/out", f"{tmp_path}/check")
     want = R.rolling_use(spark.createDataFrame(data, kind).na.fill(0, ["amount"]), "key", "ts", 60, "amount")
     assert sorted((x.id, x.in_window, x.amount_in_window) for x in got.where("id >= 0").collect()) == sorted((x.id, x.in_window, x.amount_in_window) for x in want.collect())
+
+
+def test_rolling_stream_calls_python_by_groups_of_keys(spark, tmp_path):
+    spark.createDataFrame([], "key string, id long, ts timestamp_ntz, amount long").write.parquet(f"{tmp_path}/in")
+    read = spark.readStream.schema("key string, id long, ts timestamp_ntz, amount long").parquet(f"{tmp_path}/in")
+    plan = L.rolling_stream(read)._jdf.queryExecution().analyzed().toString()
+    assert "xxhash64(key" in plan, plan
