@@ -11,6 +11,7 @@ writes what stands to a fresh folder.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,15 +58,16 @@ class TableSet:
         """
         if self.done(batch):
             return False
-        if keys is None:
-            for rows in tables.values():
-                keys = rows.select(self.key) if keys is None else keys.union(rows.select(self.key))
-        self._put("keys", batch, keys.select(self.key).where(F.col(self.key).isNotNull()).distinct())
-        named = self._part("keys").where(F.col("batch") == batch).drop("batch")
+        named = lambda: self._part("keys").where(F.col("batch") == batch).drop("batch")
+        if keys is not None:
+            self._put("keys", batch, keys.select(self.key).where(F.col(self.key).isNotNull()).distinct())
         for name, schema in self.schemas.items():  # a table that is not given may hold rows of a batch that was cut short
-            rows = tables[name].join(named, self.key, "left_semi") if name in tables else self.spark.createDataFrame([], schema)
+            rows = self.spark.createDataFrame([], schema) if name not in tables else tables[name].where(F.col(self.key).isNotNull()) if keys is None else tables[name].join(named(), self.key, "left_semi")
             self._put(f"data/{name}", batch, rows)
-        self._put("done", batch, named.agg(F.count("*").alias("keys")).coalesce(1))
+        if keys is None:  # all rows are of the batch, and what was written tells its keys
+            of = [self._part(f"data/{name}").where(F.col("batch") == batch).select(self.key).distinct() for name in tables]
+            self._put("keys", batch, reduce(DataFrame.union, of).distinct())
+        self._put("done", batch, named().agg(F.count("*").alias("keys")).coalesce(1))
         return True
 
     def latest(self) -> DataFrame:

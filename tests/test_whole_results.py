@@ -1,11 +1,15 @@
 """Queries that take all rows: no length or number of rows is cut."""
 
+import uuid
 from datetime import datetime
 
 from tessera.operators import documents as D
 from tessera.operators import graph as G
 from tessera.operators import relational as R
 from tessera.plans import QUERIES
+from tessera.plans.registry import dealt
+from tessera.plans.streams import fed
+from tessera.session import shared_dir
 
 
 def test_offset_to_page_of_long_texts(spark, tmp_path):
@@ -63,3 +67,23 @@ def test_scopes_are_counted_by_rows(spark):
     allowed = spark.createDataFrame([("a", 7), ("a", 7), ("b", 9)], "n string, id long")
     got = R.scope_counts(asked, allowed, "k", "n", "id")
     assert sorted(tuple(r) for r in got.collect()) == [(1, 2, 1), (2, 1, 0), (3, 1, 0), (4, 0, 0)]
+
+
+def test_a_part_of_many_files_is_one_batch(spark):
+    batches = []
+    start = lambda rows: rows.writeStream.foreachBatch(lambda b, k: batches.append(b.count())).option("checkpointLocation", f"{at}/check").trigger(availableNow=True).start()
+    at = f"{shared_dir(spark)}/fed-{uuid.uuid4().hex}"
+    fed(spark, [spark.range(30).repartition(3), spark.range(4).repartition(2)], "numbers", start)
+    assert batches == [30, 4]  # files were batches, so each part went through one task
+
+
+def test_rows_of_a_small_file_are_dealt(spark):
+    assert dealt(spark, "/root/testdata/sf0.001", "part").rdd.getNumPartitions() == 4
+
+
+def test_equal_statements_are_read_once(spark):
+    rows = spark.createDataFrame([(p, "limitations", 0, "results lack coverage of towns") for p in range(3)], "paper_id long, field_key string, item int, statement string")
+    signed = G.signatures(rows)
+    assert [(r.action, r.targets) for r in signed.collect()] == [("missing_capability", [])] * 3
+    # a filter worked the signature out again, seven times over, for each row
+    assert signed._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 2
