@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..session import shared_dir
 from ..sources import intake as I
@@ -61,20 +63,28 @@ def snk3_written(spark, sf_dir):
     return store.read("newest").select("k", "v")
 
 
-def arriving(spark: SparkSession, parts: list[DataFrame], name: str) -> DataFrame:
-    """A stream whose batches are the given parts in order."""
+def fed(spark: SparkSession, parts: list[DataFrame], name: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Feeds a stream the given parts in order: each is written by all tasks and is one batch, however many files it has.
+
+    start begins a query that ends once it has read what there is; its checkpoint tells the next part from those before.
+    """
     path = f"{shared_dir(spark)}/{_parts(name)}"
     for k, part in enumerate(parts):
-        part.coalesce(1).write.parquet(f"{path}/{k:03d}")
-    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
+        part.write.parquet(f"{path}/{k:03d}")
+        start(spark.readStream.schema(parts[0].schema).option("recursiveFileLookup", "true").parquet(path)).awaitTermination()
+
+
+def finished(spark: SparkSession, parts: list[DataFrame], name: str, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream made of the parts once it has read all of them."""
+    path, schemas = f"{shared_dir(spark)}/{_parts(name)}", []
 
+    def start(rows: DataFrame) -> StreamingQuery:
+        out = made(rows)
+        schemas.append(out.schema)
+        return out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start()
 
-def finished(stream: DataFrame, name: str) -> DataFrame:
-    """What a stream wrote once it has read all there is."""
-    path = f"{shared_dir(stream.sparkSession)}/{_parts(name)}"
-    query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
+    fed(spark, parts, name, start)
+    return spark.read.schema(schemas[-1]).parquet(f"{path}/out")
 
 
 @query("st20_feed", "select 'c' || l_orderkey || ':' || l_linenumber as change_id, case when l_linenumber % 3 = 0 then 'paper_unlinked' else 'paper_linked' end as kind, l_orderkey as project, min(l_suppkey) as paper from lineitem where l_linenumber % 3 < 2 group by 1, 2, 3")
@@ -83,10 +93,9 @@ def st20_feed(spark, sf_dir):
     n = F.col("l_linenumber")
     changes = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("paper"), F.min("l_shipdate").alias("ts"))
     rows = changes.select(F.concat(F.lit("c"), F.col("l_orderkey").cast("string"), F.lit(":"), n.cast("string")).alias("change_id"), "ts", F.when(n % 3 == 0, "delete").when(n % 3 == 1, "insert").otherwise("usage").alias("op"), F.col("l_orderkey").alias("project"), "paper")
-    stream = arriving(spark, [rows.where("project % 2 = 0"), rows, rows.where("project % 3 = 0")], "changes")
     at = f"{shared_dir(spark)}/{_parts('activity')}"
     store = activity_store(spark, f"{at}/store")
-    activity_feed(stream, store, f"{at}/check").awaitTermination()
+    fed(spark, [rows.where("project % 2 = 0"), rows, rows.where("project % 3 = 0")], "changes", lambda changes: activity_feed(changes, store, f"{at}/check"))
     return store.read("activity").select("change_id", "kind", "project", "paper")
 
 
@@ -101,7 +110,7 @@ def w9_stream(spark, sf_dir):
     step = max(1, (last - first + 6) // 6)
     parts = [rows.where((day >= k) & (day < k + step)) for k in range(first, last + 1, step)]
     ends = [spark.range(1).select(F.lit("end").alias("key"), F.lit(-1).cast("long").alias("id"), F.timestamp_seconds(F.lit((last + d) * 86_400)).cast("timestamp_ntz").alias("ts"), F.lit(0).cast("long").alias("amount")) for d in (9, 18)]
-    told = finished(rolling_stream(arriving(spark, [*parts, *ends], "requests"), 86_400, "2 days"), "rolling")
+    told = finished(spark, [*parts, *ends], "requests", lambda rows: rolling_stream(rows, 86_400, "2 days"))
     return told.where("id >= 0").select("id", "in_window", "amount_in_window")
 
 
@@ -113,7 +122,7 @@ def st1_silent_expiry(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select(k.cast("string").alias("job"), F.posexplode(actions).alias("seq", "action"))
     events = rows.select("job", F.col("seq").cast("long"), (at + F.col("seq")).alias("ts"), "action", F.when(F.col("seq") > 0, "t").alias("token"), F.lit("g").alias("generation"), F.lit(0).cast("long").alias("n"))
     clock = [spark.range(1).select(F.lit("clock").alias("job"), F.lit(d).cast("long").alias("seq"), (at + 4000.0 * (d + 1)).alias("ts"), F.lit("release").alias("action"), F.lit(None).cast("string").alias("token"), F.lit("g").alias("generation"), F.lit(0).cast("long").alias("n")) for d in range(2)]
-    told = finished(lease_stream(arriving(spark, [events, *clock], "jobs"), Rules(attempts=1), "1 minute"), "leases").where("job <> 'clock'")
+    told = finished(spark, [events, *clock], "jobs", lambda rows: lease_stream(rows, Rules(attempts=1), "1 minute")).where("job <> 'clock'")
     last = told.groupBy("job").agg(F.max(F.when(F.col("outcome").isin("completed", "expired"), F.col("outcome"))).alias("end"))
     return last.select("job", F.coalesce("end", F.lit("not_claimed")).alias("outcome"))
 
