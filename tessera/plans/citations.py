@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import citations as C
 from ..operators import relational as R
-from .registry import query, table
+from .registry import dealt, query, table
 
 
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +17,7 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     doi = F.when(k % 4 == 0, F.concat(F.lit("https://doi.org/10.1234/Part."), k.cast("string"))).when(k % 4 == 1, F.concat(F.lit(" DOI: 10."), (k % 3000).cast("string"), F.lit("/x"))).when(k % 4 == 2, "10.1234/has space")
     url = F.when(k % 5 == 0, F.concat(F.lit("HTTPS://Example.ORG:443/p/"), k.cast("string"))).when(k % 5 == 1, "http://user@example.org/").when(k % 5 == 2, "ftp://example.org/x").when(k % 5 == 3, F.concat(F.lit("http://example.org?q="), k.cast("string")))
     authors = F.slice(F.concat(names, F.array(F.lit("  "), F.concat(F.lit(" "), "p_brand", F.lit("\t  Jr ")))), 1, (k % 6).cast("int"))
-    return table(spark, sf_dir, "part").select(
+    return dealt(spark, sf_dir, "part").select(
         k.alias("paper_id"), F.when(k % 7 == 0, " \n ").otherwise(F.concat(F.lit("  On\t"), "p_name", F.lit(" \n again "))).alias("title"), authors.alias("authors"), (F.lit(990) + k).cast("int").alias("publication_year"),
         F.when(k % 3 == 0, F.col("p_type")).alias("container_title"), F.when(k % 2 == 0, F.col("p_brand")).alias("publisher"), doi.alias("doi"), url.alias("url"), F.when(k % 3 == 1, F.col("p_size").cast("string")).alias("volume"), F.when(k % 8 == 1, "4").alias("issue"), F.when(k % 3 == 2, "1–9").alias("pages"),
     )
@@ -47,7 +47,7 @@ def c3_url_form(spark, sf_dir):
         .when(k % 8 == 1, F.concat(F.lit("http:"), s(k % 65536))).when(k % 8 == 2, F.concat(F.lit("https://h:0"), s(65000 + k % 1000), F.lit("\\y\\..\\x\\"))).when(k % 8 == 3, F.concat(F.lit("https://user@h/"), "p_name"))
         .when(k % 8 == 4, F.concat(F.lit("http://Bücher.de/ü#"), "p_name")).when(k % 8 == 5, F.concat(F.lit("http://[2001:0DB8:0:0:0:0:0:"), F.hex(k % 65000 + 1), F.lit("]"))).when(k % 8 == 6, F.concat(F.lit("https://"), F.replace("p_brand", F.lit("#"), F.lit("-")), F.lit(":443"))).otherwise(F.concat(F.lit("ftp://"), "p_name"))
     )
-    return table(spark, sf_dir, "part").select(k.alias("k"), C.normalize_url(raw).alias("url"))
+    return dealt(spark, sf_dir, "part").select(k.alias("k"), C.normalize_url(raw).alias("url"))
 
 
 @query("c2_doi_c3_url", f"select k as paper_id, doi, url from ({_RAW})")
