@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN, canonical_text, collapse, normalize_phrase, statement_key
+from ..session import held
 
 MOST_WORDS = 4
 _PARTS = rf"{TOKEN}|(?:(?!{TOKEN})[\s\S])+"  # tokens and what stands between them
@@ -261,8 +262,8 @@ def gap_statements(fields: DataFrame) -> DataFrame:
 
     rows = fields.where(F.col("field_key").isin(*ACTIONS))
     told = newest_unconflicted(rows, ["paper_id", "field_key"], "updated_at", F.to_json(F.struct("state", "malformed", "items")))
-    held = told.select("paper_id", "field_key", F.from_json("content", "struct<state: string, malformed: boolean, items: array<string>>").alias("c")).where("c.state = 'extracted' and not c.malformed")
-    items = held.select("paper_id", "field_key", F.posexplode("c.items").alias("item", "text"))
+    newest = told.select("paper_id", "field_key", F.from_json("content", "struct<state: string, malformed: boolean, items: array<string>>").alias("c")).where("c.state = 'extracted' and not c.malformed")
+    items = newest.select("paper_id", "field_key", F.posexplode("c.items").alias("item", "text"))
     return items.withColumn("statement", statement_key(F.col("text"))).where("statement <> ''")
 
 
@@ -275,14 +276,20 @@ def signatures(statements: DataFrame) -> DataFrame:
 
     Aliases are whole words of the normalised phrase; an ambiguous one counts only where the context is named too.
     """
-    rows = statements.withColumn("padded", F.concat(F.lit(" "), normalize_phrase(F.col("statement")), F.lit(" ")))
-    padded = F.col("padded")
-    acts = F.array(*[F.when((F.col("field_key") == f) & _has(padded, aliases), family) for f, families in ACTIONS.items() for family, aliases in families.items()])
-    acts = F.filter(acts, lambda x: x.isNotNull())
-    context = _has(padded, CONTEXT)
-    targets = F.filter(F.array(*[F.when(_has(padded, aliases) | (_has(padded, GUARDED.get(family, [])) & context), family) for family, aliases in sorted(TARGETS.items())]), lambda x: x.isNotNull())
-    told = rows.withColumn("acts", acts).where((F.size("acts") == 1) & ~F.col("statement").rlike(r"(?<![A-Za-z0-9_])(?:no|not|never)(?![A-Za-z0-9_])"))
-    return told.select(*statements.columns, F.element_at("acts", 1).alias("action"), targets.alias("targets"), context.alias("in_context"))
+    none = ~F.col("statement").rlike(r"(?<![A-Za-z0-9_])(?:no|not|never)(?![A-Za-z0-9_])")
+
+    def told(padded: Column) -> Column:
+        acts = F.array(*[F.when((F.col("field_key") == f) & _has(padded, aliases), family) for f, families in ACTIONS.items() for family, aliases in families.items()])
+        context = _has(padded, CONTEXT)
+        targets = F.filter(F.array(*[F.when(_has(padded, aliases) | (_has(padded, GUARDED.get(family, [])) & context), family) for family, aliases in sorted(TARGETS.items())]), lambda x: x.isNotNull())
+        return F.struct(F.filter(acts, lambda x: x.isNotNull()).alias("acts"), targets.alias("targets"), context.alias("in_context"))
+
+    # as the rows of an array, so that a filter on them is not worked out before and for each alias again
+    padded = F.when(none, F.concat(F.lit(" "), normalize_phrase(F.col("statement")), F.lit(" ")))
+    each = F.filter(F.transform(F.array(padded), told), lambda x: none & (F.size(x["acts"]) == 1))
+    once = held(statements.select("field_key", "statement").distinct(), "statements")  # equal statements of a field are read once
+    signed = once.select("field_key", "statement", F.explode(each).alias("x")).select("field_key", "statement", F.element_at("x.acts", 1).alias("action"), "x.targets", "x.in_context")
+    return statements.join(signed, ["field_key", "statement"]).select(*statements.columns, "action", "targets", "in_context")
 
 
 def specific(statements: DataFrame, terms: DataFrame) -> DataFrame:
@@ -291,12 +298,14 @@ def specific(statements: DataFrame, terms: DataFrame) -> DataFrame:
     A statement is specific to a term if it has six words or more and another candidate phrase of two words or more, none
     of them of the term or vague.
     """
-    rows = statements.withColumn("phrase_text", normalize_phrase(F.col("statement")))
-    named = rows.join(terms.select("paper_id", "kind", "key"), "paper_id").where(F.concat(F.lit(" "), "phrase_text", F.lit(" ")).contains(F.concat(F.lit(" "), F.col("key"), F.lit(" "))) & (F.size(F.split("phrase_text", " ")) >= 6))
-    said = candidates(rows.select("paper_id", "field_key", "item", "statement"), "statement").where("words >= 2").select("paper_id", "field_key", "item", F.split("key", " ").alias("said"))
+    phrases = statements.select("statement").distinct().withColumn("phrase_text", normalize_phrase(F.col("statement")))
+    named = statements.join(phrases, "statement").join(terms.select("paper_id", "kind", "key"), "paper_id").where(F.concat(F.lit(" "), "phrase_text", F.lit(" ")).contains(F.concat(F.lit(" "), F.col("key"), F.lit(" "))) & (F.size(F.split("phrase_text", " ")) >= 6))
+    # phrases are looked for once in each text that names a term, however many statements are equal
+    pairs = named.select("statement", "key").distinct()
+    said = candidates(pairs.select("statement").distinct(), "statement").where("words >= 2").select("statement", F.split("key", " ").alias("said"))
     plain = said.where(~F.exists("said", lambda w: w.isin(*VAGUE)))
-    met = named.select("paper_id", "field_key", "item", "kind", "key").join(plain, ["paper_id", "field_key", "item"]).where(~F.arrays_overlap("said", F.split("key", " ")))
-    return met.select("paper_id", "field_key", "item", "kind", "key").distinct()
+    met = pairs.join(plain, "statement").where(~F.arrays_overlap("said", F.split("key", " "))).select("statement", "key").distinct()
+    return named.join(met, ["statement", "key"], "left_semi").select("paper_id", "field_key", "item", "kind", "key").distinct()
 
 
 def gap_candidates(signed: DataFrame, related: DataFrame, anchors: DataFrame, papers: DataFrame, least: int = 2) -> DataFrame:
@@ -310,11 +319,14 @@ def gap_candidates(signed: DataFrame, related: DataFrame, anchors: DataFrame, pa
     within = signed.join(related, "paper_id").select(*place, "kind", "key", "statement", "action", "targets")
     by_target = within.select(*place, "kind", "key", "action", F.explode(F.transform("targets", lambda t: F.concat(F.lit("target:"), t))).alias("match"))
     anchored = within.join(anchors, [*place, "kind", "key"], "left_semi")
-    common = anchored.groupBy("kind", "key", "field_key", "action", "statement").agg(F.max(F.size("targets")).alias("named"), F.collect_set(F.struct("paper_id", "item")).alias("rows"))
-    by_statement = common.where("named = 0").select("field_key", "kind", "key", "action", F.concat(F.lit("statement:"), F.col("statement")).alias("match"), F.explode("rows").alias("r")).select("r.paper_id", "field_key", "r.item", "kind", "key", "action", "match")
+    common = ["kind", "key", "field_key", "action", "statement"]
+    targeted = anchored.where(F.size("targets") > 0).select(common).distinct()
+    by_statement = anchored.where(F.size("targets") == 0).join(targeted, common, "left_anti").select(*place, "kind", "key", "action", F.concat(F.lit("statement:"), F.col("statement")).alias("match"))
     every = by_target.unionByName(by_statement).join(papers.select("paper_id", "stale"), "paper_id")
     paper = F.col("paper_id").cast("string")
-    groups = every.groupBy("kind", "key", "field_key", "action", "match").agg(F.array_sort(F.collect_set(paper)).alias("paper_ids"), F.count_distinct("paper_id", "item").alias("evidence"), F.bool_or("stale").alias("stale")).where(F.size("paper_ids") >= least)
+    one = ["kind", "key", "field_key", "action", "match"]
+    of_paper = every.groupBy(*one, "paper_id").agg(F.count_distinct("item").alias("evidence"), F.bool_or("stale").alias("stale"))
+    groups = of_paper.groupBy(*one).agg(F.array_sort(F.collect_set(paper)).alias("paper_ids"), F.sum("evidence").alias("evidence"), F.bool_or("stale").alias("stale")).where(F.size("paper_ids") >= least)
     gap = groups.withColumn("gap_id", F.to_json(F.struct("field_key", "action", "match", "paper_ids")))
     return gap.groupBy("gap_id", "field_key", "action", "match", "paper_ids").agg(F.array_sort(F.collect_set(F.concat_ws(":", F.lit("term"), "kind", "key"))).alias("related_terms"), F.max("evidence").alias("evidence"), F.bool_or("stale").alias("stale"))
 

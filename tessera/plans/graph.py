@@ -183,7 +183,7 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda i, k: F.element_at(F.array(*[F.lit(x[i]) for x in _STATEMENTS]), (k % len(_STATEMENTS) + 1).cast("int"))
     k = F.col("o_orderkey")
     rows = table(spark, sf_dir, "orders").select((k % 40).alias("paper_id"), pick(0, k).alias("field_key"), k.alias("item"), pick(1, k).alias("text"))
-    return rows.withColumn("statement", G.statement_key(F.col("text")))
+    return rows.join(held(rows.select("text").distinct().withColumn("statement", G.statement_key(F.col("text"))), "texts"), "text")
 
 
 def _sql_pick(i: int) -> str:
