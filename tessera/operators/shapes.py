@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import js_trim, query_line
+from ..session import held
 from .evidence import FIELDS, validate_extraction
 
 _ISSUE = "array<struct<path: array<string>, code: string>>"
@@ -24,8 +25,10 @@ _KIND_MAP = "map(" + ", ".join(f"'{name}', '{kind}'" for name, kind in KINDS.ite
 
 def kind_of(v: Column) -> Column:
     """Object, array, string, number, boolean, null, or undefined for what is not there."""
+    # the schema of an object or array is that of all it holds, so it is asked of plain values only
     name = F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
-    return F.when(v.isNull(), "undefined").otherwise(F.coalesce(F.try_element_at(F.expr(_KIND_MAP), name), F.lit("undefined")))
+    holds = lambda kind: F.try_variant_get(v, "$", kind).isNotNull()
+    return F.when(v.isNull(), "undefined").when(holds("map<string, variant>"), "object").when(holds("array<variant>"), "array").otherwise(F.coalesce(F.try_element_at(F.expr(_KIND_MAP), name), F.lit("undefined")))
 
 
 def _bound(x: Column, use: Callable[[Column], Column]) -> Column:
@@ -207,8 +210,11 @@ def checked_extractions(outputs: DataFrame, packet: DataFrame) -> DataFrame:
     Nothing is mended, and one fault refuses the whole.
     """
     told = outputs.select("paper_id", "output", issues(F.col("output"), EXTRACTION).alias("found"))
-    parsed = told.where(F.size("found") == 0).select("paper_id", F.explode(F.from_json("output", _PARSED)["fields"]).alias("field", "f"))
-    items = parsed.select("paper_id", "field", F.posexplode("f.items").alias("item", "x")).select("paper_id", "field", "item", F.posexplode("x.evidence_ids").alias("ord", "evidence_id"))
+    # an output is looked at once: from here on its issues stand for it, or the ids that it cites
+    ids = F.transform(F.map_entries(F.from_json("output", _PARSED)["fields"]), lambda f: F.struct(f["key"].alias("field"), F.transform(f["value"]["items"], lambda x: x["evidence_ids"]).alias("items")))
+    told = held(told.select("paper_id", "found", F.when(F.size("found") == 0, ids).alias("cited")), "checked")
+    parsed = told.where(F.size("found") == 0).select("paper_id", F.explode("cited").alias("f"))
+    items = parsed.select("paper_id", "f.field", F.posexplode("f.items").alias("item", "x")).select("paper_id", "field", "item", F.posexplode("x").alias("ord", "evidence_id"))
     cited = validate_extraction(items, packet).where("error is not null").select("paper_id", F.col("error").alias("detail"))
     rows = told.join(cited, "paper_id", "left")
     bad = F.size("found") > 0
