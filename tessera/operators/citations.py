@@ -122,7 +122,7 @@ FIELDS = ["objective", "methodology", "dataset", "findings", "limitations", "fut
 
 def ordered_findings(found: DataFrame) -> DataFrame:
     """findings(scope, finding_id, kind, severity, papers, units), one for each id, with their place by severity and id."""
-    unique = found.groupBy("scope", "finding_id").agg(*[F.max_by(c, F.struct("severity", "kind")).alias(c) for c in ("kind", "severity", "papers", "units")])
+    unique = found.groupBy("scope", "finding_id").agg(F.max(F.struct("severity", "kind", "papers", "units")).alias("f")).select("scope", "finding_id", "f.kind", "f.severity", "f.papers", "f.units")
     rank = F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv])[F.col("severity")]
     return unique.withColumn("place", F.row_number().over(Window.partitionBy("scope").orderBy(rank, "finding_id")))
 
@@ -187,9 +187,9 @@ def inspect_draft(units: DataFrame, cites: DataFrame, references: DataFrame) ->
     checked = F.col("support").isNotNull()
     by_unit = said.select("draft", F.concat(text("draft:unit-"), unit, text("-"), F.coalesce("support", text("unchecked"))).alias("finding_id"), F.concat(text("claim_"), F.coalesce("support", text("unchecked"))).alias("kind"), F.coalesce(F.try_element_at(weak, F.col("support")), text("info")).alias("severity"), F.when(checked, F.coalesce("papers", none)).otherwise(none).alias("papers"), F.array(unit).alias("units"))
     counts = cites.groupBy("draft", "paper_id").agg(F.count("*").alias("n"))
-    total = counts.groupBy("draft").agg(F.sum("n").alias("total"), F.count("*").alias("distinct"), F.array_sort(F.collect_list(F.col("paper_id").cast("string"))).alias("all"), F.max_by(F.col("paper_id").cast("string"), F.col("n")).alias("top"), F.max("n").alias("most"))
+    total = counts.groupBy("draft").agg(F.sum("n").alias("total"), F.count("*").alias("distinct"), F.max_by(F.col("paper_id").cast("string"), F.col("n")).alias("top"), F.max("n").alias("most"))
     whole = lambda cond, name, severity, papers: total.where(cond).select("draft", text(f"draft:{name}").alias("finding_id"), text(name.replace("-", "_")).alias("kind"), text(severity).alias("severity"), papers.alias("papers"), none.alias("units"))
-    single = whole("distinct = 1", "single-cited-paper", "info", F.col("all"))
+    single = whole("distinct = 1", "single-cited-paper", "info", F.array_compact(F.array("top")))  # the only one
     dense = whole("distinct >= 2 and total >= 3 and most * 2 > total", "citation-concentration", "info", F.array("top"))
     lacking = references.where(F.size("missing") > 0).select("draft", F.concat(text("draft:reference-"), F.col("paper_id").cast("string"), text("-incomplete")).alias("finding_id"), text("cited_reference_incomplete").alias("kind"), text("attention").alias("severity"), F.array(F.col("paper_id").cast("string")).alias("papers"), none.alias("units"))
     return ordered_findings(by_unit.unionByName(single).unionByName(dense).unionByName(lacking).withColumnRenamed("draft", "scope"))
