@@ -6,12 +6,15 @@ Packets are folds over a bounded number of candidates of a request in order, as
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WS, bounded, bounded_writer_text, js_trim, normalize_title, normalized_literal, sanitize_claim, sanitize_evidence
+from ..session import held
 
 # The matrix fields in their order.
 FIELDS = ["objective", "methodology", "dataset", "findings", "limitations", "future_work", "concepts"]
@@ -79,31 +82,29 @@ def evidence_packet(candidates: DataFrame, most: int = 40, budget: int = 24_000,
 
     kinds = dict(candidates.select("paper_id", "chunk_id").dtypes)
 
-    def taken_of(cands: list[dict]) -> list[tuple]:
+    def taken_of(cands: Iterator[tuple]) -> list[tuple]:
         """(chunk, fields) of one paper's packet in document order."""
-        place = {c["chunk_id"]: (c["chunk_index"], c["chunk_id"]) for c in cands}
-        size = {c["chunk_id"]: c["size"] for c in cands}
-        fed: dict = {}
-        queues = {}
-        for field in FIELDS:
-            of = {c["chunk_id"]: c["priority"] for c in cands if c["field"] == field}
-            for chunk in of:
-                fed.setdefault(chunk, []).append(field)
-            queues[field] = iter(sorted((c for c in of if size[c] is not None and size[c] <= largest), key=lambda c, of=of: (of[c], place[c])))
+        place, size, of = {}, {}, {}
+        for chunk, index, field, priority, chars in cands:
+            place[chunk], size[chunk] = (index, chunk), chars
+            of.setdefault(field, {})[chunk] = priority
+        queues = [iter(sorted((c for c in fed if size[c] is not None and size[c] <= largest), key=lambda c, fed=fed: (fed[c], place[c]))) for fed in (of[f] for f in FIELDS if f in of)]
         taken: set = set()
         used, added = 0, True
         while added and len(taken) < most:
             added = False
-            for field in FIELDS:
-                chunk = next((c for c in queues[field] if c not in taken and used + size[c] <= budget), None) if len(taken) < most else None
+            for queue in queues:
+                chunk = next((c for c in queue if c not in taken and used + size[c] <= budget), None) if len(taken) < most else None
                 if chunk is not None:
                     taken.add(chunk)
                     used, added = used + size[chunk], True
-        return [(c, ",".join(fed[c])) for c in sorted(taken, key=place.get)]
+        return [(c, ",".join(f for f in FIELDS if c in of.get(f, ()))) for c in sorted(taken, key=place.get)]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(paper, f"E{k + 1}", chunk, fields) for paper, cands in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, (chunk, fields) in enumerate(taken_of(cands))]
+            cands = batch.column(1)
+            flat = zip(*(c.to_pylist() for c in cands.flatten().flatten()), strict=True)  # all papers' candidates, a list a column
+            rows = [(paper, f"E{k + 1}", chunk, fields) for paper, n in zip(batch.column(0).to_pylist(), cands.value_lengths().to_pylist(), strict=True) for k, (chunk, fields) in enumerate(taken_of(islice(flat, n)))]
             types = [batch.schema.field(0).type, pa.string(), batch.schema.field(1).type.value_type.field("chunk_id").type, pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["paper_id", "evidence_id", "chunk_id", "fields"])
 
@@ -223,12 +224,21 @@ def writer_packet(candidates: DataFrame, papers: int = 5, most: int = 12, budget
     An identity counts once, by its least sort key and text. The first papers by their first candidate take turns; an empty text,
     or one that would break the budget, is passed, and later ones may still fit.
     """
-    unique = candidates.groupBy("request", "paper_id", "identity").agg(F.min(F.struct("sort_key", "text")).alias("c")).select("request", "paper_id", "identity", "c.*")
-    turn = F.row_number().over(Window.partitionBy("request", "paper_id").orderBy("sort_key", "identity"))
-    offered = unique.withColumn("turn", turn)
-    first = offered.where("turn = 1").select("request", "paper_id", F.row_number().over(Window.partitionBy("request").orderBy("sort_key", "paper_id")).alias("paper_rank")).where(F.col("paper_rank") <= papers)
-    rows = offered.join(first, ["request", "paper_id"]).where(F.length("text") > 0)
-    packed = rows.groupBy("request").agg(F.array_sort(F.collect_list(F.struct("turn", "paper_rank", F.length("text").alias("size"), "paper_id", "identity"))).alias("xs"))
+    key = ["request", "paper_id", "identity"]
+    # texts are told by their sizes, and looked at only where an identity has several under its least sort key; a null text is the least of all
+    size = F.coalesce(F.length("text"), F.lit(-1)).alias("size")
+    sized = candidates.select(*key, "sort_key", size).groupBy(*key, "sort_key").agg(F.min("size").alias("least"), F.max("size").alias("largest"))
+    unique = held(sized.groupBy(*key).agg(F.min(F.struct("sort_key", "least", "largest")).alias("c")).select(*key, "c.*"), "identities").withColumnRenamed("least", "size")
+    tied = unique.where("size >= 0 and size < largest").select(*[F.col(c).alias(f"_{c}") for c in (*key, "sort_key")])
+    if not tied.isEmpty():
+        met = candidates.join(tied, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*key, "sort_key")]), "left_semi")
+        least = met.groupBy(*[F.col(c).alias(f"_{c}") for c in key]).agg(F.length(F.min("text")).alias("said"))
+        unique = unique.join(least, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]), "left").select(*key, "sort_key", F.coalesce("said", "size").alias("size"))
+    # a request's rows meet once: its papers take turns in the order of their first candidates
+    of_paper = Window.partitionBy("request", "paper_id")
+    offered = unique.where("request is not null and paper_id is not null").select(*key, "sort_key", "size").repartition("request").withColumn("turn", F.row_number().over(of_paper.orderBy("sort_key", "identity"))).withColumn("first", F.struct(F.first("sort_key").over(of_paper.orderBy("sort_key", "identity")).alias("sort_key"), "paper_id"))
+    rows = offered.withColumn("paper_rank", F.dense_rank().over(Window.partitionBy("request").orderBy("first"))).where((F.col("paper_rank") <= papers) & (F.col("size") > 0))
+    packed = rows.groupBy("request").agg(F.array_sort(F.collect_list(F.struct("turn", "paper_rank", "size", "paper_id", "identity"))).alias("xs"))
     kind = packed.schema["xs"].dataType.simpleString()
     start = F.struct(F.array().cast(kind).alias("kept"), F.lit(0).alias("used"))
 
@@ -248,22 +258,30 @@ def sufficiency(mode: Column, current: Column, stale: Column, items: Column, pap
 
 # --- E13, E17: claim checks --------------------------------------------------------------------------------------
 def claim_packet(cites: DataFrame, most: int = 3, source_chars: int = 1_200, budget: int = 10_000) -> DataFrame:
-    """(claim, ord, evidence_id, text, status) of cites(claim, ord, claim_text, sources), an array of (excerpt, content).
+    """(claim, ord, evidence_id, text, size, status) of cites(claim, ord, claim_text, sources), an array of (excerpt, content).
 
     A citation has its first usable sources, each cut to a length; one without any, or too much text in
-    all, makes the whole claim abstain, which the status says.
+    all, makes the whole claim abstain, which the status says. What is counted and put in order are sizes, so that whoever
+    asks for no texts moves none.
     """
     cut = lambda c: bounded(sanitize_claim(c), source_chars)
+    filled = lambda c: F.element_at(F.transform(F.array(c), lambda t: F.when(t != "", t)), 1)
     shown = F.explode_outer(F.expr("transform(sources, (s, i) -> struct(i as place, s.excerpt as excerpt, s.content as content))"))
-    rows = cites.select("claim", "ord", "claim_text", shown.alias("s")).select("claim", "ord", "claim_text", "s.place", F.coalesce(F.nullif(cut(F.col("s.content")), F.lit("")), F.nullif(cut(F.col("s.excerpt")), F.lit(""))).alias("said"))
-    usable = rows.withColumn("n", F.row_number().over(Window.partitionBy("claim", "ord").orderBy(F.col("said").isNull(), "place"))).where((F.col("n") <= most) & F.col("said").isNotNull())
-    texts = usable.groupBy("claim", "ord").agg(F.array_sort(F.collect_list(F.struct("n", F.concat(F.lit("Source "), F.col("n").cast("string"), F.lit(": "), F.col("said")).alias("line")))).alias("lines"))
     claim = F.when(F.col("claim_text") != "", F.concat(F.lit("Extracted claim: "), bounded(sanitize_claim(F.col("claim_text")), 500)))
-    each = cites.select("claim", "ord", "claim_text").join(texts, ["claim", "ord"], "left").select("claim", "ord", F.when(F.col("lines").isNotNull(), F.concat_ws("\n", claim, F.array_join(F.transform("lines", lambda x: x["line"]), "\n"))).alias("text"))
-    whole = each.groupBy("claim").agg(F.bool_or(F.col("text").isNull()).alias("lacking"), F.sum(F.length("text")).alias("size"))
-    status = F.when(F.col("lacking"), "no_usable_source").when(F.col("size") > budget, "evidence_budget_exceeded").otherwise("ready")
-    number = F.row_number().over(Window.partitionBy("claim").orderBy("ord"))
-    return each.join(whole, "claim").select("claim", "ord", F.when(status == "ready", F.concat(F.lit("C"), number.cast("string"))).alias("evidence_id"), F.when(status == "ready", F.col("text")).alias("text"), status.alias("status"))
+    told = cites.select("claim", "ord", claim.alias("claim_line"), shown.alias("s")).select("claim", "ord", "claim_line", "s.place", F.coalesce(filled(cut(F.col("s.content"))), filled(cut(F.col("s.excerpt")))).alias("said"))
+    # all of a claim in one place, once
+    rows = told.withColumn("chars", F.length("said")).repartition("claim").withColumn("n", F.row_number().over(Window.partitionBy("claim", "ord").orderBy(F.col("chars").isNull(), "place")))
+    usable = (F.col("n") <= most) & F.col("chars").isNotNull()
+    lead = F.concat(F.lit("Source "), F.col("n").cast("string"), F.lit(": "))
+    lines = F.transform(F.array_sort(F.collect_list(F.when(usable, F.struct("n", F.concat(lead, F.col("said")).alias("line"))))), lambda x: x["line"])
+    each = rows.groupBy("claim", "ord", "claim_line").agg(F.sum(F.when(usable, F.length(lead) + F.col("chars") + 1)).alias("chars"), lines.alias("lines"))
+    text = F.when(F.col("chars").isNotNull(), F.concat_ws("\n", "claim_line", F.array_join("lines", "\n")))
+    size = (F.col("chars") - 1 + F.coalesce(F.length("claim_line") + 1, F.lit(0))).cast("int")
+    whole = Window.partitionBy("claim")
+    each = each.select("claim", "ord", text.alias("text"), size.alias("size")).withColumns({"lacking": F.bool_or(F.col("size").isNull()).over(whole), "total": F.sum("size").over(whole), "number": F.row_number().over(whole.orderBy("ord"))})
+    status = F.when(F.col("lacking"), "no_usable_source").when(F.col("total") > budget, "evidence_budget_exceeded").otherwise("ready")
+    ready = lambda c: F.when(status == "ready", c)
+    return each.select("claim", "ord", ready(F.concat(F.lit("C"), F.col("number").cast("string"))).alias("evidence_id"), ready(F.col("text")).alias("text"), ready(F.col("size")).alias("size"), status.alias("status"))
 
 
 # Markup and writer ids that checked text must not hold.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import evidence as E
@@ -14,12 +14,13 @@ from .registry import query, table
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as ranked hits of an order's question, some blank or without text, section or end, some overlapping."""
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", n.alias("rank"))  # texts are made of what is ranked, not ranked themselves
     start = (F.col("l_quantity") * 10).cast("int")
     q = F.col("l_quantity").cast("int")
     content = F.when(q % 11 == 0, " \n ").when(q % 13 == 0, F.lit(None).cast("string")).otherwise(F.repeat(F.lit("x"), q * 20))
     section = F.when(F.col("l_suppkey") % 5 != 0, F.col("l_suppkey") % 2)
     end = F.when(q % 7 != 0, start + F.col("l_linenumber") * 100)
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("request"), n.alias("rank"), section.alias("section_id"), start.alias("char_start"), end.alias("char_end"), content.alias("content"), F.col("l_suppkey").alias("paper_id"), F.col("l_partkey").alias("chunk_id"))
+    return rows.select(F.col("l_orderkey").alias("request"), "rank", section.alias("section_id"), start.alias("char_start"), end.alias("char_end"), content.alias("content"), F.col("l_suppkey").alias("paper_id"), F.col("l_partkey").alias("chunk_id"))
 
 
 _HITS = """select l_orderkey as request, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as rank, case when l_suppkey % 5 <> 0 then l_suppkey % 2 end as section_id, cast(l_quantity * 10 as integer) as a, case when cast(l_quantity as integer) % 7 <> 0 then cast(l_quantity * 10 as integer) + l_linenumber * 100 end as b,
@@ -71,7 +72,8 @@ p as (select paper_id, 'E' || n as evidence_id, chunk_id, string_agg(['objective
 
 def packet_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.length("content") * F.when(F.col("request") % 9 == 0, 8).otherwise(1)
-    rows = hits(spark, sf_dir).where(F.trim(F.regexp_replace("content", r"\s", "")) != "").select(F.col("request").alias("paper_id"), F.col("rank").cast("long").alias("chunk_id"), F.col("rank").alias("chunk_index"), size.alias("size"), F.posexplode(F.array(*map(F.lit, E.FIELDS))).alias("f", "field"))
+    rows = hits(spark, sf_dir).where(F.col("content").rlike(r"\S")).select(F.col("request").alias("paper_id"), F.col("rank").cast("long").alias("chunk_id"), F.col("rank").alias("chunk_index"), size.alias("size"))
+    rows = rows.select("*", F.posexplode(F.array(*map(F.lit, E.FIELDS))).alias("f", "field"))  # sizes alone, not texts, are repeated by field
     return rows.where(_FED).withColumn("priority", (F.col("chunk_id") % 2).cast("int")).drop("f")
 
 
@@ -117,15 +119,22 @@ select x.paper as paper_id, case when len(xs) > 0 then 'invalid_output' when det
 
 @query("e4_output_shapes", _OUTPUT)
 def e4_output_shapes(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("paper_id"), F.col("l_linenumber").alias("n")).agg(F.min("l_quantity").cast("int").alias("q"), F.min("l_suppkey").alias("s"), F.min("l_partkey").alias("p"), F.min("l_tax").alias("tax"), F.min("l_discount").alias("d"))
-    ids = F.transform(F.expr("slice(array(1, 2, 3, 4, 5, 6, 7, 8), 1, cast(s % 9 as int))"), lambda k: F.when((k == 1) & (F.col("p") % 20 == 0), "X1").otherwise(F.concat(F.lit("E"), k.cast("string"))))
-    text = F.when(F.col("q") == 1, " \t").otherwise(F.repeat(F.lit("x"), F.col("q") * 11))
-    one = F.struct(F.when(F.col("tax") == 0.08, "maybe").otherwise("extracted").alias("state"), F.when(F.col("d") != 0.1, F.array(F.struct(text.alias("text"), ids.alias("evidence_ids")))).alias("items"))
-    held = lines.groupBy("paper_id").agg(F.map_from_entries(F.collect_list(F.struct(F.element_at(F.array(*map(F.lit, E.FIELDS)), F.col("n")), F.to_json(one)))).alias("m"))
+    rows = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "paper_id").repartition("paper_id")
+    lines = rows.groupBy("paper_id", F.col("l_linenumber").alias("n")).agg(F.min("l_quantity").cast("int").alias("q"), F.min("l_suppkey").alias("s"), F.min("l_partkey").alias("p"), F.min("l_tax").alias("tax"), F.min("l_discount").alias("d"))
+    packed = lines.groupBy("paper_id").agg(F.collect_list(F.struct("n", "q", "s", "p", "tax", "d")).alias("xs"))
+
+    def told(x: Column) -> Column:
+        ids = F.transform(F.slice(F.array(*map(F.lit, range(1, 9))), 1, (x["s"] % 9).cast("int")), lambda k: F.when((k == 1) & (x["p"] % 20 == 0), "X1").otherwise(F.concat(F.lit("E"), k.cast("string"))))
+        text = F.when(x["q"] == 1, " \t").otherwise(F.repeat(F.lit("x"), x["q"] * 11))
+        one = F.struct(F.when(x["tax"] == 0.08, "maybe").otherwise("extracted").alias("state"), F.when(x["d"] != 0.1, F.array(F.struct(text.alias("text"), ids.alias("evidence_ids")))).alias("items"))
+        return F.struct(F.element_at(F.array(*map(F.lit, E.FIELDS)), x["n"]), F.to_json(one))
+
+    # the outputs are written out once the lines of a paper are together
+    filled = packed.select("paper_id", F.map_from_entries(F.transform("xs", told)).alias("m"))
     empty = F.when(F.col("paper_id") % 37 == 0, '{"state":"extracted","items":[]}').otherwise('{"items":[],"state":"not_reported"}')
     fields = F.concat_ws(",", *[F.concat(F.lit(f'"{f}":'), F.coalesce(F.try_element_at("m", F.lit(f)), empty)) for f in reversed(E.FIELDS)], F.when(F.col("paper_id") % 31 == 0, '"extra":1'))
-    outputs = held.select("paper_id", F.concat(F.lit('{"fields":{'), fields, F.lit("}}")).alias("output"))
-    packet = held.select("paper_id", F.explode(F.sequence(F.lit(1), (F.col("paper_id") % 5 + 1).cast("int"))).alias("k")).select("paper_id", F.concat(F.lit("E"), F.col("k").cast("string")).alias("evidence_id"), F.array(*map(F.lit, E.FIELDS)).alias("fields"))
+    outputs = filled.select("paper_id", F.concat(F.lit('{"fields":{'), fields, F.lit("}}")).alias("output"))
+    packet = rows.select("paper_id").distinct().select("paper_id", F.explode(F.sequence(F.lit(1), (F.col("paper_id") % 5 + 1).cast("int"))).alias("k")).select("paper_id", F.concat(F.lit("E"), F.col("k").cast("string")).alias("evidence_id"), F.array(*map(F.lit, E.FIELDS)).alias("fields"))
     return S.checked_extractions(outputs, packet)
 
 
@@ -219,11 +228,13 @@ w as (select claim, bool_or(size is null) as lacking, sum(size) as total from l
 select claim, ord, case when not lacking and total <= 4000 then 'C' || row_number() over (partition by claim order by ord) end as evidence_id, case when not lacking and total <= 4000 then cast(size as integer) end as size, case when lacking then 'no_usable_source' when total > 4000 then 'evidence_budget_exceeded' else 'ready' end as status from l join w using (claim)""")
 def e13_claim_packet(spark, sf_dir):
     n = F.col("l_linenumber")
-    content = F.when(n % 2 == 0, F.lit(None).cast("string")).otherwise(F.repeat(F.lit("y"), F.col("l_quantity").cast("int") * 30))
-    one = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.when(F.col("l_suppkey") % 3 != 0, "excerpt").alias("excerpt"), content.alias("content"))
+    one = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.col("l_quantity").cast("int").alias("q"))
     rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("claim"), F.floor((n - 1) / 4).cast("int").alias("ord")).agg(F.array_sort(F.collect_list(one)).alias("s"))
-    cites = rows.select("claim", "ord", F.when(F.col("claim") % 2 == 0, "the claim").otherwise("").alias("claim_text"), F.transform("s", lambda x: F.struct(x["excerpt"].alias("excerpt"), x["content"].alias("content"))).alias("sources"))
-    return E.claim_packet(cites, budget=4000).select("claim", "ord", "evidence_id", F.length("text").alias("size"), "status")
+    # texts are made of a citation's lines once they are together
+    content = lambda x: F.when(x["l_linenumber"] % 2 != 0, F.repeat(F.lit("y"), x["q"] * 30))
+    sources = F.transform("s", lambda x: F.struct(F.when(x["l_suppkey"] % 3 != 0, "excerpt").alias("excerpt"), content(x).alias("content")))
+    cites = rows.select("claim", "ord", F.when(F.col("claim") % 2 == 0, "the claim").otherwise("").alias("claim_text"), sources.alias("sources"))
+    return E.claim_packet(cites, budget=4000).select("claim", "ord", "evidence_id", "size", "status")
 
 
 _SEGMENTS = "select l_orderkey as request, l_linenumber as n, case when l_partkey % 8 <> 0 then ['S' || (l_partkey % 6), 'S' || (l_suppkey % 6), 'S' || (l_partkey % 6)] end as cited, case when l_suppkey % 9 = 0 then ' ' when l_partkey % 10 <> 3 then 't' || l_linenumber end as t from (select distinct on (l_orderkey, l_linenumber) * from lineitem order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)"

@@ -3,10 +3,14 @@
 import uuid
 from datetime import datetime
 
+from tessera.operators import citations as C
 from tessera.operators import documents as D
+from tessera.operators import evidence as E
 from tessera.operators import graph as G
 from tessera.operators import relational as R
+from tessera.operators import shapes as S
 from tessera.plans import QUERIES
+from tessera.plans.evidence import packet_candidates
 from tessera.plans.registry import dealt
 from tessera.plans.streams import fed
 from tessera.session import shared_dir
@@ -87,3 +91,54 @@ def test_equal_statements_are_read_once(spark):
     assert [(r.action, r.targets) for r in signed.collect()] == [("missing_capability", [])] * 3
     # a filter worked the signature out again, seven times over, for each row
     assert signed._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 2
+
+
+def test_a_claim_moves_sizes_where_no_texts_are_asked_for(spark):
+    rows = [(1, 0, "said", [("x", "one"), ("two", None), ("", " "), ("y", "three"), ("z", "four")]), (1, 1, "", [("e", None)]), (2, 0, "", [(None, None)]), (3, 0, None, [])]
+    cites = spark.createDataFrame(rows, "claim int, ord int, claim_text string, sources array<struct<excerpt: string, content: string>>")
+    packet = E.claim_packet(cites)
+    got = {(r.claim, r.ord): (r.evidence_id, r.text, r.status) for r in packet.collect()}
+    text = "Extracted claim: said\nSource 1: one\nSource 2: two\nSource 3: three"
+    assert got == {(1, 0): ("C1", text, "ready"), (1, 1): ("C2", "Source 1: e", "ready"), (2, 0): (None, None, "no_usable_source"), (3, 0): (None, None, "no_usable_source")}
+    sizes = packet.select("claim", "ord", "size")
+    assert {(r.claim, r.ord): r["size"] for r in sizes.collect()} == {(1, 0): len(text), (1, 1): 11, (2, 0): None, (3, 0): None}
+    assert "collect_list" not in sizes._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_an_output_is_checked_once(spark):
+    outputs = spark.createDataFrame([(1, '{"fields":{}}'), (2, "none")], "paper_id int, output string")
+    packet = spark.createDataFrame([], "paper_id int, evidence_id string, fields array<string>")
+    checked = S.checked_extractions(outputs, packet)
+    assert {r.paper_id: r.error for r in checked.collect()} == {1: "invalid_output", 2: "invalid_output"}
+    assert "parse_json" not in checked._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_least_text_of_an_identity_counts_without_its_texts(spark):
+    rows = [(1, 1, "a", "1", "b"), (1, 1, "a", "1", "aaaa"), (1, 1, "a", "0", "cc"), (1, 2, "d", "1", "zz"), (1, 2, "d", "1", "yyy"), (1, 3, "e", "2", None), (1, 3, "e", "2", "x"), (1, 4, "f", "3", "")]
+    rows = spark.createDataFrame(rows, "request int, paper_id int, identity string, sort_key string, text string")
+    # cc, the text of the least sort key, takes two; of zz and yyy the lesser takes three, so that a budget of four leaves it out
+    for budget, want in ((4, [("W1", 1, "a")]), (5, [("W1", 1, "a"), ("W2", 2, "d")])):
+        packet = E.writer_packet(rows, budget=budget)
+        assert sorted(tuple(r)[1:] for r in packet.collect()) == want
+    assert "text" not in E.writer_packet(rows.where("identity = 'a'"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_made_after_hits_are_ranked(spark):
+    plan = packet_candidates(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("repeat(x") < plan.index("Window [")
+    assert plan.index("Generate") < plan.index("repeat(x")  # a text was held for each of the fields
+
+
+def test_texts_of_papers_are_found_once(spark):
+    page = [(1, "Introduction\nWords of it.")]
+    papers = spark.createDataFrame([("a", page)], "paper_id string, pages array<struct<pageNumber: int, text: string>>")
+    chunks = D.persistence_rows(papers)["chunks"]
+    assert [(r.source_kind, r.text) for r in chunks.collect()] == [("text", "Words of it.")]
+    assert chunks._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # headings were found by each reader
+
+
+def test_findings_of_a_draft_are_put_in_order_once(spark):
+    found = spark.createDataFrame([("s", "f", "k", "info", ["p"], ["u"]), ("s", "f", "l", "significant", ["q"], []), ("s", "a", "k", "info", [], [])], "scope string, finding_id string, kind string, severity string, papers array<string>, units array<string>")
+    rows = C.ordered_findings(found)
+    assert sorted((r.place, r.finding_id, r.kind, r.papers) for r in rows.collect()) == [(1, "f", "l", ["q"]), (2, "a", "k", [])]
+    assert "max_by" not in rows._jdf.queryExecution().optimizedPlan().toString()
