@@ -42,6 +42,15 @@ def test_shared_terms_hold_no_sets_of_claims(spark):
     assert "collect_set" not in shared._jdf.queryExecution().optimizedPlan().toString()
 
 
+def sets_gathered(spark, name):
+    """How often a query's plan gathers sets, of claims or else; sets of claims went to the driver with a broadcast."""
+    return QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("collect_set")
+
+
+def test_shared_terms_gather_no_sets(spark):
+    assert sets_gathered(spark, "g2_shared_terms") == 0
+
+
 def test_sizes_round_halves_to_even_as_sql_does(spark, tmp_path):
     rows = [(2, 2.5), (8, 3.5), (14, -2.5), (3, 0.45)]
     spark.createDataFrame(rows, "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
