@@ -55,6 +55,10 @@ def test_relationships_gather_evidence_alone(spark):
     assert sets_gathered(spark, "g11_relationships") <= 2  # evidence, for terms and for those of two papers
 
 
+def test_edges_gather_evidence_alone(spark):
+    assert sets_gathered(spark, "g4_term_edges") <= 1
+
+
 def test_sizes_round_halves_to_even_as_sql_does(spark, tmp_path):
     rows = [(2, 2.5), (8, 3.5), (14, -2.5), (3, 0.45)]
     spark.createDataFrame(rows, "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
