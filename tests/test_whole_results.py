@@ -63,6 +63,10 @@ def test_a_term_index_gathers_no_sets(spark):
     assert sets_gathered(spark, "f5_term_index") == 0
 
 
+def test_paper_nodes_gather_no_sets(spark):
+    assert sets_gathered(spark, "g6_paper_nodes") == 0
+
+
 def test_sizes_round_halves_to_even_as_sql_does(spark, tmp_path):
     rows = [(2, 2.5), (8, 3.5), (14, -2.5), (3, 0.45)]
     spark.createDataFrame(rows, "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
