@@ -1,9 +1,9 @@
 """Leased jobs as a stream that sees time pass: leases end, and finished jobs go, without another event (ST1, ST3, ST8).
 
 jobs.stream learns of an ended lease from a job's next event, and keeps every job. Here a timer of
-event time stands at the end of each lease: it says `expired` where no attempt is left, and `lapsed`
+event time stands for the end of each lease: it says `expired` where no attempt is left, and `lapsed`
 where the next claim may take the job. Another removes the state of a job that has been finished for
-long enough. The step between events is that of the batch replay.
+long enough. Jobs are held by groups, whose timer is the first of their jobs'. The step between events is that of the batch replay.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .jobs import _EMPTY, KIND, Rules, _events, step
 
-_STATE = "status string, attempts long, token string, updated double, ready double, stored long, generation string, last long, told boolean"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_EVENT = ["job", "seq", "ts", "action", "token", "generation", "n"]
+_EVENTS = pa.schema(list(zip(_EVENT, [pa.string(), pa.int64(), pa.float64(), pa.string(), pa.string(), pa.string(), pa.int64()], strict=True)))
 _COLUMNS = ["job", "seq", "outcome", "status", "attempts", "stored"]
 
 
@@ -29,26 +30,54 @@ def _timers(rows: DataFrame) -> None:
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
 
 
+# Jobs and keys are dealt over so many groups: a call to Python, its timer and its state serve all of a group.
+GROUPS = 512
+_JOB = ["job", "status", "attempts", "token", "updated", "ready", "stored", "generation", "last", "told"]
+_KINDS = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
+
+
+def _packed(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
 class _Leases(StatefulProcessor):
+    """Jobs of a group, each with its own state and end; one timer stands at the first end of any."""
+
     def __init__(self, rules: Rules, keep: float):
         self.rules, self.keep = rules, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("job", _STATE)
-
-    def _now(self) -> tuple[tuple, int, bool]:
-        held = self.held.get() if self.held.exists() else None
-        return (tuple(held[:7]), int(held[7]), bool(held[8])) if held else (_EMPTY, -1, False)
+        self.held = handle.getValueState("jobs", "rows binary")
+
+    def _jobs(self) -> dict[str | None, tuple[tuple, int, bool]]:
+        """The state of each job, its last sequence number, and whether the end of its lease has been told."""
+        if not self.held.exists():
+            return {}
+        with pa.ipc.open_stream(bytes(self.held.get()[0])) as rows:
+            return {job: (tuple(state), last, told) for job, *state, last, told in zip(*(c.to_pylist() for c in rows.read_all().columns), strict=True)}
+
+    def _due(self, state: tuple, told: bool) -> int | None:
+        """The time in ms when a job's lease has ended, or its state may go."""
+        status, updated = state[0], state[3]
+        if status in ("complete", "failed") or (status == "running" and not told):
+            return int((updated + (self.rules.lease if status == "running" else self.keep)) * 1000) + 1
+        return None
 
-    def _keep(self, state: tuple, last: int, told: bool) -> None:
-        status, attempts, token, updated, ready, stored, generation = state
-        self.held.update((status, int(attempts), token, float(updated), float(ready), int(stored), generation, int(last), told))
+    def _put(self, jobs: dict[str | None, tuple[tuple, int, bool]]) -> None:
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
-        if status in ("complete", "failed") or (status == "running" and not told):
-            after = self.rules.lease if status == "running" else self.keep
-            self.handle.registerTimer(int((updated + after) * 1000) + 1)
+        if not jobs:
+            self.held.clear()
+            return
+        rows = [(job, s, int(n), t, float(u), float(r), int(k), g, int(last), told) for job, ((s, n, t, u, r, k, g), last, told) in jobs.items()]
+        self.held.update((_packed(pa.table(dict(zip(_JOB, (pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), _KINDS, strict=True)), strict=True)))),))
+        due = [at for state, _, told in jobs.values() if (at := self._due(state, told)) is not None]
+        if due:
+            self.handle.registerTimer(min(due))
 
     def _ended(self, state: tuple, at: float) -> tuple[tuple, str]:
         """A running job once its lease has ended: the last attempt fails, any other waits for a claim."""
@@ -58,35 +87,44 @@ class _Leases(StatefulProcessor):
         return state, "lapsed"
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state, last, told = self._now()
+        jobs = self._jobs()
         out = []
-        events = pd.concat(list(rows)).sort_values("seq")
-        for row in events[["seq", "ts", "action", "token", "generation", "n"]].itertuples(index=False):
-            event = tuple(None if pd.isna(x) else x for x in row)
+        events = pa.concat_tables([pa.Table.from_pandas(r[_EVENT], _EVENTS, preserve_index=False) for r in rows]).sort_by("seq")
+        for job, *event in zip(*(c.to_pylist() for c in events.columns), strict=True):
+            state, last, told = jobs.get(job, (_EMPTY, -1, False))
             if event[0] <= last:
-                out.append((key[0], int(event[0]), "late", state))
+                out.append((job, event[0], "late", state))
+                jobs.setdefault(job, (state, last, told))
                 continue
             end = state[3] + self.rules.lease
             # events of a batch come before its timers, so an end that lies before an event is told here; step tells that of a last attempt to a claim
             if state[0] == "running" and not told and end < event[1] and not (event[2] == "claim" and state[1] >= self.rules.attempts):
                 state, outcome = self._ended(state, end)
-                out.append((key[0], None, outcome, state))
+                out.append((job, None, outcome, state))
             before = state
             state, outcome = step(self.rules, state, event)
-            told, last = state[0] == "running" and state[3] == before[3] and end < event[1], int(event[0])
-            out.append((key[0], last, outcome, state))
-        self._keep(state, last, told)
+            told, last = state[0] == "running" and state[3] == before[3] and end < event[1], event[0]
+            out.append((job, last, outcome, state))
+            jobs[job] = (state, last, told)
+        self._put(jobs)
         yield _frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state, last, told = self._now()
-        if state[0] == "running":
-            state, outcome = self._ended(state, expiredTimerInfo.getExpiryTimeInMs() / 1000)
-            self._keep(state, last, True)
-            yield _frame([(key[0], None, outcome, state)])
-        elif state[0] in ("complete", "failed"):
-            self.held.clear()
-            yield _frame([(key[0], None, "forgotten", state)])
+        """All ends that the watermark has passed: a job that fails by one may be forgotten by the next."""
+        until = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        jobs, out = self._jobs(), []
+        for job, (state, last, told) in list(jobs.items()):
+            while (at := self._due(state, told)) is not None and at <= until:
+                if state[0] != "running":
+                    out.append((job, None, "forgotten", state))
+                    del jobs[job]
+                    break
+                state, outcome = self._ended(state, at / 1000)
+                out.append((job, None, outcome, state))
+                told = True
+                jobs[job] = (state, last, told)
+        self._put(jobs)
+        yield _frame(out)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -103,7 +141,8 @@ def lease_stream(events: DataFrame, rules: Rules = Rules(), delay: str = "1 minu
     """
     _timers(events)
     timed = _events(events).withColumn("at", F.timestamp_seconds("ts")).withWatermark("at", delay)
-    return timed.groupBy("job").transformWithStateInPandas(_Leases(rules, keep), KIND, "Append", "EventTime")
+    grouped = timed.withColumn("group", F.pmod(F.xxhash64("job"), F.lit(GROUPS))).groupBy("group")
+    return grouped.transformWithStateInPandas(_Leases(rules, keep), KIND, "Append", "EventTime")
 
 
 # --- W9: what was used in the seconds before each request ------------------------------------------------------------
@@ -111,8 +150,6 @@ _USE = "key string, id long, in_window long, amount_in_window long"
 _TOLD = ["key", "id", "in_window", "amount_in_window"]
 
 
-# Keys are dealt over so many groups: a call to Python, its timer and its state serve all keys of a group.
-GROUPS = 512
 _KEPT = ["key", "id", "micros", "amount", "told"]
 
 
@@ -139,10 +176,7 @@ class _Rolling(StatefulProcessor):
         if rows.empty:
             self.kept.clear()
             return
-        table, out = pa.Table.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
-        with pa.ipc.new_stream(out, table.schema) as writer:
-            writer.write_table(table)
-        self.kept.update((out.getvalue().to_pybytes(),))
+        self.kept.update((_packed(pa.Table.from_pandas(rows, preserve_index=False)),))
         waiting = rows["micros"][~rows["told"].astype(bool)]
         if len(waiting):
             every = max(self.every // 1000, 1)

@@ -4,6 +4,7 @@ import datetime
 import random
 
 import pytest
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tessera.operators import relational as R
@@ -112,6 +113,52 @@ def test_leases_end_without_an_event(spark, tmp_path):
     assert all(batch[r.job, r.seq] == r.outcome for r in out if r.seq is not None and r.outcome != "late")
 
 
+class _Handle:
+    """State and timers of one group, counted."""
+
+    def __init__(self):
+        self.value, self.timers, self.updates = None, set(), 0
+
+    def getValueState(self, name, kind):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value, self.updates = value, self.updates + 1
+
+    def clear(self):
+        self.value = None
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    deleteTimer = lambda self, at: self.timers.discard(at)
+    registerTimer = lambda self, at: self.timers.add(at)
+
+
+def test_jobs_of_a_group_share_a_call_and_a_timer():
+    class At:
+        def __init__(self, ms):
+            self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: ms
+
+    leases, handle = L._Leases(J.Rules(attempts=1, lease=10), keep=50), _Handle()
+    leases.init(handle)
+    rows = [(j, k, float(at + k), a, "t" if k else None, "g", None) for j, at in (("a", 0), ("b", 5), ("c", 0)) for k, a in enumerate(("request", "claim", "complete")[: 3 if j == "c" else 2])]
+    said = lambda frames: [(r.job, None if pd.isna(r.seq) else r.seq, r.outcome, r.status) for f in frames for r in f.itertuples()]
+    first = said(leases.handleInputRows((7,), iter([pd.DataFrame(rows[:3], columns=L._EVENT), pd.DataFrame(rows[3:], columns=L._EVENT)]), At(0)))
+    assert sorted(first) == [("a", 0, "requested", "queued"), ("a", 1, "claimed", "running"), ("b", 0, "requested", "queued"), ("b", 1, "claimed", "running"), ("c", 0, "requested", "queued"), ("c", 1, "claimed", "running"), ("c", 2, "completed", "complete")]
+    assert handle.timers == {11_001} and handle.updates == 1
+    assert said(leases.handleExpiredTimer((7,), At(11_001), At(11_001))) == [("a", None, "expired", "failed")] and handle.timers == {16_001}
+    assert said(leases.handleExpiredTimer((7,), At(60_000), At(16_001))) == [("b", None, "expired", "failed"), ("c", None, "forgotten", "complete")]
+    assert sorted(said(leases.handleExpiredTimer((7,), At(200_000), At(61_002)))) == [("a", None, "forgotten", "failed"), ("b", None, "forgotten", "failed")]
+    assert handle.value is None and not handle.timers
+
+
 def test_changes_make_an_activity_once(spark, tmp_path):
     kind = "change_id string, ts timestamp_ntz, op string, project long, paper long"
     at = datetime.datetime(2024, 1, 1)
