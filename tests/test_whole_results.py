@@ -176,3 +176,21 @@ def test_every_event_holds_claim_texts(spark, tmp_path):
     rows = QUERIES["j20_claim_texts"](spark, str(tmp_path)).collect()
     # events whose number is divisible by four held no items, and took no part
     assert sorted((r.paper_id, r.item, r.text) for r in rows) == [(p, i, f"t{v}:{i}" if i < 2 else "") for p, v in ((1, 2), (2, 0)) for i in range(6)]
+
+
+# A text for every form that a rule's pattern takes.
+_SAID = [
+    "Consolidated Statements of", "consolidated statement of", "consolidated balance sheet", "income statement", "balance sheet", "cash flow statement", "statement of cash flows", "net income", "total assets", "total liabilities", "gross margin", "operating expense", "operating expenses", "10-K", "form 10-k",
+    "annual report", "letter to our shareholders", "letter to shareholders", "fiscal year 1999", "department of", "ministry of", "office of the inspector general", "government accountability office", "federal register", "policy brief", "policy paper", "policy framework", "policy recommendation", "policy recommendations",
+    "regulatory impact", "white paper", "market research", "market size", "market share", "market forecast", "competitive landscape", "industry report", "a thesis submitted", "a dissertation submitted", "in partial fulfillment of the requirements", "doctor of philosophy", "master's thesis", "masters thesis", "case study", "case studies",
+    "survey results", "survey methodology", "survey respondents", "we surveyed", "questionnaire", "technical report", "architecture diagram", "implementation details", "doi: 10.1234/", "DOI:10.123456789/", "abstract", "introduction", "related work", "methodology", "conclusion", "peer-reviewed", "peer reviewed", "conference on", "proceedings of",
+]
+
+
+def test_each_rule_looks_at_a_text_once(spark):
+    rows = spark.createDataFrame([(x,) for x in [*_SAID, *(f"x{x}y" for x in _SAID), "no such words"]], "t string")
+    told = rows.select("t", D.classify(F.col("t"), F.array().cast("array<string>")).alias("c")).select("t", "c.document_type", "c.confidence")
+    # a pattern was matched once for each thing that is said of the scores
+    assert told._jdf.queryExecution().optimizedPlan().toString().upper().count("RLIKE") == len(D.RULES)
+    matched = {r.t for r in told.where("document_type <> 'general_report'").collect()}
+    assert matched == set(_SAID)
