@@ -194,3 +194,14 @@ def test_each_rule_looks_at_a_text_once(spark):
     assert told._jdf.queryExecution().optimizedPlan().toString().upper().count("RLIKE") == len(D.RULES)
     matched = {r.t for r in told.where("document_type <> 'general_report'").collect()}
     assert matched == set(_SAID)
+
+
+def test_headings_are_found_within_their_paper(spark):
+    pages = ["Journal\nABSTRACT\nSaid here\n\n1. Wide Scope\nwords\nmore\n2", "Journal\n\nRelated  Work\nold\n\n2 Next Part\nwords\n3. not A Title\nlast\n9"]
+    docs = D.normalized(spark.createDataFrame([("a", [(k + 1, t) for k, t in enumerate(pages)]), ("b", [(1, "words")]), ("c", None)], "paper_id string, pages array<struct<pageNumber: int, text: string>>"))
+    found = D.headings(docs)
+    text = docs.where("paper_id = 'a'").first().text
+    got = sorted((r.line_start, r.title, r.section_type, text[r.line_start : r.body_start]) for r in found.collect())
+    assert [x[1:] for x in got] == [("ABSTRACT", "abstract", "ABSTRACT\n"), ("1. Wide Scope", "other", "1. Wide Scope\n"), ("Related  Work", "related_work", "Related  Work\n"), ("2 Next Part", "other", "2 Next Part\n")]
+    # every line was shuffled for its offset, and candidates again for their order
+    assert "Exchange" not in D.sections(docs)._jdf.queryExecution().executedPlan().toString()
